@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIT_ROWS, TERMS, RATIO, SUPPORT = 20_000, 400, 20.0, 0.01
+FIT_ROWS, TERMS, RATIO, SUPPORT = 20_000, 400, 20.0, 0.02
 WINDOW = 50
 QUOTE_SPAN, REPORT_SPAN = 12, 4
 WORDS = re.compile(r"[^\W\d_]+")
@@ -56,28 +56,46 @@ class Lexicon:
                     self.reach.append(0)
                 self.reach[node] = max(self.reach[node], allowed)
             self.ends[node].append(number)
-        # a match within k edits leaves one of k + 1 parts of the term whole: a cheap test before the automaton
-        parts = set()
+        # a match within k edits leaves one of k + 1 parts of the term whole, moved by the edits before it, and the last one
+        # at the word's end: a cheap test before the automaton; where, how long, and words' lengths by part
+        self.parts: dict[tuple[int, int], dict[str, range]] = {}
         for text, stem, _ in terms:
-            k = self.allowance(text, stem) + 1
-            cuts = [round(j * len(text) / k) for j in range(k + 1)]
-            parts |= {text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)}
-        self.part = re.compile("|".join(map(re.escape, sorted(parts)))) if parts else None
-        self.known: dict[str, tuple[int, int] | None] = {}
+            k, n = self.allowance(text, stem), len(text)
+            lengths = range(n, 1 << 40) if stem else range(n - k, n + k + 1)
+            cuts = [round(j * n / (k + 1)) for j in range(k + 2)]
+            for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                for start in [a - n] if j == k and not stem else [a + shift for shift in range(-min(j, k), min(j, k) + 1)]:
+                    got = self.parts.setdefault((start, b - a), {})
+                    old = got.get(text[a:b], lengths)
+                    got[text[a:b]] = range(min(old.start, lengths.start), max(old.stop, lengths.stop))
+        self.seen: set[str] = set()
+        self.known: dict[str, tuple[int, int]] = {}
 
     @staticmethod
     def allowance(text: str, stem: bool) -> int:
         return 0 if stem or len(text) < 5 else 1 if len(text) < 9 else 2
 
-    def find(self, word: str) -> tuple[int, int] | None:
-        """(term, distance) of the nearest term within its allowance; of equals the heavier, then the earlier."""
-        if word in self.known:
-            return self.known[word]
-        got = self._intersect(word) if self.part and self.part.search(word) else None
-        if len(self.known) > 1 << 20:
-            self.known.clear()
-        self.known[word] = got
-        return got
+    def find(self, words: set[str]) -> dict[str, tuple[int, int]]:
+        """(term, distance) of the nearest term within its allowance, for those words that have one; of equals the
+        heavier, then the earlier."""
+        fresh = words - self.seen
+        if fresh:
+            if len(self.seen) > 1 << 20:  # a memory of words only; they are found again
+                self.seen.clear()
+                self.known.clear()
+            for word in words - self.seen:
+                if self._possible(word) and (got := self._intersect(word)):
+                    self.known[word] = got
+            self.seen |= words
+        return {w: self.known[w] for w in words & self.known.keys()}
+
+    def _possible(self, word: str) -> bool:
+        n = len(word)
+        for (start, size), found in self.parts.items():
+            at = start if start >= 0 else n + start
+            if at >= 0 and n in found.get(word[at : at + size], ()):
+                return True
+        return False
 
     def _intersect(self, word: str) -> tuple[int, int] | None:
         n = len(word)
@@ -99,25 +117,25 @@ class Lexicon:
         return best and (best[2], best[0])
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "known"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "known")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.known = {}
+        self.seen, self.known = set(), {}
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
     """Of a whole text: logs of the rates of abusive, misspelled and quoted weight, of the densest window, and marks."""
     text = text.lower()
     words = WORDS.findall(text)
-    find = lexicon.find
-    if not any(find(w) for w in set(words)):
+    hits = lexicon.find(set(words))
+    if not hits:
         return [0.0] * 5
     spans = [m.span() for m in WORDS.finditer(text)]
     exact = fuzzy = quoted = 0.0
     weights = np.zeros(len(words) + 1)
     for k, word in enumerate(words):
-        got = find(word)
+        got = hits.get(word)
         if got is None:
             continue
         weight = lexicon.terms[got[0]][2]
