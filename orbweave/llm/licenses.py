@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Fixed patterns and word pairs.
 COPYRIGHT = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 MARKER = r"(?i)licen[cs]|permission|redistribut|warrant|public domain"
-SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("whilst", "while"), ("favour", "favor"), ("copyright holders", "copyright owners"), ("copyright holder", "copyright owner"), ("analogue", "analog"), ("artefact", "artifact"), ("fulfil", "fulfill"), ("judgement", "judgment"), ("organisation", "organization"))
+SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("whilst", "while"), ("favour", "favor"), ("copyright holders", "copyright owners"), ("copyright holder", "copyright owner"), ("analogue", "analog"), ("artefact", "artifact"), ("fulfil", "fulfill"), ("judgement", "judgment"), ("organisation", "organization"))
 
 #: Known licences: whole texts.
 TEXTS = {

@@ -200,6 +200,9 @@ def by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with ``copies``."""
-    got = by_source(docs, id_col, text_col, source_col).where("copies > 0").select(F.col(id_col).alias("__id"), "copies").distinct()
+    """The rows of ``docs`` that the mix takes, with ``copies``, which replaces a column of that name."""
+    got = by_source(docs, id_col, text_col, source_col).where("copies > 0").select(F.col(id_col).alias("__id"), "copies")
+    # rows that repeat an id have one hash, so they are taken alike
+    got = got.groupBy("__id").agg(F.max("copies").alias("copies"))
+    docs = docs.drop("copies")
     return docs.join(got, docs[id_col].eqNullSafe(got["__id"])).drop("__id")

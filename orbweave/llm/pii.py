@@ -139,7 +139,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each base entity replaced by its kind in brackets, generalised terms by [TERM], and removed terms gone."""
     got = found(docs, id_col, text_col).where((F.size("base") > 0) | (F.size("extra") > 0))
-    got = got.select("rid", F.array_sort(F.transform(F.concat("base", "extra"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind")))).alias("spans")).dropDuplicates(["rid"])
+    got = got.select(F.col("rid").alias("__rid"), F.array_sort(F.transform(F.concat("base", "extra"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind")))).alias("__spans")).dropDuplicates(["__rid"])
     rows = docs.withColumn("__rid", F.xxhash64(id_col, text_col))
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -150,6 +150,6 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         # one that begins inside the last one only lengthens it
         return F.when(m["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], m["end"]).alias("at"), acc["out"].alias("out")))
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = rows.join(got.withColumnRenamed("rid", "__rid"), "__rid", "left")
-    return joined.select(*(F.when(F.col("spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    joined = rows.join(got, "__rid", "left")
+    return joined.select(*(F.when(F.col("__spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(c) for c in docs.columns))
