@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import consistency, descriptors, ground, layout, matching, neighbors, pose, segmentation, surface
+from .tables import stored
 
 
 @dataclass(frozen=True)
@@ -60,24 +61,27 @@ class Registration:
     transforms: DataFrame
 
 
-def process_clouds(points: DataFrame, p: Parameters, persist: bool = True) -> ProcessedClouds:
-    """Normals, planes, plane histograms and descriptors of every cloud in ``points`` (cloud_id, pid, x, y, z)."""
-    keep = (lambda df: df.persist()) if persist else (lambda df: df)
+def process_clouds(points: DataFrame, p: Parameters) -> ProcessedClouds:
+    """Normals, planes, plane histograms and descriptors of every cloud in ``points`` (cloud_id, pid, x, y, z).
+
+    What several later steps read is stored, so that no plan holds another one's plan many times over.
+    """
+    keep = stored
     points = layout.to_scalar(points)
-    points = points.select("cloud_id", "pid", *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    points = keep(points.select("cloud_id", "pid", *(F.col(c).cast("double").alias(c) for c in "xyz")))
     v = p.voxel_size
-    floor = ground.segment_ground(points, p.ground) if p.ground_segmentation else None
+    floor = keep(ground.segment_ground(points, p.ground)) if p.ground_segmentation else None
     wide = keep(neighbors.neighborhoods(points, p.fpfh_radius * v, p.fpfh_k))
     near = neighbors.narrow(wide, p.normal_radius * v, p.normal_k)
     normals = keep(surface.point_normals(points, near))
     dispersion = math.sin(math.radians(p.segmentation_dispersion))
-    stable = surface.stable_points(near, normals, dispersion, floor)
+    stable = keep(surface.stable_points(near, normals, dispersion, floor))
     roots = segmentation.region_roots(points, normals, near, stable, p.segmentation_thickness * v, dispersion)
     supports = keep(segmentation.supports(roots, p.segmentation_min_support, floor))
-    planes = plane_table(points, supports)
-    pch = descriptors.pch(planes, points, normals, p.pch_range * v, p.pch_2l_radius * v)
-    non_planar = layout.uncovered(points, supports)
-    fpfh = descriptors.fpfh(wide, points, normals, non_planar.select("cloud_id", "pid"))
+    planes = keep(plane_table(points, supports))
+    pch = keep(descriptors.pch(planes, points, normals, p.pch_range * v, p.pch_2l_radius * v))
+    non_planar = keep(layout.uncovered(points, supports))
+    fpfh = keep(descriptors.fpfh(wide, points, normals, non_planar.select("cloud_id", "pid")))
     return ProcessedClouds(points, normals, supports, planes, pch, non_planar, fpfh)
 
 
@@ -92,22 +96,23 @@ def register(clouds: ProcessedClouds, pairs: DataFrame, p: Parameters) -> Regist
     v = p.voxel_size
     side = lambda df, end: df.join(pairs.select("pair_id", F.col(end).alias("cloud_id")), "cloud_id").drop("cloud_id")
     vectors = descriptors.as_vectors(clouds.fpfh, ("cloud_id", "pid"), 33).withColumnRenamed("pid", "id")
-    matches = matching.mutual_nearest(side(vectors, "source"), side(vectors, "target")).persist()
+    matches = matching.mutual_nearest(side(vectors, "source"), side(vectors, "target"))
+    matches = stored(matches.withColumn("m", F.col("m").cast("long")))
 
     groups = matching.plane_groups(clouds.planes, p.pch_grouping_distance * v, math.cos(math.radians(p.pch_grouping_angle))).withColumnRenamed("plane_id", "id")
     hist = clouds.pch.select("cloud_id", F.col("plane_id").alias("id"), "kind", (F.col("d_bin") * descriptors.A_BINS + F.col("a_bin")).alias("bin"), "mass")
     plane_matches = matching.match_planes(side(hist, "source"), side(hist, "target"), side(groups, "source"), side(groups, "target"))
     number = Window.partitionBy("pair_id").orderBy("s", "t")
-    plane_matches = plane_matches.withColumn("m", (F.row_number().over(number) - 1).cast("long")).persist()
+    plane_matches = stored(plane_matches.withColumn("m", (F.row_number().over(number) - 1).cast("long")))
 
-    ends = matching.matched_points(matches.withColumn("m", F.col("m").cast("long")), side(clouds.points, "source"), side(clouds.points, "target"))
+    ends = matching.matched_points(matches, side(clouds.points, "source"), side(clouds.points, "target"))
     plane_end = lambda end, key, c: side(clouds.planes, end).select("pair_id", F.col("plane_id").alias(key), *(F.col(f"{q}{a}").alias(f"{c}{q}{a}") for q in "cn" for a in "xyz"))
     planes = plane_matches.join(plane_end("source", "s", "p"), ["pair_id", "s"]).join(plane_end("target", "t", "q"), ["pair_id", "t"])
     edges = consistency.consistency_edges(planes.select("pair_id", "m", *(f"{c}{q}{a}" for c in "pq" for q in "cn" for a in "xyz")), ends.select("pair_id", "m", *(f"{c}{a}" for c in "pq" for a in "xyz")), p.outlier_rejection_distance * v, math.radians(p.outlier_rejection_angle))
     nodes = consistency.node_weights(plane_matches, matches)
     clique = consistency.max_weight_clique(edges, nodes)
     n_planes = pairs.select("pair_id").join(plane_matches.groupBy("pair_id").agg(F.count("*").alias("n")), "pair_id", "left").select("pair_id", F.coalesce("n", F.lit(0)).alias("n_planes"))
-    chosen = consistency.split_clique(clique, n_planes).persist()
+    chosen = stored(consistency.split_clique(clique, n_planes))
     good_points = ends.join(chosen.where("kind = 'point'").select("pair_id", "m"), ["pair_id", "m"])
     good_planes = planes.join(chosen.where("kind = 'plane'").select("pair_id", "m"), ["pair_id", "m"]).withColumn("weight", consistency.plane_weight(F.col("confidence")))
     return Registration(matches, plane_matches, chosen, pose.estimate(good_points, good_planes))

@@ -84,15 +84,17 @@ def write_trajectories(results: DataFrame, path: str) -> None:
     trajectory(results).repartition("sequence").sortWithinPartitions("sequence", "record").select("sequence", "value").write.partitionBy("sequence").text(path)
 
 
+def _three(c: str) -> Column:
+    return F.when(F.col(c).isNull(), "nan").otherwise(F.format_string("%.3f", F.col(c)))
+
+
 def summary_lines(summary: DataFrame) -> DataFrame:
     """(dataset, value): the report's table rows."""
-    number = lambda c: F.coalesce(F.format_string("%.3f", F.col(c)), F.lit("nan"))
-    value = F.concat(F.rpad("sequence", 32, " "), F.lpad(number("sr"), 10, " "), F.lpad(number("ate"), 12, " "), F.lpad(number("are"), 12, " "), F.lpad(number("runtime_ms"), 14, " "))
+    value = F.concat(F.rpad("sequence", 32, " "), F.lpad(_three("sr"), 10, " "), F.lpad(_three("ate"), 12, " "), F.lpad(_three("are"), 12, " "), F.lpad(_three("runtime_ms"), 14, " "))
     return summary.select("dataset", value.alias("value"))
 
 
 def console_line(summary: DataFrame) -> DataFrame:
     """(dataset, sequence, value): one line a sequence."""
-    number = lambda c: F.coalesce(F.format_string("%.3f", F.col(c)), F.lit("nan"))
-    value = F.concat(F.lit("["), F.col("sequence"), F.lit("] success: "), F.concat_ws("/", F.col("successful").cast("string"), F.col("pairs").cast("string")), F.lit(" ("), number("sr"), F.lit("%), ATE: "), number("ate"), F.lit(" m, ARE: "), number("are"), F.lit(" deg, runtime: "), number("runtime_ms"), F.lit(" ms"))
+    value = F.concat(F.lit("["), F.col("sequence"), F.lit("] success: "), F.concat_ws("/", F.col("successful").cast("string"), F.col("pairs").cast("string")), F.lit(" ("), _three("sr"), F.lit("%), ATE: "), _three("ate"), F.lit(" m, ARE: "), _three("are"), F.lit(" deg, runtime: "), _three("runtime_ms"), F.lit(" ms"))
     return summary.select("dataset", "sequence", value.alias("value"))
