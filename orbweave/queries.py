@@ -16,6 +16,7 @@ from .functions import steps
 from .functions.geometry import COVARIANCE, PAIR_BINS, PAIR_FEATURES, SYMMETRIC_EIGEN, TOWARD_ORIGIN, colour, morton
 from .operators import consistency, descriptors, ground, layout, matching, neighbors, pose, segmentation, surface
 from .plans import registration
+from .plans.tables import stored
 from .sources import text
 
 RADIUS, KNN = 0.1, 30
@@ -85,6 +86,13 @@ def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return points, neighbors.neighborhoods(points, RADIUS, KNN)
 
 
+def _surfaces(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points, neighbourhoods and normals; what is read several times is stored."""
+    points, near = _near(spark, d)
+    near = stored(near)
+    return points, near, stored(surface.point_normals(points, near))
+
+
 D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 PAIRS_CTE = f"""scene AS MATERIALIZED ({SCENE_SQL}),
 pairs AS MATERIALIZED (SELECT a.pid, b.pid AS nbr, {D2} AS d2 FROM scene a JOIN scene b ON b.x > a.x - {RADIUS} AND b.x < a.x + {RADIUS} AND {D2} < {RADIUS * RADIUS!r}),
@@ -131,9 +139,9 @@ def mutual_nn(spark: SparkSession, d: str) -> DataFrame:
     return matching.mutual_nearest(*halves(spark, d)).selectExpr("CAST(m AS BIGINT) AS m", "s", "t", "round(d2, 6) AS d2")
 
 
-@query(f"WITH {_HALVES} SELECT DISTINCT s FROM d WHERE d2 < 0.64e0")
+@query(f"WITH {_HALVES} SELECT DISTINCT s FROM d WHERE d2 < 1.21e0")
 def nn_exists_within(spark: SparkSession, d: str) -> DataFrame:
-    return neighbors.exists_within(*halves(spark, d), 0.8).select(F.col("id").alias("s"))
+    return neighbors.exists_within(*halves(spark, d), 1.1).select(F.col("id").alias("s"))
 
 
 @query(f"WITH {PAIRS_CTE} SELECT pid, nbr, CAST(rk AS BIGINT) AS rk, round(d2, 6) AS d2 FROM near")
@@ -243,8 +251,8 @@ _OUTER = ", ".join(f"avg(n{a} * n{b}) AS c{i}{j}" for i, a in enumerate("xyz", 1
 
 @query(f"WITH {NORMALS_CTE} SELECT pid, round(l1, 6) AS lambda_max FROM {steps.sql(f'(SELECT near.pid, {_OUTER} FROM near JOIN normals ON normals.pid = near.nbr GROUP BY near.pid)', SYMMETRIC_EIGEN)} AS q WHERE l1 >= {1 - DISPERSION * DISPERSION!r}")
 def stability_filter(spark: SparkSession, d: str) -> DataFrame:
-    points, near = _near(spark, d)
-    return surface.stable_points(near, surface.point_normals(points, near), DISPERSION).selectExpr("pid", "round(lambda_max, 6) AS lambda_max")
+    _, near, normals = _surfaces(spark, d)
+    return surface.stable_points(near, normals, DISPERSION).selectExpr("pid", "round(lambda_max, 6) AS lambda_max")
 
 
 def yard(spark: SparkSession, d: str) -> DataFrame:
@@ -311,9 +319,8 @@ def ground_segmentation(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def plane_segmentation(spark: SparkSession, d: str) -> DataFrame:
-    points, near = _near(spark, d)
-    normals = surface.point_normals(points, near)
-    stable = surface.stable_points(near, normals, DISPERSION)
+    points, near, normals = _surfaces(spark, d)
+    stable = stored(surface.stable_points(near, normals, DISPERSION))
     return segmentation.supports(segmentation.region_roots(points, normals, near, stable, 0.02, DISPERSION), 100)
 
 
@@ -325,14 +332,14 @@ def plane_supports(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {NORMALS_CTE} SELECT pid, nbr, {', '.join(rounded('f1', 'f2', 'f3'))} FROM {steps.sql(PAIR_ROWS, _PAIR_SQL)} AS f")
 def pair_features(spark: SparkSession, d: str) -> DataFrame:
-    points, near = _near(spark, d)
-    return descriptors.pair_features(descriptors.pairs(near, points, surface.point_normals(points, near))).selectExpr("pid", "nbr", *rounded("f1", "f2", "f3"))
+    points, near, normals = _surfaces(spark, d)
+    return descriptors.pair_features(descriptors.pairs(near, points, normals)).selectExpr("pid", "nbr", *rounded("f1", "f2", "f3"))
 
 
 @query(f"WITH {SPFH_CTE} SELECT pid, CAST(bin AS BIGINT) AS bin, round(v, 6) AS v FROM spfh")
 def spfh(spark: SparkSession, d: str) -> DataFrame:
-    points, near = _near(spark, d)
-    return descriptors.spfh(near, points, surface.point_normals(points, near)).selectExpr("pid", "CAST(bin AS BIGINT) AS bin", "round(v, 6) AS v")
+    points, near, normals = _surfaces(spark, d)
+    return descriptors.spfh(near, points, normals).selectExpr("pid", "CAST(bin AS BIGINT) AS bin", "round(v, 6) AS v")
 
 
 @query(f"""WITH {SPFH_CTE},
@@ -340,8 +347,8 @@ w AS (SELECT near.pid, s.bin, sum(s.v / near.d2) AS w FROM near JOIN spfh s ON s
 x AS (SELECT pid, bin, w / sum(w) OVER (PARTITION BY pid, CAST(floor(bin / 11e0) AS INT)) AS w FROM w)
 SELECT pid, CAST(bin AS BIGINT) AS bin, round(coalesce(v, 0e0) + coalesce(w, 0e0), 6) AS v FROM spfh FULL JOIN x USING (pid, bin)""")
 def fpfh(spark: SparkSession, d: str) -> DataFrame:
-    points, near = _near(spark, d)
-    return descriptors.fpfh(near, points, surface.point_normals(points, near)).selectExpr("pid", "CAST(bin AS BIGINT) AS bin", "round(v, 6) AS v")
+    points, near, normals = _surfaces(spark, d)
+    return descriptors.fpfh(near, points, normals).selectExpr("pid", "CAST(bin AS BIGINT) AS bin", "round(v, 6) AS v")
 
 
 def _pch_sql(distance_range: float) -> str:
@@ -354,14 +361,14 @@ UNION ALL SELECT plane_id, 'restricted', d_bin, a_bin, count(*) FROM b WHERE abs
 PCH_CTE = f"{NORMALS_CTE}, faces AS MATERIALIZED {_FACES}, pch AS MATERIALIZED ({_pch_sql(PCH_RANGE)})"
 
 
-def _pch(spark: SparkSession, d: str, distance_range: float = PCH_RANGE) -> DataFrame:
-    points, near = _near(spark, d)
-    return descriptors.pch(faces(points), points, surface.point_normals(points, near), distance_range, PCH_RADIUS)
+def _pchs(spark: SparkSession, d: str, *ranges: float) -> list[DataFrame]:
+    points, _, normals = _surfaces(spark, d)
+    return [stored(descriptors.pch(faces(points), points, normals, r, PCH_RADIUS)) for r in ranges]
 
 
 @query(f"WITH {PCH_CTE} SELECT plane_id, kind, CAST(d_bin AS BIGINT) AS d_bin, CAST(a_bin AS BIGINT) AS a_bin, round(mass, 6) AS mass FROM pch")
 def pch(spark: SparkSession, d: str) -> DataFrame:
-    return _pch(spark, d).selectExpr("plane_id", "kind", "CAST(d_bin AS BIGINT) AS d_bin", "CAST(a_bin AS BIGINT) AS a_bin", "round(mass, 6) AS mass")
+    return _pchs(spark, d, PCH_RANGE)[0].selectExpr("plane_id", "kind", "CAST(d_bin AS BIGINT) AS d_bin", "CAST(a_bin AS BIGINT) AS a_bin", "round(mass, 6) AS mass")
 
 
 PATCH = "face * 10000 + CAST(floor((x - 1e0) * 4e0) AS BIGINT) * 400 + CAST(floor((y - 1e0) * 4e0) AS BIGINT) * 20 + CAST(floor((z - 2e0) * 4e0) AS BIGINT)"
@@ -392,8 +399,8 @@ def _hist(h: DataFrame) -> DataFrame:
 
 
 def _chi(spark: SparkSession, d: str) -> DataFrame:
-    side = lambda r: _hist(_pch(spark, d, r)).where("kind = 'full'")
-    return matching.chi_square(side(PCH_RANGE), side(0.4))
+    a, b = (_hist(h).where("kind = 'full'") for h in _pchs(spark, d, PCH_RANGE, 0.4))
+    return matching.chi_square(a, b)
 
 
 @query(f"WITH {CHI_CTE} SELECT s, t, round(d, 6) + 0e0 AS d FROM chi")
@@ -412,7 +419,7 @@ def mutual_confidence(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def plane_matching(spark: SparkSession, d: str) -> DataFrame:
     group = lambda h: h.select("pair_id", "id").distinct().withColumn("group_id", F.expr("id - id % 2"))
-    a, b = _hist(_pch(spark, d)), _hist(_pch(spark, d, 0.4))
+    a, b = map(_hist, _pchs(spark, d, PCH_RANGE, 0.4))
     return matching.match_planes(a, b, group(a), group(b)).selectExpr("s", "t", *rounded("confidence"))
 
 
@@ -471,7 +478,7 @@ def node_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def weighted_clique(spark: SparkSession, d: str) -> DataFrame:
-    planes, points = _match_planes(spark, d)
+    planes, points = map(stored, _match_planes(spark, d))
     nodes = consistency.node_weights(planes.withColumn("confidence", F.lit(0.5)), points)
     clique = consistency.max_weight_clique(consistency.consistency_edges(planes, points, DISTANCE, ANGLE), nodes)
     return consistency.split_clique(clique, planes.groupBy("pair_id").agg(F.count("*").alias("n_planes"))).select("kind", "m")
