@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import cut, stored  # noqa: F401
+
 #: A word, as the contracts define it: a run of characters other than space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,19 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; a folder of our own is used only where
-    the setting is absent, as in local tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="orbweave-checkpoint-"))
-    return df.checkpoint()
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its row offsets; a null is an empty row.  No copy of the text is made."""
     if isinstance(column, pa.ChunkedArray):

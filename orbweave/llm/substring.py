@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, pieces, utf8, word_hashes, word_spans
+from .common import Rolling, pieces, stored, utf8, word_hashes, word_spans
 
 LENGTH, PREFIX = 35, 5
 
@@ -158,17 +158,19 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
     leaves = rows.mapInArrow(_prefix_rows(length, prefix), "h long, s long, rid long, lo int, hi int")
     # one extension only: every leaf under the prefix reads alike
     shared = leaves.groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("n > 1").select("h", (F.col("s0") == F.col("s1")).alias("alike"))
-    leaves = cut(leaves.join(shared, "h"))
+    leaves = stored(leaves.join(stored(shared), "h"))
     alike = leaves.where("alike").select("rid", "lo", "hi")
     mixed = leaves.where("NOT alike")
-    nodes = cut(mixed.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("leaf")))
+    nodes = stored(mixed.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("leaf")))
     deep = mixed.join(nodes.where("n > 1").select("h", "s"), ["h", "s"], "left_semi").select("rid", "lo", "hi")
     spots = nodes.groupBy(F.col("leaf.rid").alias("rid")).agg(F.collect_list(F.struct("h", "leaf.lo", "leaf.hi")).alias("spots"))
     windows = rows.join(spots, "rid").select("rid", "doc", "spots").mapInArrow(_window_rows(length), "h long, w long, rid long, lo int")
     # a row that is repeated whole shows each leaf twice; two leaves must be two places
-    place = F.struct("rid", "lo")
-    twice = windows.groupBy("h", "w").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("h", "w")
-    cross = windows.join(twice, ["h", "w"], "left_semi").select("rid", "lo", (F.col("lo") + length).alias("hi"))
+    place = F.xxhash64("rid", "lo")
+    twice = windows.groupBy("h", "w").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b")
+    # a key other than the aggregate's own, so that both sides are dealt for the join and a crowded window can be split
+    key = F.col("h").bitwiseXOR(F.lit(1).cast("long")).alias("key")
+    cross = windows.select(key, "w", "rid", "lo").join(twice.select(key, "w"), ["key", "w"], "left_semi").select("rid", "lo", (F.col("lo") + length).alias("hi"))
     return alike.unionByName(deep).unionByName(cross)
 
 
