@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import layout, pose
 from .plans import registration
+from .plans.timers import Timers
 from .sources import ply, text
 
 
@@ -23,8 +24,12 @@ def register(spark: SparkSession, args: list[str]) -> int:
     points = ply.scan(spark, args[0]).withColumn("cloud_id", F.lit("source")).unionByName(ply.scan(spark, args[1]).withColumn("cloud_id", F.lit("target")))
     if "--raw" in options:
         points = layout.voxel_downsample(points, p.voxel_size).withColumn("pid", F.xxhash64("i", "j", "k")).select("cloud_id", "pid", "x", "y", "z")
-    clouds = registration.process_clouds(points, p)
-    got = registration.register(clouds, spark.createDataFrame([(0, "source", "target")], "pair_id long, source string, target string"), p)
+    timers = Timers(spark)
+    with timers.time("Preparing clouds"):
+        clouds = registration.process_clouds(points, p)
+    with timers.time("Registration"):
+        got = registration.register(clouds, spark.createDataFrame([(0, "source", "target")], "pair_id long, source string, target string"), p)
+    print(timers.report())
     registration.counts(clouds).show()
     got.clique.groupBy("kind").count().show()
     for row in got.transforms.collect():  # one row

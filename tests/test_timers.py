@@ -1,0 +1,16 @@
+"""Nested timers."""
+
+import pytest
+
+from orbweave.plans.timers import Timers
+
+
+def test_nesting():
+    timers = Timers()
+    with pytest.raises(ValueError, match="x"), timers.time("outer"):
+        with timers.time("inner"):
+            pass
+        raise ValueError("x")
+    lines = timers.report().split("\n")
+    assert lines[0].startswith("outer: ") and lines[1].startswith("  inner: ")
+    assert timers.lines[0][2] >= timers.lines[1][2] and not timers.stack
