@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import metric
+from ..tables import stored
 
 #: Descriptors of one block of the nearest-neighbour search.
 BLOCK = 2048
@@ -34,13 +37,39 @@ def radius_pairs(points: DataFrame, radius: float, queries: DataFrame | None = N
     return ask.join(have, ["cloud_id", "_x", "_y", "_z"]).withColumn("d2", d2).where(F.col("d2") < F.lit(radius * radius)).select("cloud_id", "pid", "nbr", "d2")
 
 
-def neighborhoods(points: DataFrame, radius: float, knn: int, queries: DataFrame | None = None) -> DataFrame:
-    """(cloud_id, pid, nbr, rk, d2): up to ``knn`` nearest inside the radius, itself included, ties by id."""
-    near = radius_pairs(points, radius, queries)
+def _ranked(near: DataFrame, knn: int) -> DataFrame:
     order = Window.partitionBy("cloud_id", "pid").orderBy("d2", "nbr")
     return near.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= knn).select("cloud_id", "pid", "nbr", "rk", "d2")
 
 
+def crowding(points: DataFrame, radius: float) -> float:
+    """The number of points in a point's cell, averaged over points."""
+    cells = points.select("cloud_id", *_cells(radius)).groupBy("cloud_id", "_x", "_y", "_z").count()
+    row = cells.agg(F.sum(F.col("count") * F.col("count")).alias("s"), F.sum("count").alias("n")).first()
+    return (row["s"] or 0) / (row["n"] or 1)
+
+
+def neighborhoods(points: DataFrame, radius: float, knn: int) -> DataFrame:
+    """(cloud_id, pid, nbr, rk, d2): up to ``knn`` nearest inside the radius, itself included, ties by id.
+
+    Where a cell holds far more points than are wanted, the search climbs a ladder of radii: a point that has ``knn``
+    neighbours strictly inside a smaller radius has its nearest among them, and only the others go on to twice the radius.
+    The rungs are stored, so a crowded cloud costs a few neighbours for each one wanted instead of all inside the radius.
+    """
+    halvings = min(6, max(0, math.floor(math.log2(max(1.0, crowding(points, radius) / (2 * knn))) / 2)))
+    if not halvings:
+        return _ranked(radius_pairs(points, radius), knn)
+    done: DataFrame | None = None
+    ask = points
+    for k in range(halvings, 0, -1):
+        got = stored(_ranked(radius_pairs(points, radius / 2**k, ask), knn))
+        full = got.where(F.col("rk") == knn).select("cloud_id", "pid")
+        found = got.join(full, ["cloud_id", "pid"], "left_semi")
+        done = found if done is None else done.unionByName(found)
+        ask = stored(ask.join(full, ["cloud_id", "pid"], "left_anti"))
+    return done.unionByName(_ranked(radius_pairs(points, radius, ask), knn))
+
+
 def narrow(neighbors: DataFrame, radius: float, knn: int) -> DataFrame:
     """A smaller neighbourhood out of a wider one: a prefix of its ranks up to and including the radius."""
     return neighbors.where((F.col("rk") <= knn) & (F.col("d2") <= F.lit(radius * radius)))

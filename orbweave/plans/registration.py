@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import consistency, descriptors, ground, layout, matching, neighbors, pose, segmentation, surface
-from .tables import stored
+from ..tables import stored
 
 
 @dataclass(frozen=True)

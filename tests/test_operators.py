@@ -306,3 +306,11 @@ def test_registration_recovers_a_known_pose(spark):
     assert np.allclose(got.transforms.first()["m"], matrix, atol=1e-3)
     counts = {r["cloud_id"]: r.asDict() for r in registration.counts(clouds).collect()}
     assert counts["a"]["points"] == 3 * n + 60 and counts["a"]["planes"] >= 3
+
+
+def test_ladder_of_radii_equals_one_radius(spark):
+    rng = np.random.default_rng(9)
+    points = cloud(spark, np.r_[rng.normal(0, 0.05, (600, 3)), rng.uniform(-1, 1, (60, 3))])
+    assert neighbors.crowding(points, 0.5) > 64
+    rows = lambda df: sorted((r["pid"], r["nbr"], r["rk"]) for r in df.collect())
+    assert rows(neighbors.neighborhoods(points, 0.5, 5)) == rows(neighbors._ranked(neighbors.radius_pairs(points, 0.5), 5))
