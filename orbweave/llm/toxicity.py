@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 FIT_ROWS, TERMS, RATIO, SUPPORT = 20_000, 400, 20.0, 0.02
 WINDOW = 50
+MEMORY = 1 << 17  #: words that a worker remembers
 QUOTE_SPAN, REPORT_SPAN = 12, 4
 WORDS = re.compile(r"[^\W\d_]+")
 #: Fixed word list: words that announce somebody else's words.
@@ -80,7 +81,7 @@ class Lexicon:
         heavier, then the earlier."""
         fresh = words - self.seen
         if fresh:
-            if len(self.seen) > 1 << 20:  # a memory of words only; they are found again
+            if len(self.seen) > MEMORY:  # words are only remembered; they can be found again
                 self.seen.clear()
                 self.known.clear()
             for word in words - self.seen:
