@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut, stored  # noqa: F401
+from ..tables import cut, stored  # noqa: F401
 
 #: A word, as the contracts define it: a run of characters other than space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -112,8 +112,14 @@ class Rolling:
         return mix((self.sums[hi] - self.sums[lo]) * self.down[lo] + (hi - lo).astype(np.uint64) * _MULT)
 
 
+def other_key(column: str) -> Column:
+    """A long column under another name and value: a join by it deals both sides anew, also where one is an aggregate by
+    the column itself, and adaptive execution can then split a crowded key."""
+    return F.col(column).bitwiseXOR(F.lit(1).cast("long")).alias("key")
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges`` (u, v) reaches.
+    """(node, root): the smallest node that each node of ``edges`` (u, v, longs) reaches.
 
     Min-label propagation with pointer jumping.  Each round aggregates messages on the map side before the shuffle
     and joins only unique keys to the edges, so a node with a very large degree is splittable, and is written to the
@@ -124,8 +130,9 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         told = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("told"))
         low = labels.join(told.withColumnRenamed("u", "node"), "node", "left").select("node", F.col("root").alias("was"), F.least("root", "told").alias("root"))
-        jump = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = cut(low.join(jump, "root", "left").select("node", "was", F.least("root", "next").alias("root")))
+        # dealt anew by another key on both sides, so that a root of very many nodes can be split
+        jump = low.select(other_key("node"), F.col("root").alias("next"))
+        new = cut(low.select("*", other_key("root")).join(jump, "key", "left").select("node", "was", F.least("root", "next").alias("root")))
         done = new.where("was != root").isEmpty()
         labels = new.select("node", "root")
         if done:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, utf8
+from .common import components, cut, other_key, utf8
 
 #: Low bit and width of each block.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
@@ -65,8 +65,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             data, off = utf8(batch.column(1))
             fps = np.zeros(len(off) - 1, np.uint64)
             lo = 0
-            while lo < len(fps):  # texts of about 4 MB at a time
-                hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 22), side="right")) - 1), len(fps))
+            while lo < len(fps):  # texts of about 1 MB at a time
+                hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 20), side="right")) - 1), len(fps))
                 fps[lo:hi] = fingerprint_batch([data[off[k] : off[k + 1]].tobytes() for k in range(lo, hi)], shingle)
                 lo = hi
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
@@ -228,7 +228,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     roots = components(links(nodes, bits))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
+    named = named.select("fp", other_key("root")).join(least.select(other_key("root"), "component_id"), "key").select("fp", "component_id")
     return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, pieces, stored, utf8, word_hashes, word_spans
+from .common import Rolling, other_key, pieces, stored, utf8, word_hashes, word_spans
 
 LENGTH, PREFIX = 35, 5
 
@@ -168,9 +168,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
     # a row that is repeated whole shows each leaf twice; two leaves must be two places
     place = F.xxhash64("rid", "lo")
     twice = windows.groupBy("h", "w").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b")
-    # a key other than the aggregate's own, so that both sides are dealt for the join and a crowded window can be split
-    key = F.col("h").bitwiseXOR(F.lit(1).cast("long")).alias("key")
-    cross = windows.select(key, "w", "rid", "lo").join(twice.select(key, "w"), ["key", "w"], "left_semi").select("rid", "lo", (F.col("lo") + length).alias("hi"))
+    cross = windows.select(other_key("h"), "w", "rid", "lo").join(twice.select(other_key("h"), "w"), ["key", "w"], "left_semi").select("rid", "lo", (F.col("lo") + length).alias("hi"))
     return alike.unionByName(deep).unionByName(cross)
 
 
