@@ -3,7 +3,7 @@
 Markup is stripped to lines: each block element and line break ends a line, inline markup vanishes, and elements that
 cannot hold main text (scripts, styles, menus, headers, footers, sidebars, forms, adverts, notices, comments of readers) leave
 lines of length zero.  The length of line block k is the sum of the text lengths of ``BLOCK`` lines from k on.  The main text
-begins at a surge point, where a block exceeds the threshold and its first lines are not empty, and ends at the dive
+begins at a surge point, where a block exceeds the threshold and its first line half of it, and ends at the dive
 point after it, where the following block falls to zero.  Where the page marks its article, only lines in it have a length
 and any text is a surge; elsewhere the threshold adapts to the page, and the region with the most text wins.
 
@@ -103,10 +103,10 @@ def main_text(page: str | None) -> str:
     article = any(ok and marked for _, ok, marked in lines)
     size = np.array([len(t) if ok and (marked or not article) else 0 for t, ok, marked in lines])
     block = np.convolve(size, np.ones(BLOCK, np.int64))[BLOCK - 1 :]
-    least = 0 if article else min(LEAST, block.max() - 1)
+    least, begin = (0, 0) if article else (min(LEAST, block.max() - 1), min(LEAST // 2, size.max() - 1))
     regions, k, n = [], 0, len(lines)
     while k < n:
-        if block[k] > least and size[k] > 0:  # surge
+        if block[k] > least and size[k] > begin:  # surge
             stop = k
             while stop < n and block[stop] > 0:  # dive
                 stop += 1

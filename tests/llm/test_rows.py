@@ -92,6 +92,12 @@ def test_html(spark):
     assert html_extract.extract(rows.limit(0)).count() == 0
 
 
+def test_html_without_article():
+    page = "<div>Home | About</div><div class='sidebar'>side text</div><div><p>A long paragraph of text that goes on and on for a while.</p><p>Short.</p><p>Another long paragraph with <b>bold</b> words &amp; more.</p></div><div id='comments'><p>nice</p></div><footer>x</footer>"
+    assert html_extract.main_text(page) == "A long paragraph of text that goes on and on for a while.\nShort.\nAnother long paragraph with bold words & more."
+    assert html_extract.main_text("plain") == "plain"
+
+
 def test_html_matches_articles_of_the_pages(spark, sf_dir):
     import html
 
