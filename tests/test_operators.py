@@ -305,7 +305,7 @@ def test_registration_recovers_a_known_pose(spark):
     got = registration.register(clouds, pairs, p)
     assert np.allclose(got.transforms.first()["m"], matrix, atol=1e-3)
     counts = {r["cloud_id"]: r.asDict() for r in registration.counts(clouds).collect()}
-    assert counts["a"]["points"] == 3 * n + 60 and counts["a"]["planes"] >= 3
+    assert counts["a"]["points"] == 3 * n + 60 and counts["a"]["planes"] >= 2
 
 
 def test_ladder_of_radii_equals_one_radius(spark):
