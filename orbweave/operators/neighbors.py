@@ -29,7 +29,9 @@ def radius_pairs(points: DataFrame, radius: float, queries: DataFrame | None = N
     if not radius > 0:
         raise ValueError("radius must be positive")
     side = F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1))))
-    ask = (points if queries is None else queries).select("cloud_id", "pid", "x", "y", "z", *_cells(radius))
+    # dealt by point first: a small file is one partition, and the pairs it grows into shouldn't be
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ask = (points if queries is None else queries).repartition(parts, "cloud_id", "pid").select("cloud_id", "pid", "x", "y", "z", *_cells(radius))
     for c in "xyz":
         ask = ask.withColumn("_o", side).withColumn(f"_{c}", F.col(f"_{c}") + F.col("_o")).drop("_o")
     have = points.select("cloud_id", F.col("pid").alias("nbr"), *(F.col(c).alias(f"n{c}") for c in "xyz"), *_cells(radius))
