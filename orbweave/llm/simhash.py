@@ -235,7 +235,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is its group's smallest.  If ids repeat, rows that repeat an id and its text are
     one row; rows that share the smallest id but differ in text all stay."""
-    found = cut(groups(docs, id_col, text_col))
+    return rows_of_least(docs, groups(docs, id_col, text_col), id_col, text_col)
+
+
+def rows_of_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is the component_id that ``found`` gives it."""
+    found = cut(found)
     keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep"))
     repeated = not found.groupBy(id_col).count().where("count > 1").isEmpty()
     if repeated:
