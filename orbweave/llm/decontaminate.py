@@ -3,8 +3,9 @@
 A mask selects positions of a span of tokens and ignores the others, so a hit survives substitutions at ignored positions.
 The masks below together hit every passage of 15 or 20 tokens of which a fifth is substituted.  Masked tokens of benchmark
 items and of documents are hashed and joined.  A hit is verified where it lies: document and item are aligned on its
-diagonal and compared token by token in a window of up to ``WINDOW`` tokens of the item around the hit, and the
-overlap counts if at least ``OVERLAP`` of the window is equal.
+diagonal and compared token by token in all windows of the item that hold the hit, of 25, 20 and 15 tokens or the whole of
+a shorter item.  The overlap counts if at least ``OVERLAP`` of a window is equal; the longest such window, and of its
+length the best, stands for the hit.
 
 Tokens are lower-case runs of letters and digits.  Items under five tokens are not searched for; items shorter than a
 mask's span are hashed whole.  Null and empty texts have no tokens.  Items that repeat give a row for each item_id;
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MASKS = ((0, 1, 2, 3, 4), (0, 2, 3, 5, 6), (0, 1, 4, 5, 7))
-LEAST, WINDOW, OVERLAP = 5, 25, 0.8
+LEAST, WINDOWS, OVERLAP = 5, (25, 20, 15), 0.8
 BROADCAST_TOKENS = 500_000
 
 
@@ -70,14 +71,29 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
         keyed = rows.select("id", F.xxhash64("id", "text").alias("rid"), "text")
         narrow = looked(keyed.select("rid", tokens(F.col("text")).alias("w"))).select("rid", "i", "h").join(seeds, "h").select("rid", "item", "i", "at").distinct()
         found = narrow.join(keyed, "rid").select("id", tokens(F.col("text")).alias("w"), "item", "i", "at").join(bench, "item")
-    n = F.size("t")
-    wide = F.least(n, F.lit(WINDOW))
-    # the window: around the hit, inside the item
-    begin = F.least(F.greatest(F.col("at") - ((F.lit(WINDOW) - 6) / 2).cast("int"), F.lit(0)), n - wide)
-    found = found.select("id", "item", "w", "t", wide.alias("wide"), begin.alias("begin"), (F.col("i") - F.col("at")).alias("shift"))
-    same = F.size(F.filter(F.sequence(F.col("begin"), F.col("begin") + F.col("wide") - 1), lambda k: (k + F.col("shift") >= 0) & F.get("t", k).eqNullSafe(F.get("w", k + F.col("shift")))))
-    found = found.select("id", "item", (F.col("begin") + F.col("shift")).alias("at"), "wide", same.alias("same"))
-    return found.where(F.col("same") >= F.ceil(F.col("wide") * OVERLAP))
+    n, at = F.size("t"), F.col("at")
+    # one bit for each token of the item that a window with the hit can hold, the last one lowest: whether it is equal
+    low, high = F.greatest(at - (WINDOWS[0] - 1), F.lit(0)), F.least(at + (WINDOWS[0] - 1), n - 1)
+    # only the tokens around the hit go on, since the hits of a document are held together
+    start = F.greatest(F.col("i") - (WINDOWS[0] - 1), F.lit(0))
+    around = lambda tokens, begin: F.slice(tokens, begin + 1, 2 * WINDOWS[0] - 1)
+    found = found.select("id", "item", "i", "at", n.alias("n"), low.alias("low"), high.alias("high"), start.alias("start"), around("t", low).alias("t"), around("w", start).alias("w"))
+    low, high = F.col("low"), F.col("high")
+    same = lambda k: (k + F.col("i") - at >= 0) & F.get("t", k - low).eqNullSafe(F.get("w", k + F.col("i") - at - F.col("start")))
+    bits = F.aggregate(F.sequence(low, high), F.lit(0).cast("long"), lambda all_, k: all_ * 2 + F.when(same(k), 1).otherwise(0).cast("long"))
+    found = found.select("id", "item", "at", "n", "high", (F.col("i") - at).alias("shift"), F.explode(F.array(bits)).alias("bits"))  # generated, so that filters don't repeat it
+
+    def best(most: int) -> Column:
+        """The best window of a length that holds the hit, if it counts; of equal ones the first."""
+        wide = F.least(F.col("n"), F.lit(most))
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), wide) - 1
+        equal = lambda b: F.bit_count(F.call_function("shiftright", F.col("bits"), F.col("high") - b - wide + 1).bitwiseAND(mask))
+        begins = F.sequence(F.greatest(at - wide + 1, F.lit(0)), F.least(at, F.col("n") - wide))
+        top = F.array_max(F.transform(begins, lambda b: F.struct(equal(b).alias("same"), (-b).alias("back"))))
+        return F.when(top["same"] >= F.ceil(wide * OVERLAP), F.struct((F.col("shift") - top["back"]).alias("at"), wide.alias("wide"), top["same"].alias("same")))
+
+    found = found.where(F.bit_count("bits") >= F.ceil(F.least(F.col("n"), F.lit(WINDOWS[-1])) * OVERLAP))
+    return found.select("id", "item", F.explode(F.array_compact(F.array(F.coalesce(*(best(most) for most in WINDOWS))))).alias("b")).select("id", "item", "b.at", "b.wide", "b.same")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

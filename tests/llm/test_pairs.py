@@ -156,3 +156,25 @@ def test_decontamination(spark, monkeypatch, most):
     assert long <= set(got) <= set(want)
     clean = {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()}
     assert clean == set(range(len(texts))) - {k for k, _ in got}
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_decontamination_of_parts_of_items(spark, monkeypatch, most):
+    """A passage from anywhere in a longer item, a fifth substituted, in other text."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_TOKENS", most)
+    rng = random.Random(10)
+    items = [[f"i{j}t{rng.randrange(900)}" for _ in range(n)] for j, n in enumerate((30, 38, 59, 59, 120))]
+    texts, want = [], set()
+    for k in range(150):
+        j, size = rng.randrange(len(items)), rng.choice((15, 20, 25))
+        at = rng.choice((0, len(items[j]) - size, rng.randrange(len(items[j]) - size + 1)))
+        part = items[j][at : at + size]
+        for gone in rng.sample(range(size), size // 5):
+            part[gone] = f"z{rng.random()}".replace(".", "")
+        texts.append(" ".join([f"b{rng.randrange(900)}" for _ in range(rng.randrange(30))] + part + [f"c{rng.randrange(900)}" for _ in range(rng.randrange(30))]))
+        want.add((k, j))
+    texts += [" ".join(items[2][20:31]), " ".join(f"b{rng.randrange(900)}" for _ in range(99))]  # 11 tokens; none
+    bench = spark.createDataFrame([(j, " ".join(t)) for j, t in enumerate(items)], "item_id long, text string")
+    got = decontaminate.overlaps(table(spark, texts), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert all(r["overlap"] >= 0.8 for r in got)
