@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines: each block element and line break ends a line, inline markup vanishes, and elements that
-cannot hold main text (scripts, styles, menus, headers, footers, sidebars, forms, adverts, notices, comments of readers) leave
-lines of length zero.  The length of line block k is the sum of the text lengths of ``BLOCK`` lines from k on.  The main text
-begins at a surge point, where a block exceeds the threshold and its first line half of it, and ends at the dive
-point after it, where the following block falls to zero.  Where the page marks its article, only lines in it have a length
-and any text is a surge; elsewhere the threshold adapts to the page, and the region with the most text wins.
+cannot hold main text (scripts, styles, menus, headers, footers, sidebars, forms, adverts, notices, comments of readers) are
+shut out.  The length of line block k is the sum of the text lengths of ``BLOCK`` lines from k on, lines that are shut out not
+counted.  A surge point is where a block exceeds a threshold that adapts to the page and its first line half of it.  The main
+text lies from the first to the last surge point, reaching back and on over short lines to the next line shut out; what
+interrupts it is left out alone.  Where the page marks its article, any text in it is a surge and nothing outside is.  Class
+and id values of elements around the article count only if another article is left.
 
 A null page and a page without text give an empty string.  Broken and cut-off markup is read to its end.  Repeated rows
 are extracted alike; extra columns are ignored.
@@ -35,28 +36,33 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BOILER = frozenset("nav footer aside form button menu dialog header".split())
 #: Fixed word list: parts of class, id and role values that mark other than main text.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|disqus|footer|form|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo|promoted|related|replies|respond|search|share|sharing|sidebar|signup|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Of these, the parts of an article's own head.
+HEADS = re.compile(r"(?:^|(?<=[\s_-]))(?:banner|header|masthead)(?=$|[\s_-])", re.I)
 VALUES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACES = re.compile(r"\s+")
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, whether it can be main text, whether the page marks it as article) of each line."""
-    out: list[tuple[str, bool, bool]] = []
+def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
+    """(text, whether it can be main text, whether the page marks it as article, whether it can be main text if class and id
+    values around the article don't count) of each line."""
+    out: list[tuple[str, bool, bool, bool]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it shuts text out, whether it is an article
-    shut = marked = 0
+    # element, whether it shuts text out, whether it is an article, whether it does the first by values outside articles
+    stack: list[tuple[str, bool, bool, bool]] = []
+    shut = marked = around = 0
 
     def end() -> None:
         line = SPACES.sub(" ", html.unescape("".join(text))).strip()
         text.clear()
         if line:
-            out.append((line, not shut, marked > 0))
+            out.append((line, not shut, marked > 0, shut == around))
 
     def drop(upto: int) -> None:
-        nonlocal shut, marked
-        for _, out_, art in stack[upto:]:
+        nonlocal shut, marked, around
+        for _, out_, art, outside in stack[upto:]:
             shut -= out_
             marked -= art
+            around -= outside
         del stack[upto:]
 
     at = 0
@@ -86,36 +92,35 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
                     break
         art = tag in ("article", "main")
         values = " ".join(" ".join(filter(None, v)) for v in VALUES.findall(m["attrs"])) if m["attrs"] else ""
-        out_ = tag in BOILER and not (tag == "header" and marked) or bool(values) and tag not in ("html", "body", "article", "main") and MARKS.search(values) is not None
-        stack.append((tag, out_, art))
+        by_tag = tag in BOILER and not (tag == "header" and marked)
+        named = HEADS.sub(" ", values) if marked else values
+        out_ = by_tag or bool(named) and tag not in ("html", "body", "article", "main") and MARKS.search(named) is not None
+        stack.append((tag, out_, art, out_ and not by_tag and not marked))
         shut += out_
         marked += art
+        around += stack[-1][3]
     text.append(page[at:])
     end()
     return out
 
 
 def main_text(page: str | None) -> str:
-    """Lines between surge and dive points, joined by line feeds."""
+    """The lines of the main text, joined by line feeds."""
     lines = lines_of(page or "")
     if not lines:
         return ""
-    article = any(ok and marked for _, ok, marked in lines)
-    size = np.array([len(t) if ok and (marked or not article) else 0 for t, ok, marked in lines])
+    if any(marked for _, _, marked, _ in lines):
+        kept = [t for t, ok, marked, _ in lines if ok and marked] or [t for t, _, marked, inside in lines if inside and marked]
+        if kept:
+            return "\n".join(kept)
+    run = np.cumsum([not ok for _, ok, _, _ in lines])[[ok for _, ok, _, _ in lines]]  # allowed lines between two that are shut out
+    texts = [t for t, ok, _, _ in lines if ok]
+    if not texts:
+        return ""
+    size = np.array([len(t) for t in texts])
     block = np.convolve(size, np.ones(BLOCK, np.int64))[BLOCK - 1 :]
-    least, begin = (0, 0) if article else (min(LEAST, block.max() - 1), min(LEAST // 2, size.max() - 1))
-    regions, k, n = [], 0, len(lines)
-    while k < n:
-        if block[k] > least and size[k] > begin:  # surge
-            stop = k
-            while stop < n and block[stop] > 0:  # dive
-                stop += 1
-            regions.append((k, stop))
-            k = stop
-        k += 1
-    if not article and regions:
-        regions = [max(regions, key=lambda r: (size[r[0] : r[1]].sum(), -r[0]))]
-    return "\n".join(lines[j][0] for a, b in regions for j in range(a, b) if size[j] > 0)
+    surge = run[(block > min(LEAST, block.max() - 1)) & (size > min(LEAST // 2, size.max() - 1))]
+    return "\n".join(t for t, r in zip(texts, run.tolist(), strict=True) if len(surge) and surge[0] <= r <= surge[-1])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

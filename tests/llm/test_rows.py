@@ -98,6 +98,25 @@ def test_html_without_article():
     assert html_extract.main_text("plain") == "plain"
 
 
+LONG = [f"Paragraph {k} of text that goes on and on for a while, and a while more." for k in range(4)]
+
+
+def test_html_without_article_keeps_all_of_it():
+    bars = "".join(f"<div class='share'>Share {k}</div>" for k in range(4))
+    p = [f"<p>{x}</p>" for x in LONG]
+    page = f"<div>Home | About</div><nav>x</nav><h2>Title</h2><p>Sh is.</p>{p[0]}{bars}{p[1]}<form>a<p>b<p>c<p>d</form><p>Short.</p>{bars}{p[2]}{p[3]}<footer>y</footer><div>Legal</div>"
+    assert html_extract.main_text(page) == "\n".join(["Title", "Sh is.", LONG[0], LONG[1], "Short.", LONG[2], LONG[3]])
+    assert html_extract.main_text(f"<nav>{p[0]}</nav>") == ""
+
+
+def test_html_article_within_marked_parts():
+    article = f"<article><div class='entry-header'><h1>Title</h1></div><header class='header'>By x</header><p>{LONG[0]}</p><div class='ads'>Buy</div></article>"
+    want = f"Title\nBy x\n{LONG[0]}"
+    assert html_extract.main_text(f"<div class='form search'>{article}</div><div>Other</div>") == want
+    # articles of readers and of sidebars stay out where the page has one of its own
+    assert html_extract.main_text(f"{article}<section id='comments'><article>Nice</article></section><aside><article>More</article></aside>") == want
+
+
 def test_html_matches_articles_of_the_pages(spark, sf_dir):
     import html
 
