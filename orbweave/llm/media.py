@@ -7,7 +7,8 @@ decoded side by side in numpy.  The frames go into a RIFF AVI file with an ``idx
 
 Reading parses the RIFF tree, follows the index to each frame, checks the frame's markers and decodes the intra frame.
 Shots end where the difference of neighbouring frames' histograms exceeds mean + ``SIGMA`` deviations of the differences in
-the same clip, and give timed rows.
+the same clip, and, since that can't fire in clips of two to four frames or of many cuts, also where a share of ``HARD`` of
+the samples changes its bin, or a share of ``FLOOR`` that is ``TIMES`` the lower quartile of the clip.  They give timed rows.
 
 A null text is an empty one, which is a frame of spaces.  Equal texts have equal files.  Frames whose headers differ from
 those written here are refused with a ValueError.  Extra columns are ignored.
@@ -29,6 +30,7 @@ from .common import pieces, utf8
 UNIT, COLS, ROWS = 192, 24, 8
 FPS = 25
 BINS, SIGMA = 16, 1.5
+HARD, FLOOR, TIMES = 0.5, 0.25, 3
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -206,7 +208,9 @@ def shots(frames: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
         return np.zeros(min(n, 1), np.int64)
     hist = np.bincount((np.arange(n)[:, None] * BINS + (frames >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
     change = np.abs(np.diff(hist, axis=0)).sum(axis=1)
-    return np.r_[0, np.flatnonzero(change > change.mean() + sigma * change.std()) + 1]
+    share = change / (2 * frames.shape[1])
+    sharp = (share >= HARD) | (share >= FLOOR) & (share >= TIMES * np.quantile(share, 0.25, method="lower"))
+    return np.r_[0, np.flatnonzero(sharp | (change > change.mean() + sigma * change.std())) + 1]
 
 
 def _payloads(column: pa.Array):

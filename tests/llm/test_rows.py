@@ -76,6 +76,19 @@ def test_media_random_frames_and_broken_files():
             media.decode([bad])
 
 
+@pytest.mark.parametrize("levels", [[0, 200], [0, 0, 200], [0, 200, 0, 200], [0, 0, 200, 200, 100], [0, 200, 200, 200, 0, 0], [0, 0, 90, 90, 200, 200, 20, 20], list(range(0, 256, 16)), [7] * 9])
+def test_media_cuts_in_short_and_much_cut_clips(levels):
+    frames = np.repeat(np.array(levels, np.uint8)[:, None], 192, axis=1)
+    frames[:, :19] = np.random.default_rng(3).integers(0, 256, (len(levels), 19)).astype(np.uint8) if len(set(levels)) > 1 else 7  # a tenth is noise
+    assert media.shots(frames).tolist() == [0] + [k for k in range(1, len(levels)) if levels[k] != levels[k - 1]]
+
+
+def test_media_cuts_of_part_of_a_frame():
+    frames = np.zeros((6, 192), np.uint8)
+    frames[2:4, :60] = 200  # 31 % of the samples, two cuts among five transitions
+    assert media.shots(frames).tolist() == [0, 2, 4]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
 <header>Site <b>name</b></header><nav><ul><li><a href="/a">A</a></li></ul></nav><!-- <p>no</p> --><div class="ad">Buy</div>
 <article><h1>Head &amp; more</h1><p>First <b>bold</b>  para.<p>Second&nbsp;one<br>line</p><div class="share">Share</div><p>a &lt; b &#233;</p></article>
