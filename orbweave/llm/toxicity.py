@@ -1,18 +1,25 @@
 """Toxicity by fuzzy lexicon look-up in context.
 
-The lexicon is learned: words and word stems whose rate in toxic training texts is at least ``RATIO`` times their rate in
-others.  They form a trie.  A word of a text is compared by intersecting its Levenshtein automaton with the trie: the
-automaton's state (one row of edit distances) is carried down the trie and a branch ends when no distance within the term's
-allowance is left, so misspelled terms are found without comparing each term.  Each hit is weighed by its term and scored in a
-context window: inside quotation marks or shortly after a word of reporting it counts as quotation, else as abuse.
-Rates of abusive, misspelled and quoted hits and the densest window go into a logistic score.
+The lexicon is learned: words of any length and word stems of ``STEMS`` letters whose rate in toxic training texts is at least
+``RATIO`` times their rate in others; texts that read alike are counted once.  They form a trie.  A word of a text is compared by
+intersecting its Levenshtein automaton with the trie: the automaton's state (one row of edit distances) is carried down the
+trie and a branch ends when no distance within the term's allowance is left, so misspelled terms are found without comparing
+each term.
+
+A hit weighs its term's log-odds.  A misspelled hit weighs the log-odds that ``MISSPELLED`` of the term's uses in toxic texts
+would give against how often words so close to the term occur in clean texts, between nothing and the term's own weight; a term
+whose neighbourhood is common among clean words so adds little.  Each hit is scored in a context window: inside quotation marks
+or shortly after a word of reporting it is quotation and counts ``QUOTED`` of its weight, else it is abuse.  The rate of
+weighed hits and the densest window of ``WINDOW`` words go into a logistic score whose weights are not negative, so that a further
+hit of any kind never lowers the score of a text of the same length.
 
 Learning uses at most about ``FIT_ROWS`` labelled rows, chosen by id hash (documented bound of the sample); lexicon and
 weights are of bounded size, and scoring is one pass over whole texts without a shuffle.
 
 Null and empty texts have no words and get the score of a text without hits.  Without labelled rows, or with one class only,
-the lexicon is empty and the score is the share of toxic rows.  Conflicting labels of an id count as toxic.  Repeated
-rows are scored alike; extra columns are ignored.
+the lexicon is empty and the score is the share of toxic rows.  Conflicting labels of an id or a text count as toxic.  Repeated
+rows are scored alike; very long texts are scored whole; of terms at one distance the heavier, then the earlier one counts;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +34,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIT_ROWS, TERMS, RATIO, SUPPORT = 20_000, 400, 20.0, 0.02
+from .common import stored
+
+FIT_ROWS, RATIO, SUPPORT, STEMS = 20_000, 20.0, 0.02, range(4, 10)
+MISSPELLED, QUOTED = 0.1, 0.2
 WINDOW = 50
 MEMORY = 1 << 17  #: words that a worker remembers
 QUOTE_SPAN, REPORT_SPAN = 12, 4
@@ -40,13 +50,13 @@ OPENING, CLOSING = '"“«„‘‹', '"”»“’›'
 class Lexicon:
     """Terms in a trie; a stem matches the beginning of a word."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]]):
-        """terms: (text, whether a stem, weight)."""
+    def __init__(self, terms: list[tuple[str, bool, float, float]]):
+        """terms: (text, whether a stem, weight, weight of a misspelled use)."""
         self.terms = terms
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.reach = [0]  # the largest allowance below a node
-        for number, (text, stem, _) in enumerate(terms):
+        for number, (text, stem, _, _) in enumerate(terms):
             allowed, node = self.allowance(text, stem), 0
             self.reach[0] = max(self.reach[0], allowed)
             for char in text:
@@ -60,7 +70,7 @@ class Lexicon:
         # a match within k edits leaves one of k + 1 parts of the term whole, moved by the edits before it, and the last one
         # at the word's end: a cheap test before the automaton; where, how long, and words' lengths by part
         self.parts: dict[tuple[int, int], dict[str, range]] = {}
-        for text, stem, _ in terms:
+        for text, stem, _, _ in terms:
             k, n = self.allowance(text, stem), len(text)
             lengths = range(n, 1 << 40) if stem else range(n - k, n + k + 1)
             cuts = [round(j * n / (k + 1)) for j in range(k + 2)]
@@ -105,7 +115,7 @@ class Lexicon:
         while stack:
             node, row = stack.pop()
             for number in self.ends[node]:
-                text, stem, weight = self.terms[number]
+                text, stem, weight, _ = self.terms[number]
                 distance = min(row) if stem else row[n]
                 if distance <= self.allowance(text, stem) and (best is None or (distance, -weight, number) < best):
                     best = (distance, -weight, number)
@@ -125,88 +135,103 @@ class Lexicon:
         self.seen, self.known = set(), {}
 
 
-def features(text: str, lexicon: Lexicon) -> list[float]:
-    """Of a whole text: logs of the rates of abusive, misspelled and quoted weight, of the densest window, and marks."""
-    text = text.lower()
+def hits_of(text: str, lexicon: Lexicon) -> tuple[np.ndarray, int, list[tuple[int, int, bool]]]:
+    """The number of words before each hit, the number of words, and (term, distance, whether quoted) of each hit of a lower-case text."""
     words = WORDS.findall(text)
-    hits = lexicon.find(set(words))
-    if not hits:
-        return [0.0] * 5
+    known = lexicon.find(set(words))
+    if not known:
+        return np.zeros(0, np.int64), len(words), []
     spans = [m.span() for m in WORDS.finditer(text)]
-    exact = fuzzy = quoted = 0.0
-    weights = np.zeros(len(words) + 1)
+    at, out = [], []
     for k, word in enumerate(words):
-        got = hits.get(word)
+        got = known.get(word)
         if got is None:
             continue
-        weight = lexicon.terms[got[0]][2]
         near = text[spans[max(0, k - QUOTE_SPAN)][0] : spans[k][0]]
         far = text[spans[k][1] : spans[min(len(words) - 1, k + QUOTE_SPAN)][1]]
         opened = max(near.rfind(c) for c in OPENING)
         inside = opened >= 0 and sum(near.count(c) for c in '"') % 2 == (near[opened] == '"') and any(c in far for c in CLOSING)
-        if inside or REPORTING & set(words[max(0, k - REPORT_SPAN) : k]):
-            quoted += weight
-            continue
-        weights[k + 1] = weight
-        if got[1]:
-            fuzzy += weight
-        else:
-            exact += weight
-    sums = np.cumsum(weights)
-    wide = min(WINDOW, len(words))
-    dense = float((sums[wide:] - sums[:-wide]).max()) / WINDOW
-    n = len(words) / 100
-    return [math.log1p(exact / n), math.log1p(fuzzy / n), math.log1p(quoted / n), math.log1p(100 * dense), float(exact > 0)]
+        at.append(k)
+        out.append((*got, inside or not REPORTING.isdisjoint(words[max(0, k - REPORT_SPAN) : k])))
+    return np.array(at, np.int64), len(words), out
+
+
+def features(text: str, lexicon: Lexicon) -> list[float]:
+    """Of a whole text: logs of the rate of weighed hits among a hundred words, and of that in the densest window."""
+    at, n, hits = hits_of(text.lower(), lexicon)
+    if not hits:
+        return [0.0, 0.0]
+    value = np.array([lexicon.terms[term][3 if distance else 2] * (QUOTED if quoted else 1.0) for term, distance, quoted in hits])
+    sums = np.r_[0.0, np.cumsum(value)]
+    dense = float((sums[np.searchsorted(at, at + WINDOW)] - sums[:-1]).max())
+    return [math.log1p(100 * float(sums[-1]) / n), math.log1p(100 * dense / WINDOW)]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Uses and texts of words and stems by class; '' is any word."""
     for batch in batches:
-        seen: dict[tuple[str, bool], list[int]] = {}
+        seen: dict[tuple[str, bool], list[int]] = {("", False): [0, 0, 0]}
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for word, n in Counter(WORDS.findall((text or "").lower())).items():
-                for stem in range(4, min(len(word), 9) + 1) if len(word) <= 24 else ():
-                    key = (word[:stem], True) if stem < len(word) else (word, False)
-                    got = seen.setdefault(key, [0, 0, 0])
-                    got[toxic] += n
-                    got[2] += toxic
-                if len(word) > 9 and len(word) <= 24:
-                    got = seen.setdefault((word, False), [0, 0, 0])
-                    got[toxic] += n
-                    got[2] += toxic
+            mine: Counter[tuple[str, bool]] = Counter()
+            for word, n in Counter(WORDS.findall(text.lower())).items():
+                mine["", False] += n
+                mine[word, False] += n
+                for size in STEMS:  # a stem also stands where it is a whole word
+                    if size <= len(word):
+                        mine[word[:size], True] += n
+            for key, n in mine.items():
+                got = seen.setdefault(key, [0, 0, 0])
+                got[toxic] += n
+                got[2] += toxic
         keys = list(seen)
         columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_())]
         columns += [pa.array([seen[k][j] for k in keys], pa.int64()) for j in range(3)]
         yield pa.RecordBatch.from_arrays(columns, names=["term", "stem", "clean", "toxic", "texts"])
 
 
-def choose(rows: list[tuple[str, bool, int, int, int]], words: tuple[float, float]) -> list[tuple[str, bool, float]]:
-    """The lexicon from (term, stem, uses in clean, uses in toxic, toxic texts): no term that another one covers."""
+def log_odds(toxic: float, clean: float, words: tuple[float, float]) -> float:
+    """Of a rate in toxic words to that in clean ones."""
+    return math.log((toxic + 0.5) / words[1]) - math.log((clean + 0.5) / words[0])
+
+
+def choose(rows: list[tuple[str, bool, int, int, int]], words: tuple[float, float]) -> list[tuple[str, bool, float, float, int]]:
+    """The lexicon as (term, stem, weight, weight, uses in toxic) from (term, stem, uses in clean, uses in toxic, toxic texts): no
+    term that a better one covers."""
     scored = []
     for term, stem, clean, toxic, texts in rows:
-        # a stem also stands where it is a whole word
-        weight = math.log((toxic + 0.5) / words[1]) - math.log((clean + 0.5) / words[0])
-        scored.append((round(texts * weight, 3), not stem, len(term), term, stem, weight))
-    out: list[tuple[str, bool, float]] = []
-    for _, _, _, term, stem, weight in sorted(scored, key=lambda x: (-x[0], -x[1], -x[2], x[3])):
-        if not any(t.startswith(term) or (s and term.startswith(t)) for t, s, _ in out):
-            out.append((term, stem, weight))
-        if len(out) == TERMS:
-            break
+        weight = log_odds(toxic, clean, words)
+        scored.append((round(texts * weight, 3), not stem, len(term), term, stem, weight, toxic))
+    out: list[tuple[str, bool, float, float, int]] = []
+    whole: set[str] = set()  # heads of the terms, up to the longest stem
+    stems: set[str] = set()
+    for _, _, _, term, stem, weight, toxic in sorted(scored, key=lambda x: (-x[0], -x[1], -x[2], x[3])):
+        if term not in whole and not any(term[:size] in stems for size in STEMS):
+            out.append((term, stem, weight, weight, toxic))
+            whole |= {term, *(term[:size] for size in STEMS)}
+            if stem:
+                stems.add(term)
     return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights (the last is the intercept) by Newton steps with a ridge."""
-    x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    """Weights, none negative, and the intercept at the end, by Newton steps with a ridge; a feature whose weight would be negative
+    gets none."""
+    use = list(range(x.shape[1]))
+    while True:
+        part = np.c_[x[:, use], np.ones(len(x))]
+        w = np.zeros(part.shape[1])
+        penalty = np.diag([ridge] * len(use) + [1e-6])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            step = np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + penalty, part.T @ (y - p) - penalty @ w)
+            w = w + step
+            if np.abs(step).max() < 1e-8:
+                break
+        if (w[:-1] >= 0).all():
+            out = np.zeros(x.shape[1] + 1)
+            out[use], out[-1] = w[:-1], w[-1]
+            return out
+        use.pop(int(w[:-1].argmin()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[Lexicon, np.ndarray]:
@@ -217,24 +242,39 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     share = min(1.0, fit_rows / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
     # bounded by fit_rows; ids alone
-    sample = docs.select(id_col, text_col).join(F.broadcast(known), id_col).select(F.coalesce(text_col, F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    n_words = F.size(F.split("text", r"[\s\d\p{Punct}]+"))
-    totals = {r["toxic"]: r for r in sample.groupBy("toxic").agg(F.sum(n_words).alias("words"), F.count("*").alias("rows")).collect()}
-    if set(totals) != {0, 1}:
-        share = 1e-3 if set(totals) != {1} else 1 - 1e-3
-        return Lexicon([]), np.array([0.0] * 5 + [math.log(share / (1 - share))])
-    words = (totals[0]["words"], totals[1]["words"])
-    counts = sample.mapInArrow(_counts, "term string, stem boolean, clean long, toxic long, texts long").groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "texts")))
+    sample = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(known), id_col).groupBy("text").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    sample = stored(sample)  # three plans read it
+    n_rows = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if set(n_rows) != {0, 1}:
+        share = 1e-3 if set(n_rows) != {1} else 1 - 1e-3
+        return Lexicon([]), np.array([0.0, 0.0, math.log(share / (1 - share))])
+    counts = stored(sample.mapInArrow(_counts, "term string, stem boolean, clean long, toxic long, texts long").groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "texts"))))
+    words = tuple(max(1, x) for x in counts.where("term = ''").select("clean", "toxic").first())
     ratio = ((F.col("toxic") + 0.5) / words[1]) / ((F.col("clean") + 0.5) / words[0])
-    good = counts.where((F.col("texts") >= max(3, SUPPORT * totals[1]["rows"])) & (ratio >= RATIO)).orderBy(F.desc(F.col("texts") * F.log(ratio)), "term", "stem").limit(20 * TERMS)
-    lexicon = Lexicon(choose([tuple(r) for r in good.select("term", "stem", "clean", "toxic", "texts").collect()], words))
+    good = counts.where((F.col("term") != "") & (F.col("texts") >= max(3, SUPPORT * n_rows[1])) & (ratio >= RATIO))
+    terms = choose([tuple(r) for r in good.select("term", "stem", "clean", "toxic", "texts").collect()], words)
+    plain = Lexicon([t[:4] for t in terms])
+
+    def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter[tuple[int, int]] = Counter()
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.update((term, toxic) for term, distance, _ in hits_of(text.lower(), plain)[2] if distance)
+            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in seen], pa.int32()) for j in range(2)] + [pa.array(list(seen.values()), pa.int64())], names=["number", "toxic", "n"])
+
+    fuzzy = {(r["number"], r["toxic"]): r["n"] for r in sample.mapInArrow(misspelled, "number int, toxic int, n long").groupBy("number", "toxic").agg(F.sum("n").alias("n")).collect()}
+    weighed = []
+    for number, (text, stem, weight, _, uses) in enumerate(terms):
+        seen = fuzzy.get((number, 1), 0) + MISSPELLED * uses
+        weighed.append((text, stem, weight, min(weight, max(0.0, log_odds(seen, fuzzy.get((number, 0), 0), words)))))
+    lexicon = Lexicon(weighed)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t, lexicon) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    got = sample.mapInArrow(measure, "x array<double>, toxic int").collect()
+    got = sample.mapInArrow(measure, "x array<double>, toxic int").collect()  # two numbers a row of the sample
     got = sorted((tuple(r["x"]), r["toxic"]) for r in got)
     return lexicon, logistic(np.array([x for x, _ in got]), np.array([y for _, y in got], float))
 
@@ -249,7 +289,7 @@ def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], held_out: Column |
             z = np.empty(batch.num_rows)
             for lo in range(0, batch.num_rows, 256):
                 part = batch.column(2).slice(lo, 256).to_pylist()
-                z[lo : lo + 256] = np.array([features(t or "", lexicon) for t in part]).reshape(-1, 5) @ w[:-1] + w[-1]
+                z[lo : lo + 256] = np.array([features(t or "", lexicon) for t in part]).reshape(-1, 2) @ w[:-1] + w[-1]
             value = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 

@@ -1,6 +1,7 @@
 """Plain versions of the contracts, for small tables."""
 
 import hashlib
+import math
 import re
 
 import xxhash
@@ -98,3 +99,43 @@ def targets(sizes, weights=(5, 2, 1)):
         if not more:
             return t
         capped |= more
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def toxic_features(text, terms, wide=50):
+    """Every word against every term."""
+    text = text.lower()
+    found = list(re.finditer(r"[^\W\d_]+", text))
+    reporting = "said says quote quoted quotes quoting wrote writes called calling word words term phrase reported alleged slur insult".split()
+    value = []
+    for k, m in enumerate(found):
+        word, best = m.group(), None
+        for number, (term, stem, weight, _) in enumerate(terms):
+            d = (0 if word.startswith(term) else 9) if stem else distance(word, term)
+            if d <= (0 if stem or len(term) < 5 else 1 if len(term) < 9 else 2):
+                best = min(best or (99,), (d, -weight, number))
+        if best is None:
+            value.append(0.0)
+            continue
+        weight = terms[best[2]][3 if best[0] else 2]
+        left = text[found[max(0, k - 12)].start() : m.start()]
+        right = text[m.end() : found[min(len(found) - 1, k + 12)].end()]
+        marks = [c for c in left if c in '"“«„‘‹']
+        quoted = bool(marks) and any(c in '"”»“’›' for c in right)
+        if quoted:  # an even number of straight marks is closed
+            quoted = (left.count('"') % 2 == 1) if marks[-1] == '"' else left.count('"') % 2 == 0
+        if quoted or any(w.group() in reporting for w in found[max(0, k - 4) : k]):
+            weight *= 0.2
+        value.append(weight)
+    if not any(value):
+        return [0.0, 0.0]
+    dense = max(sum(value[k : k + wide]) for k in range(len(value)))
+    return [math.log1p(100 * sum(value) / len(value)), math.log1p(100 * dense / wide)]

@@ -162,15 +162,7 @@ def test_language_held_out(spark, sf_dir):
 
 
 def test_lexicon_intersection_is_edit_distance():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, old = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-        return row[-1]
-
-    terms = [("idiot", False, 3.0), ("worthless", False, 2.0), ("abc", False, 1.0), ("achlich", True, 4.0)]
+    terms = [("idiot", False, 3.0, 2.0), ("worthless", False, 2.0, 1.0), ("abc", False, 1.0, 1.0), ("achlich", True, 4.0, 4.0)]
     lexicon = toxicity.Lexicon(terms)
     rng = random.Random(0)
     for _ in range(3000):
@@ -179,19 +171,50 @@ def test_lexicon_intersection_is_edit_distance():
             at = rng.randrange(len(word) + 1)
             word[at : at + rng.randrange(2)] = rng.choice(["", "x", "t", "i"])
         word = "".join(word) or "q"
-        allowed = [k for k, (t, s, _) in enumerate(terms) if (word.startswith(t) if s else distance(word, t) <= lexicon.allowance(t, s))]
+        allowed = [k for k, (t, s, *_) in enumerate(terms) if (word.startswith(t) if s else brute.distance(word, t) <= lexicon.allowance(t, s))]
         got = lexicon.find({word}).get(word)
         assert (got is None) == (not allowed), word
         if got and not terms[got[0]][1]:
-            assert distance(word, terms[got[0]][0]) == got[1]
+            assert brute.distance(word, terms[got[0]][0]) == got[1]
+
+
+def test_toxicity_features_against_plain_version():
+    terms = [("idiot", False, 3.0, 2.0), ("worthless", False, 2.0, 1.0), ("abc", False, 1.0, 1.0), ("achlich", True, 4.0, 4.0), ("idiom", False, 3.0, 0.0)]
+    lexicon = toxicity.Lexicon(terms)
+    rng = random.Random(5)
+    pool = ["idiot", "idoit", "idiots", "IDIOM", "worthles", "wortless", "achlichkeit", "ab", "abc", "abcd", "said", "the word", '"', "“", "”", "'x'", "1", ".", "plain", "words", "of", "no", "kind"]
+    texts = ["", "idiot", '"idiot"', "idiot " * 200, "a " * 49 + "idiot " + "a " * 49 + "idiot"] + [" ".join(rng.choice(pool) for _ in range(rng.randrange(150))) for _ in range(120)]
+    for text in texts:
+        assert toxicity.features(text, lexicon) == pytest.approx(brute.toxic_features(text, terms)), text
 
 
 def test_toxicity_context():
-    lexicon = toxicity.Lexicon([("idiot", False, 3.0)])
-    abuse, quoted, said = (toxicity.features(t, lexicon) for t in ("you are an idiot now", 'he read "idiot" aloud', "the word idiot is old"))
-    assert abuse[0] > 0 and abuse[2] == 0 and quoted[0] == 0 and quoted[2] > 0 and said[2] > 0
-    assert toxicity.features("you idoit", toxicity.Lexicon([("idiots", False, 3.0)])) == [0.0] * 5
-    assert toxicity.features("you idiotx", lexicon)[1] > 0
+    lexicon = toxicity.Lexicon([("idiot", False, 3.0, 2.0)])
+    rate = lambda text: toxicity.features(text, lexicon)[0]
+    abuse, quoted, said, fuzzy = map(rate, ("you are an idiot now", 'he read an "idiot" aloud', "the word idiot is", "you are an idiotx now"))
+    assert abuse > fuzzy > quoted > 0 and said > 0 and said < abuse
+    assert rate("you idoit") == 0.0 and toxicity.features("", lexicon) == [0.0, 0.0]
+
+
+def test_toxicity_of_misspelled_terms(spark):
+    """Held-out toxic texts that are found are found again with each term misspelled."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, train=queries._fold(3) != 1)
+    assert (model[1][:-1] >= 0).all()
+    terms = {t for t, stem, *_ in model[0].terms if not stem and len(t) >= 5}
+    rng = random.Random(1)
+
+    def misspell(m):
+        word = m.group()
+        if word.lower() not in terms:
+            return word
+        k, c = rng.randrange(1, len(word)), rng.choice("abcdefghijklmnopqrstuvwxyz")
+        return rng.choice([word[:k] + c + word[k:], word[:k] + word[k + 1 :], word[:k] + c + word[k + 1 :]])
+
+    held = toxicity.score(docs, model, held_out=queries._fold(3) == 1).where("held_out AND predicted = 1").select("doc_id").join(docs, "doc_id")
+    texts = [r["text"] for r in held.collect() if terms & set(toxicity.WORDS.findall(r["text"].lower()))]
+    changed = spark.createDataFrame([(k, toxicity.WORDS.sub(misspell, t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert len(texts) > 50 and toxicity.score(changed, model).where("predicted = 1").count() >= 0.9 * len(texts)
 
 
 def test_toxicity_model(spark):
@@ -208,10 +231,15 @@ def test_toxicity_model(spark):
     texts += [None, "", "a scumbaq here"]
     docs = table(spark, texts)
     model = toxicity.fit(docs, spark.createDataFrame(labels + [(0, 1), (7, None)], "doc_id long, toxic int"))
-    assert {t for t, _, _ in model[0].terms} >= {"scumbag", "moronic"}
+    assert {t for t, *_ in model[0].terms} >= {"scumbag", "moronic"}
     got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     assert all(got[k]["predicted"] == y for k, y in labels)
     assert got[300]["predicted"] == got[301]["predicted"] == 0 and got[302]["score"] > got[301]["score"]
+    twice = docs.union(docs).withColumn("score", F.lit("mine")).withColumn("toxic", F.lit(1))  # repeated rows, clashing names
+    assert sorted((r["doc_id"], r["score"]) for r in toxicity.score(twice, model).collect()) == sorted([(k, r["score"]) for k, r in got.items()] * 2)
+    assert toxicity.clean(twice, model).columns == twice.columns
+    long = table(spark, [" ".join(clean) * 200 + " moronic scumbag" * 9000])
+    assert toxicity.score(long, model).first()["predicted"] == 1
     kept = toxicity.clean(docs, model)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, r in got.items() if r["score"] < 0.7}
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
