@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 MASKS = ((0, 1, 2, 3, 4), (0, 2, 3, 5, 6), (0, 1, 4, 5, 7))
 LEAST, WINDOWS, OVERLAP = 5, (25, 20, 15), 0.8
@@ -106,5 +106,5 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that overlap no item."""
-    bad = hits(docs, items, id_col, text_col, item_col, item_text_col).select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    bad = hits(docs, items, id_col, text_col, item_col, item_text_col).select(F.col("id").alias(fresh(docs, "__bad"))).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[bad.columns[0]]), "left_anti")

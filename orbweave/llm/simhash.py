@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, other_key, utf8
+from .common import components, fresh, other_key, stored, utf8
 
 #: Low bit and width of each block.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
@@ -207,7 +207,7 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
 
     copies = fps.select("fp").mapInArrow(spread, "key long, fp long, home boolean")
     hot = copies.where("home").groupBy("key").count().where(F.col("count") > HOT_HOMES).select("key", F.ceil(F.col("count") / HOT_HOMES).cast("int").alias("salts"))
-    hot = cut(hot)
+    hot = stored(hot)
     n_hot = hot.count()
     if n_hot:
         side = F.broadcast(hot) if n_hot <= 10_000 else hot
@@ -223,8 +223,8 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; component_id is the smallest id reachable."""
-    fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
+    fps = stored(fingerprints(docs, id_col, text_col, shingle))
+    nodes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
     roots = components(links(nodes, bits))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -240,10 +240,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def rows_of_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` whose id is the component_id that ``found`` gives it."""
-    found = cut(found)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep"))
+    found, name = stored(found), fresh(docs, "__keep")
+    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(name))
     repeated = not found.groupBy(id_col).count().where("count > 1").isEmpty()
     if repeated:
         keep = keep.distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
+    kept = docs.join(keep, docs[id_col].eqNullSafe(keep[name]), "left_semi")
     return kept.dropDuplicates([id_col, text_col]) if repeated else kept

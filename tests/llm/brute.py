@@ -139,3 +139,55 @@ def toxic_features(text, terms, wide=50):
         return [0.0, 0.0]
     dense = max(sum(value[k : k + wide]) for k in range(len(value)))
     return [math.log1p(100 * sum(value) / len(value)), math.log1p(100 * dense / wide)]
+
+
+def secret_spans(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9_]{20,}", text):
+        x = m.group()
+        bits = sum(-math.log2(x.count(c) / len(x)) for c in x)
+        turns = sum(a.isdigit() != b.isdigit() and "_" not in (a, b) for a, b in zip(x, x[1:]))
+        if bits >= 64 and turns >= 3:
+            out.append(("secret", m.start(), m.end()))
+    return out
+
+
+def pii_spans(texts, near=80):
+    """All spans of each text, by counting over every text."""
+    texts = [t or "" for t in texts]
+    places, n_of = [], {}  # (text, kind and value, words)
+    base = [[(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base_pii(t))] for t in texts]
+    apart = lambda x, others: all(x[2] <= o[1] or o[2] <= x[1] for o in others)
+    secret = [[x for x in secret_spans(t) if apart(x, b)] for t, b in zip(texts, base, strict=True)]
+    for k, t in enumerate(texts):
+        found = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t)]
+        for w in {w for w, _, _ in found}:
+            n_of[w] = n_of.get(w, 0) + 1
+        for kind, a, b in base[k] + secret[k]:
+            words = [w for w in found if a - near <= w[1] and w[2] <= a or b <= w[1] and w[2] <= b + near]
+            places += [(k, name, words) for name in (kind, f"{kind}:{t[a:b].lower()}")]
+    n_e, pairs = {}, {}
+    for k, name, words in places:
+        n_e.setdefault(name, set()).add(k)
+        for w in words:
+            pairs.setdefault((name, w[0]), set()).add(k)
+    alike = lambda rows: len({texts[k] for k in rows})
+    pairs = {p: rows for p, rows in pairs.items() if alike(rows) >= 2 and alike(n_e[p[0]]) >= 2}
+    tell = {}
+    for (name, term), rows in pairs.items():
+        n = len(n_e[name])
+        bits = math.log2(len(rows) * len(texts) / (n_of[term] * n))
+        share = bits / math.log2(max(2, len(texts) / n))
+        if alike(rows) * bits >= math.log2(len(pairs)) + 7 and share >= 0.6:
+            tell[name, term] = "removed" if share >= 0.9 else "generalised"
+    out = []
+    for k in range(len(texts)):
+        own = {}
+        for j, name, words in places:
+            for term, a, b in words if j == k else ():
+                kind = tell.get((name, term))
+                if kind and apart((kind, a, b), base[k] + secret[k]):
+                    own[a, b] = "removed" if "removed" in (kind, own.get((a, b))) else kind
+        extra = secret[k] + [(kind, a, b) for (a, b), kind in own.items()]
+        out.append(base[k] + sorted(extra, key=lambda x: x[1]))
+    return [",".join(f"{kind}:{a}:{b}" for kind, a, b in spans) for spans in out]

@@ -50,6 +50,49 @@ def test_telling_terms_are_found_and_masked(spark):
     assert pii.sanitise(docs).columns == docs.columns
 
 
+def test_spans_of_the_method_against_plain_version(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice((2, 3, 3))))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    text = lambda n: " ".join(word() for _ in range(n))
+    texts = [None, "", "token", hexes(5000), "a" * 50, "1" * 50 + "a1" * 20, f"{hexes(24)}@x.y {hexes(24)}"]
+    for k in range(400):
+        body = text(rng.randrange(3, 60))
+        if k % 8 == 0:
+            body = f"{body} token = \"{hexes(40)}\" {text(9)}"
+        if k % 8 == 1:
+            body = f"{text(4)} Director Müller wrote boss@corp.example {text(3)} {body}"
+        if k % 8 == 2:
+            body = f"{body} call {rng.choice(('him', 'her', 'us'))} +49 30 {rng.randrange(10**6, 10**7)} now {text(5)}"
+        texts.append(body)
+        if k % 40 == 0:
+            texts.append(body)
+    got = {r["doc_id"]: r for r in pii.digests(table(spark, texts)).collect()}
+    want = brute.pii_spans(texts)
+    assert [got[k]["spans"] for k in range(len(texts))] == want
+    kinds = {x.split(":")[0] for spans in want for x in spans.split(",") if x}
+    assert kinds >= {"email", "phone", "secret", "removed"}
+    masked = {r["doc_id"]: r["text"] for r in pii.sanitise(table(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        at, out = 0, ""
+        for kind, a, b in sorted(((kind, int(a), int(b)) for kind, a, b in (x.split(":") for x in want[k].split(",") if x)), key=lambda x: x[1:]):
+            if a < at:
+                at = max(at, b)
+                continue
+            out += (t or "")[at:a] + {"generalised": "[TERM]", "removed": ""}.get(kind, f"[{kind.upper()}]")
+            at = b
+        assert masked[k] == (out + t[at:] if t is not None else None)
+
+
+def test_personal_data_of_repeated_rows_and_clashing_names(spark):
+    docs = table(spark, ["mail a@b.cc", "mail a@b.cc", None, "x"], [1, 1, 1, None])
+    docs = docs.withColumn("base", F.lit("mine")).withColumn("id", F.lit(7)).withColumn("__spans", F.lit(3)).withColumn("near", F.lit(3))
+    assert sorted(r["n_email"] for r in pii.digests(docs).collect()) == [0, 0, 1, 1]
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns and sorted(str(r["text"]) for r in out.collect()) == ["None", "mail [EMAIL]", "mail [EMAIL]", "x"]
+    assert pii.digests(docs.where("false")).count() == 0 and pii.sanitise(docs.where("false")).count() == 0
+
+
 def test_media_round_trip(spark):
     texts = [None, "", "x", "é" * 500, "a" * 191, "a" * 192, "a" * 193, "".join(chr(k) for k in range(1, 2000)), "long " * 20000]
     got = {r["doc_id"]: r for r in media.digests(table(spark, texts)).collect()}
