@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, stored
 
 WEIGHTS, REPEATS, SEED, PATTERNS = (5, 2, 1), 3, 17, 100_000
 _ROUNDS, _BITS = 3, 10
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, key: Column, keep: list[
     # a code without ambiguity: each name after its length
     code = F.array_join(F.transform(names, lambda x: F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("n"))), ",")
     rows = docs.select(*keep, code.alias("pattern"), names.alias("names"), size.alias("size"), F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 64 - _ROUNDS * _BITS).alias("u"))
-    rows = cut(rows)
+    rows = stored(rows)
     sums = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("names").alias("names")).limit(PATTERNS + 1).collect()
     if len(sums) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} membership patterns")

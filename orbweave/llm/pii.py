@@ -189,7 +189,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each base entity and secret replaced by its kind in brackets, generalised terms by [TERM], and removed terms gone."""
     got = found(docs, id_col, text_col).where((F.size("base") > 0) | (F.size("extra") > 0))
-    own, rid_, spans = (fresh(docs, x) for x in (own, rid_, spans))
+    own, rid_, spans = (fresh(docs, x) for x in ("__id", "__rid", "__spans"))
     got = got.select(F.col(id_col).alias(own), F.col("rid").alias(rid_), F.array_sort(F.transform(F.concat("base", "extra"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind")))).alias(spans)).dropDuplicates([own, rid_])
     rid = F.xxhash64(id_col, text_col)
     text = F.col(text_col)
