@@ -290,12 +290,46 @@ def test_toxicity_model(spark):
     assert toxicity.score(docs.where("false"), model).count() == 0
 
 
-def test_licences(spark):
-    mit = licenses.TEXTS["MIT"]
-    texts = [None, "", "Copyright (c) 2020 Jo\n" + mit.upper().replace("\n", "\r\n").replace("LICENSE", "licence"), mit.replace(",", " ;"), mit + " more", "x\nLicenced under the Apache License,  Version 2.0\nReleased under the MIT Licence!", "permission"]
-    got = {r["doc_id"]: r for r in licenses.scan(table(spark, texts)).collect()}
-    assert [got[k]["license_id"] for k in range(7)] == [None, None, "MIT", "MIT", None, None, None]
-    assert [got[k]["notices"] for k in (0, 5, 6)] == ["", "Apache-2.0,MIT", ""]
+def _known_texts():
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    return {k: (folder / f).read_text() for k, f in names.items() if (folder / f).exists()} | licenses.TEXTS
+
+
+def test_licences(spark, tmp_path):
+    """Whole texts wrapped and framed in many ways, notices, and the SQL on the same rows."""
+    import textwrap
+
+    import duckdb
+
+    wrap = lambda t, n: "\n".join(textwrap.fill(x, n) for x in t.split("\n"))
+    comment = lambda t, c: "\n".join(f"{c} {x}".rstrip() for x in t.split("\n"))
+    texts, want = [], []
+    for name, text in _known_texts().items():
+        frames = [text, text.upper().replace("LICENSE", "LICENCE"), text.replace("\n", "\r\n"), text.replace(",", " ;")]
+        if name in licenses.TEXTS:
+            frames += [comment(f"{title}\n\nCopyright (c) 2020 Jo\nCopyright The Authors of It\n\n{wrap(text, n)}", c) for title in licenses.TITLES[name] if title != "BSD License" for n, c in ((40, "#"), (60, " *"), (72, "//"), (79, ""))]
+        texts += frames
+        want += [name] * len(frames)
+        texts.append(text + " more")
+        want.append(None)
+    texts += [None, "", "permission", "Copyright notice and nothing else, without warranty", texts[0], "long licence " * 100_000]
+    want += [None, None, None, None, want[0], None]
+    docs = table(spark, texts).withColumn("digest", F.lit("x")).withColumn("notices", F.lit("x"))
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    lines = ["x\nLicenced under the Apache License,  Version 2.0\nReleased under the MIT Licence!", "# SPDX-License-Identifier: GPL-3.0\n", "this software is licensed under the GNU general public license, version 3", "no such license"]
+    rows = docs.unionByName(table(spark, lines * 2, [900, 901, 902, 903] * 2), allowMissingColumns=True)
+    out = licenses.scan(rows).toPandas()
+    notices = out[out.doc_id >= 900].sort_values("doc_id").notices.tolist()
+    assert notices == [x for x in ("Apache-2.0,MIT", "GPL-3.0", "GPL-3.0", "") for _ in range(2)]
+    rows.select("doc_id", "text").write.parquet(f"{tmp_path}/documents")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    key = lambda r: tuple("" if x is None or x != x else str(x) for x in r)
+    assert sorted(map(key, db.execute(licenses.scan_sql()).fetchall())) == sorted(map(key, out[["doc_id", "text_sha256", "license_id", "notices"]].itertuples(index=False)))
     assert licenses.scan(table(spark, [])).count() == 0
 
 
