@@ -2,12 +2,13 @@
 
 Learning counts hashed 1- to 3-grams of lower-cased letters (a run of other characters is one blank) in a sample of
 at most about ``fit_rows`` labelled rows, chosen by id hash; ``fit_rows`` is the documented bound of the sample.  Counts are
-summed per partition, and the log-probability matrix, ``2**BITS`` rows by the number of languages, is what is
+summed by partition and then by language and bucket, and the log-probability matrix, ``2**BITS`` rows by the number of languages, is what is
 broadcast: its size doesn't depend on the corpus.  Scoring looks up the n-grams of a whole text and sums rows of the
 matrix in numpy.
 
 Null texts and texts without letters are ``und`` with score 0.  Repeated rows are counted and predicted like any other.
-Without any labelled row every text is ``und``.  Of tied languages the first by name wins.  Extra columns are ignored.
+Without any labelled row every text is ``und``.  Of tied languages the first by name wins.  Very long texts are read whole, an
+empty table gives an empty result, and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,13 +91,18 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
                     sums[name][:-1] += np.bincount(bucket[which == k], minlength=1 << BITS)
             for name in names:
                 sums.setdefault(name, np.zeros((1 << BITS) + 1, np.int64))[-1] += 1
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "counts"])
+        for name, counts in sums.items():
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["lang", "bucket", "n"])
 
     total: dict[str, np.ndarray] = {}
-    parts = sample.select(text_col, lang_col).coalesce(16).mapInArrow(count, "lang string, counts binary")
-    for part in parts.toLocalIterator():
-        total[part["lang"]] = total.get(part["lang"], 0) + np.frombuffer(part["counts"], np.int64)
+    # languages times buckets, whatever the corpus
+    sums = sample.select(text_col, lang_col).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = np.asarray(sums["bucket"]), np.asarray(sums["n"])
+    names = np.array(sums["lang"].to_pylist(), dtype=object)
+    for name in set(names.tolist()):
+        total[name] = np.zeros((1 << BITS) + 1, np.int64)
+        total[name][bucket[names == name]] = n[names == name]
     langs = sorted(total)
     if not langs:
         return [], np.zeros(((1 << BITS) + 1, 0), np.float32)

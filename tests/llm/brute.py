@@ -191,3 +191,31 @@ def pii_spans(texts, near=80):
         extra = secret[k] + [(kind, a, b) for (a, b), kind in own.items()]
         out.append(base[k] + sorted(extra, key=lambda x: x[1]))
     return [",".join(f"{kind}:{a}:{b}" for kind, a, b in spans) for spans in out]
+
+
+def bayes(train, texts):
+    """Multinomial naive Bayes over 1- to 3-grams without hashing: [(language, posterior)]."""
+
+    def grams(text):
+        letters = re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
+        out = [c for c in letters if c != " "]
+        return out + [letters[k : k + n] for n in (2, 3) for k in range(len(letters) - n + 1)]
+
+    langs = sorted({x for _, x in train})
+    counts = {x: {} for x in langs}
+    for text, lang in train:
+        for g in grams(text):
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    out = []
+    for text in texts:
+        if not re.search(r"[^\W\d_]", text or ""):
+            out.append(("und", 0.0))
+            continue
+        score = []
+        for lang in langs:
+            total = sum(counts[lang].values()) + 0.5 * 2**15
+            prior = sum(x == lang for _, x in train) / len(train)
+            score.append(math.log(prior) + sum(math.log((counts[lang].get(g, 0) + 0.5) / total) for g in grams(text)))
+        best = max(range(len(langs)), key=score.__getitem__)
+        out.append((langs[best], 1 / sum(math.exp(max(s - score[best], -700)) for s in score)))
+    return out

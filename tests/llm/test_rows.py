@@ -199,6 +199,23 @@ def test_language(spark):
     assert langid.predict(docs.where("false"), model).count() == 0
 
 
+def test_language_against_plain_version(spark):
+    """The same predictions as without hashing, and posteriors near by (buckets are shared by few grams)."""
+    rng = random.Random(6)
+    vocab = {"en": "the of and with which that this".split(), "de": "der und nicht schön über ich das".split(), "nl": "de het een niet dat ik over".split()}
+    make = lambda x, n: " ".join(rng.choice(vocab[x]) for _ in range(n))
+    train = [(make(x, 15), x) for x in vocab for _ in range(30)] * 2  # repeated rows
+    texts = [make(rng.choice(list(vocab)), rng.choice((2, 4, 9))) for _ in range(200)] + [None, "", "1 2", "?!", "der " * 50_000]
+    model = langid.fit(spark.createDataFrame([(k, t, x, 1) for k, (t, x) in enumerate(train)], "doc_id long, text string, lang string, bucket int"))
+    docs = table(spark, texts).withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit("x"))
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    want = brute.bayes(train, texts)
+    assert [got[k]["lang_pred"] for k in range(len(texts))] == [x for x, _ in want]
+    assert all(abs(got[k]["score"] - p) < 0.05 for k, (_, p) in enumerate(want))
+    tied = langid.fit(spark.createDataFrame([(1, "abc", "b"), (2, "abc", "a")], "doc_id long, text string, lang string"))
+    assert {(r["lang_pred"], round(r["score"], 6)) for r in langid.predict(table(spark, ["abc", "cab"]), tied).collect()} == {("a", 0.5)}
+
+
 def test_language_held_out(spark, sf_dir):
     got = queries.op10_langid(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
