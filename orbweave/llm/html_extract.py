@@ -2,14 +2,15 @@
 
 Markup is stripped to lines: each block element and line break ends a line, inline markup vanishes, and elements that
 cannot hold main text (scripts, styles, menus, headers, footers, sidebars, forms, adverts, notices, comments of readers) are
-shut out.  The length of line block k is the sum of the text lengths of ``BLOCK`` lines from k on, lines that are shut out not
-counted.  A surge point is where a block exceeds a threshold that adapts to the page and its first line half of it.  The main
-text lies from the first to the last surge point, reaching back and on over short lines to the next line shut out; what
-interrupts it is left out alone.  Where the page marks its article, any text in it is a surge and nothing outside is.  Class
-and id values of elements around the article count only if another article is left.
-
-A null page and a page without text give an empty string.  Broken and cut-off markup is read to its end.  Repeated rows
-are extracted alike; extra columns are ignored.
+shut out.  Each other line has a density: its length, ``BONUS`` more inside the article that a page marks, and ``OUTSIDE`` of its
+length outside of it.  A line block is the sum of the densities of ``BLOCK`` lines.  A surge point is where a block exceeds a
+threshold that adapts to the page and its first line half of it; a dive point is the next line shut out, or where a block
+falls back (to ``LEAST`` where an article is marked, else to nothing).  The main text lies from the dive point before the
+first surge point to the one after the last; what interrupts it is left out alone.  Class and id values of elements around
+an article count only if another article is left.
+
+A null page and a page without text give an empty string.  Broken and cut-off markup is read to its end, very long pages
+are read whole.  Repeated rows are extracted alike; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BLOCK = 3
-LEAST = 40  #: threshold of a block's characters where no article is marked
+LEAST = 40  #: threshold of a block's density
+BONUS, OUTSIDE = 50, 0.02
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|select|object|head)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
@@ -104,23 +106,45 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
     return out
 
 
+def _blocks(density: np.ndarray) -> np.ndarray:
+    """The sum of the densities of the lines from each line on."""
+    return np.convolve(density, np.ones(BLOCK))[BLOCK - 1 :]
+
+
+def main_lines(density: np.ndarray, run: np.ndarray, low: float) -> np.ndarray:
+    """Numbers of the lines of the main text; run: a number that changes where lines were shut out."""
+    block = _blocks(density)
+    surge = np.flatnonzero((block > min(LEAST, block.max() - 1)) & (density > min(LEAST // 2, density.max() - 1)))
+    if not len(surge):
+        return surge
+    dive = block <= low
+    rise = _blocks(density[::-1])[::-1] <= low
+    first, last = int(surge[0]), int(surge[-1])
+    while first and run[first - 1] == run[first] and not rise[first - 1]:
+        first -= 1
+    while last + 1 < len(run) and run[last + 1] == run[last] and not dive[last + 1]:
+        last += 1
+    inside = np.arange(first, last + 1)
+    return inside[density[inside] > low]
+
+
 def main_text(page: str | None) -> str:
     """The lines of the main text, joined by line feeds."""
     lines = lines_of(page or "")
-    if not lines:
-        return ""
-    if any(marked for _, _, marked, _ in lines):
-        kept = [t for t, ok, marked, _ in lines if ok and marked] or [t for t, _, marked, inside in lines if inside and marked]
-        if kept:
-            return "\n".join(kept)
-    run = np.cumsum([not ok for _, ok, _, _ in lines])[[ok for _, ok, _, _ in lines]]  # allowed lines between two that are shut out
-    texts = [t for t, ok, _, _ in lines if ok]
-    if not texts:
+    allowed = np.array([ok for _, ok, _, _ in lines], bool)
+    marked = np.array([art for _, _, art, _ in lines], bool)
+    if marked.any() and not (allowed & marked).any():
+        allowed = np.array([inside for _, _, _, inside in lines], bool)
+    if not allowed.any():
         return ""
-    size = np.array([len(t) for t in texts])
-    block = np.convolve(size, np.ones(BLOCK, np.int64))[BLOCK - 1 :]
-    surge = run[(block > min(LEAST, block.max() - 1)) & (size > min(LEAST // 2, size.max() - 1))]
-    return "\n".join(t for t, r in zip(texts, run.tolist(), strict=True) if len(surge) and surge[0] <= r <= surge[-1])
+    run = np.cumsum(~allowed)[allowed]
+    size = np.array([len(line[0]) for line in lines], float)[allowed]
+    article = marked[allowed]
+    if article.any():
+        keep = main_lines(np.where(article, size + BONUS, size * OUTSIDE), run, LEAST)
+    else:
+        keep = main_lines(size, run, 0)
+    return "\n".join(lines[k][0] for k in np.flatnonzero(allowed)[keep])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -182,6 +182,31 @@ def test_html_matches_articles_of_the_pages(spark, sf_dir):
         assert r["text"] == "\n".join(b for b in blocks if b)
 
 
+def test_html_line_blocks_decide_without_article_marks(spark, sf_dir):
+    """The same text where the pages' article elements are made plain: element names and classes only shut lines out."""
+    same = total = 0
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        total += 1
+        same += html_extract.main_text(r["html"]) == html_extract.main_text(r["html"].replace("<article>", "<div>").replace("</article>", "</div>"))
+    assert same >= 0.95 * total
+
+
+def test_html_text_outside_an_article():
+    article = f"<article><p>{LONG[0]}</p><p>Sh is.</p></article>"
+    want = f"{LONG[0]}\nSh is."
+    around = f"<div>{LONG[1]}</div>"
+    assert html_extract.main_text(around + article + around * 3) == want
+    assert html_extract.main_text(f"<p>x</p>{article}<p>y</p>{article}<p>z</p>") == f"{want}\n{want}"
+    assert html_extract.main_text("<article><p>a</p><p>b</p></article>" + around) == "a\nb"
+
+
+def test_html_of_clashing_names_and_long_pages(spark):
+    long = "<article>" + "<p>Some words of text, and more.</p>" * 20_000 + "</article><footer>x</footer>"
+    rows = spark.createDataFrame([(1, "u", long, "t", 3)] * 2 + [(None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((r["page_id"] or 0, r["url"], r["n_chars"]) for r in html_extract.extract(rows).collect())
+    assert got == [(0, None, 0), (1, "u", 20_000 * 30 - 1), (1, "u", 20_000 * 30 - 1)]
+
+
 def test_language(spark):
     rng = random.Random(4)
     vocab = {"en": "the of and with which that".split(), "de": "der und nicht schön über ich".split(), "fr": "les était où ça vous être".split()}
