@@ -1,16 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
 A mask selects positions of a span of tokens and ignores the others, so a hit survives substitutions at ignored positions.
-The masks below together hit every passage of 15 or 20 tokens of which a fifth is substituted.  Masked tokens of benchmark
-items and of documents are hashed and joined.  A hit is verified where it lies: document and item are aligned on its
-diagonal and compared token by token in all windows of the item that hold the hit, of 25, 20 and 15 tokens or the whole of
-a shorter item.  The overlap counts if at least ``OVERLAP`` of a window is equal; the longest such window, and of its
-length the best, stands for the hit.
-
-Tokens are lower-case runs of letters and digits.  Items under five tokens are not searched for; items shorter than a
-mask's span are hashed whole.  Null and empty texts have no tokens.  Items that repeat give a row for each item_id;
-several hits of a pair give one row, with the best overlap and, of ties, the first place.  Repeated documents of an id are
-one row for each item.  Extra columns are ignored.
+The masks of ``LONG`` together hit every passage of 15 or 20 tokens of which a fifth is substituted, those of ``SHORT`` every item of
+5 to 14 tokens with as many substitutions as a fifth allows; items under five tokens allow none and are hashed whole.  Masked
+tokens of benchmark items and of documents are hashed and joined.  A hit is verified where it lies: document and item are
+aligned on its diagonal and compared token by token in all windows of the item that hold the hit, of 25, 20 and 15 tokens or
+the whole of a shorter item.  The overlap counts if at least ``OVERLAP`` of a window is equal; the longest such window, and of
+its length the best, stands for the hit.
+
+Tokens are lower-case runs of letters and digits.  Null and empty texts have no tokens and overlap nothing; very long texts are
+searched whole.  Items that repeat give a row for each item_id; several hits of a pair give one row, with the best overlap
+and, of ties, the first place.  Repeated documents of an id are one row for each item.  An empty table gives an empty
+result; extra columns are ignored (``clean`` keeps them).
 
 The document side is one pass: positions, masks, look-up and verification run in one stage without moving a text.  Seeds
 and items are broadcast only if the benchmark has at most ``BROADCAST_TOKENS`` tokens; a larger one is joined by shuffled
@@ -22,10 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import fresh, stored
 
-MASKS = ((0, 1, 2, 3, 4), (0, 2, 3, 5, 6), (0, 1, 4, 5, 7))
-LEAST, WINDOWS, OVERLAP = 5, (25, 20, 15), 0.8
+LONG = ((0, 1, 2, 3, 4), (0, 2, 3, 5, 6), (0, 1, 4, 5, 7))
+#: All but one of five tokens: of 5 to 9 tokens one may differ, and of 10 to 14 two, one of which leaves five tokens at an end alone.
+SHORT = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
+WINDOWS, OVERLAP = (25, 20, 15), 0.8
 BROADCAST_TOKENS = 500_000
 
 
@@ -33,14 +36,8 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(n: int | Column) -> list[tuple[int, tuple[int, ...], Column]]:
-    """(number, offsets, whether it is used for an item of n tokens): the masks, and whole items shorter than a span."""
-    out = []
-    for k, mask in enumerate(MASKS):
-        out.append((k, mask, F.lit(n) > mask[-1] if isinstance(n, int) else n > mask[-1]))
-    for size in range(LEAST, max(m[-1] for m in MASKS) + 1):
-        out.append((len(out), tuple(range(size)), F.lit(n) == size if isinstance(n, int) else n == size))
-    return out
+#: Masks with the fewest and the most tokens of the items that they serve.
+MASKS = [(mask, WINDOWS[-1], None) for mask in LONG] + [(mask, 5, WINDOWS[-1] - 1) for mask in SHORT] + [(tuple(range(n)), n, n) for n in range(1, 5)]
 
 
 def _hash(number: int, mask: tuple[int, ...]) -> Column:
@@ -49,19 +46,24 @@ def _hash(number: int, mask: tuple[int, ...]) -> Column:
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     """One row for each verified hit: id, item, place in the document, overlap."""
-    bench = cut(items.select(F.col(item_col).alias("item"), tokens(F.col(item_text_col)).alias("t")).where(F.size("t") >= LEAST))
+    bench = stored(items.select(F.col(item_col).alias("item"), tokens(F.col(item_text_col)).alias("t")).where(F.size("t") > 0))
     size = bench.agg(F.sum(F.size("t")).alias("n")).first()["n"] or 0
     small = size <= BROADCAST_TOKENS
-    placed = bench.select("item", F.col("t").alias("w"), F.size("t").alias("n"), F.explode(F.sequence(F.lit(0), F.size("t") - LEAST)).alias("i"))
-    seeds = placed.select("item", F.col("i").alias("at"), F.explode(F.array(*(F.when(use & (F.col("i") + mask[-1] < F.col("n")), F.struct(F.lit(k).alias("k"), _hash(k, mask).alias("h"))) for k, mask, use in _seeds(F.col("n"))))).alias("s"))
-    seeds = seeds.where("s IS NOT NULL").select("item", "at", "s.h").distinct()
-    lengths = [r["n"] for r in bench.select(F.size("t").alias("n")).where(F.col("n") <= max(m[-1] for m in MASKS)).distinct().collect()]  # at most three
-    wanted = [(k, mask) for k, mask, _ in _seeds(0) if k < len(MASKS) or len(mask) in lengths]
+    serves = lambda n, least, most: (n >= least) & (F.lit(True) if most is None else n <= most)
+    n = F.size("t")
+    used = bench.agg(*(F.coalesce(F.bool_or(serves(n, least, most)), F.lit(False)).alias(f"m{k}") for k, (_, least, most) in enumerate(MASKS))).first()
+    wanted = [(k, mask) for k, (mask, _, _) in enumerate(MASKS) if used[k]]
+    if not wanted:
+        return docs.select(F.col(id_col).alias("id"), F.lit(None).cast(bench.schema["item"].dataType).alias("item"), *(F.lit(0).alias(c) for c in ("at", "wide", "same"))).where("false")
+    least = min(len(mask) for _, mask in wanted)
+    placed = bench.select("item", F.col("t").alias("w"), n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    each = (F.when(serves(F.col("n"), low, high) & (F.col("i") + mask[-1] < F.col("n")), _hash(k, mask)) for k, (mask, low, high) in enumerate(MASKS) if used[k])
+    seeds = placed.select("item", F.col("i").alias("at"), F.explode(F.array_compact(F.array(*each))).alias("h")).distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def looked(frame: DataFrame) -> DataFrame:
         """(.., i, h) of every position and mask; w stays a variable of the stage."""
-        at = frame.where(F.size("w") >= LEAST).select(*frame.columns, F.explode(F.sequence(F.lit(0), F.size("w") - LEAST)).alias("i"))
+        at = frame.where(F.size("w") >= least).select(*frame.columns, F.explode(F.sequence(F.lit(0), F.size("w") - least)).alias("i"))
         return at.select(*frame.columns, "i", F.explode(F.array(*(_hash(k, mask) for k, mask in wanted))).alias("h"))
 
     if small:
@@ -69,9 +71,9 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col
         found = found.select("id", "w", "item", "i", "at").join(F.broadcast(bench), "item")
     else:
         keyed = rows.select("id", F.xxhash64("id", "text").alias("rid"), "text")
-        narrow = looked(keyed.select("rid", tokens(F.col("text")).alias("w"))).select("rid", "i", "h").join(seeds, "h").select("rid", "item", "i", "at").distinct()
-        found = narrow.join(keyed, "rid").select("id", tokens(F.col("text")).alias("w"), "item", "i", "at").join(bench, "item")
-    n, at = F.size("t"), F.col("at")
+        narrow = looked(keyed.select("id", "rid", tokens(F.col("text")).alias("w"))).select(F.col("id").alias("own"), F.col("rid").alias("own_rid"), "i", "h").join(seeds, "h").select("own", "own_rid", "item", "i", "at").distinct()
+        found = narrow.join(keyed, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_rid") == F.col("rid"))).select("id", tokens(F.col("text")).alias("w"), "item", "i", "at").join(bench, "item")
+    at = F.col("at")
     # one bit for each token of the item that a window with the hit can hold, the last one lowest: whether it is equal
     low, high = F.greatest(at - (WINDOWS[0] - 1), F.lit(0)), F.least(at + (WINDOWS[0] - 1), n - 1)
     # only the tokens around the hit go on, since the hits of a document are held together
