@@ -89,11 +89,51 @@ def test_keep_one(spark, texts):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
-def test_substring_windows(spark, texts):
-    rows = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup(table(spark, texts)).collect()]
+@pytest.mark.parametrize("leaves", [4096, 1, 0])
+def test_substring_windows(spark, texts, monkeypatch, leaves):
+    """In subtrees, with groups split by longer prefixes, and with both."""
+    monkeypatch.setattr(substring, "LEAVES", leaves)
+    docs = table(spark, texts).withColumn("h", F.lit(1)).withColumn("words", F.lit("x")).withColumn("n_words", F.lit("x"))
+    rows = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup(docs).collect()]
     assert sorted(rows) == [(k, *x) for k, x in enumerate(brute.substring(texts))]
 
 
+def test_substring_of_near_copies_and_periods(spark, monkeypatch):
+    """Many different leaves under one prefix, runs of few words, short windows, a very long text."""
+    monkeypatch.setattr(substring, "BUILD_WORDS", 1 << 10)
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(60)}" for _ in range(120)]
+    texts = []
+    for _ in range(80):
+        body = list(base)
+        for _ in range(rng.randrange(6)):
+            body[rng.randrange(len(body))] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(body[rng.randrange(40) :]))
+    texts += [" ".join(rng.choice("ab") for _ in range(rng.randrange(200))) for _ in range(40)]
+    texts += [" ".join("abc"[k % 3] for k in range(300)), " ".join(f"u{rng.randrange(10**6)}" for _ in range(100_000)) + " " + " ".join(base)]
+    for length, prefix in ((35, 5), (8, 3), (5, 5)):
+        rows = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup(table(spark, texts), length=length, prefix=prefix).collect()]
+        assert sorted(rows) == [(k, *x) for k, x in enumerate(brute.substring(texts, length))]
+
+
+def test_subtrees_find_maximal_repeats():
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(30):
+        sequences = [[rng.randrange(3) for _ in range(rng.randrange(1, 30))] for _ in range(rng.randrange(1, 12))]
+        group = np.array([rng.randrange(2) for _ in sequences])
+        bounds = np.r_[0, np.cumsum([len(x) for x in sequences])]
+        tree = substring.Subtrees(np.array([w for x in sequences for w in x], np.uint64), bounds, group, 4)
+        want = set()
+        for k, x in enumerate(sequences):
+            for i in range(len(x) - 3):
+                if any((j, m) != (k, i) and group[j] == group[k] and y[m : m + 4] == x[i : i + 4] for j, y in enumerate(sequences) for m in range(len(y) - 3)):
+                    want |= {(k, i + d) for d in range(4)}
+        a, b = tree.repeats(4)
+        assert {(int(tree.owner[s]), p - int(bounds[tree.owner[s]])) for s, e in zip(a.tolist(), b.tolist(), strict=True) for p in range(s, e)} == want
+
+
 def test_substring_rows_that_repeat(spark, texts):
     some = texts[:20]
     docs = table(spark, some + some[5:15], [*range(20), *range(5, 15)])
