@@ -190,6 +190,89 @@ def test_region_merging():
     assert len(set(roots[:40])) == 1 and len(set(roots[40:])) == 1 and roots[0] != roots[40]
 
 
+def test_common_direction_by_search():
+    """Against a dense search over directions."""
+    rng = np.random.default_rng(7)
+    a, b = (np.array([(m + m.T) / 2 + rng.normal() * np.eye(3) for m in rng.normal(size=(300, 3, 3))]) for _ in range(2))
+    u = rng.normal(size=(60_000, 3))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    worst = np.array([np.maximum(np.einsum("ni,ij,nj->n", u, x, u), np.einsum("ni,ij,nj->n", u, y, u)).min() for x, y in zip(a, b, strict=True)])
+    got = segmentation.common_direction(a, b)
+    sure = np.abs(worst) > 0.01
+    assert (got == (worst <= 0))[sure].all() and sure.sum() > 250
+    zero, eye = np.zeros((1, 3, 3)), np.eye(3)[None]
+    assert segmentation.common_direction(zero, zero).all() and not segmentation.common_direction(eye, -eye).any() and segmentation.common_direction(-eye, zero).all()
+
+
+def test_region_merging_in_order():
+    """Against merging edge by edge, judged by a dense search of directions."""
+    rng = np.random.default_rng(9)
+    points = np.r_[np.c_[rng.random((25, 2)), rng.normal(0, 0.004, 25)], np.c_[rng.normal(0, 0.004, 25), rng.random((25, 2))], rng.random((10, 3))]
+    normals = np.r_[np.tile([0, 0, 1.0], (25, 1)), np.tile([1.0, 0, 0], (25, 1)), rng.normal(size=(10, 3))] + rng.normal(0, 0.03, (60, 3))
+    normals /= np.linalg.norm(normals, axis=1, keepdims=True)
+    apart = np.linalg.norm(points[:, None] - points[None], axis=2)
+    edges = np.argsort(apart, axis=1)[:, 1:9].tolist()
+    thick, sine = 0.03, math.sin(math.radians(10))
+    u = rng.normal(size=(40_000, 3))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+
+    def plane(members):
+        x, n = points[members] - points[members].mean(axis=0), normals[members]
+        return np.maximum(1 - sine**2 - ((u @ n.T) ** 2).mean(axis=1), ((u @ x.T) ** 2).mean(axis=1) - thick**2).min() <= 1e-5
+
+    label = list(range(60))
+    table = [(a, b) for a in range(60) for b in edges[a]]
+    while True:
+        merged, refused = 0, set()
+        for a, b in table:
+            a, b = label[a], label[b]
+            if a == b:
+                continue
+            members = [k for k in range(60) if label[k] in (a, b)]
+            if plane(members):
+                merged += 1
+                for k in members:
+                    label[k] = a
+            else:
+                refused.add((a, b))
+        if not merged:
+            break
+        table = sorted(refused)
+    got = segmentation.merge_regions(np.arange(60), points, normals, edges, thick, sine)
+    first = lambda x: [list(x).index(v) for v in x]
+    big = [k for k in range(60) if list(got).count(got[k]) >= 10]
+    assert [first(got)[k] for k in big] == [first(label)[k] for k in big] and len({got[k] for k in big}) == 2
+    assert len(segmentation.merge_regions(np.arange(0), np.zeros((0, 3)), np.zeros((0, 3)), [], thick, sine)) == 0
+
+
+def test_pose_is_the_best():
+    """No pose near the solution has a smaller sum of squares, far from the origin, with few or no planes or points."""
+    rng = np.random.default_rng(11)
+    for n, m in ((8, 3), (8, 0), (3, 1), (0, 3), (40, 1)):
+        turn, shift = pose._turn(rng.normal(size=3)), rng.normal(size=3) * 3
+        p = rng.normal(size=(n, 3)) * 2 + 5
+        q = p @ turn.T + shift + rng.normal(size=(n, 3)) * 0.05
+        pc, pn, w = rng.normal(size=(m, 3)) * 3, rng.normal(size=(m, 3)), rng.random(m) * 10
+        pn /= np.maximum(np.linalg.norm(pn, axis=1, keepdims=True), 1e-9)
+        qc, qn = pc @ turn.T + shift, pn @ turn.T + rng.normal(size=(m, 3)) * 0.02
+        offset = (qn * qc).sum(axis=1) - (pn * pc).sum(axis=1)
+        row = {"n": n} | {f"s{s}{k}": x[:, i].sum() for s, x in (("p", p), ("q", q)) for i, k in enumerate("xyz")} | {f"b{k}": (w * offset * qn[:, i]).sum() for i, k in enumerate("xyz")}
+        for i, k in enumerate("xyz"):
+            for j, o in enumerate("xyz"):
+                row |= {f"h{k}{o}": (q[:, i] * p[:, j]).sum(), f"g{k}{o}": (w * qn[:, i] * pn[:, j]).sum(), f"a{k}{o}": (w * qn[:, i] * qn[:, j]).sum()}
+
+        def loss(r, t):
+            return ((p @ r.T + t - q) ** 2).sum() + (w * ((pn @ r.T - qn) ** 2).sum(axis=1)).sum() + (w * (qn @ t - offset) ** 2).sum()
+
+        best = pose.solve(row)
+        r, t = best[:3, :3], best[:3, 3]
+        assert np.allclose(r @ r.T, np.eye(3)) and np.linalg.det(r) > 0
+        for _ in range(200):
+            assert loss(pose._turn(rng.normal(size=3) * 0.02) @ r, t + rng.normal(size=3) * 0.02) >= loss(r, t) - 1e-9
+    nothing = {"n": 0} | {f"s{s}{k}": 0 for s in "pq" for k in "xyz"} | {f"b{k}": 0 for k in "xyz"} | {f"{m}{k}{o}": 0 for m in "hga" for k in "xyz" for o in "xyz"}
+    assert np.allclose(pose.solve(nothing), np.eye(4))
+
+
 def test_supports_and_ground_plane(spark):
     roots = spark.createDataFrame([("c", k, 9 if k % 2 else 8) for k in range(10)] + [("c", 20, 20)], "cloud_id string, pid long, root long")
     floor = spark.createDataFrame([("c", 100 + k) for k in range(5)], "cloud_id string, pid long")
