@@ -23,6 +23,16 @@ def sql(source: str, levels: Levels) -> str:
     return source
 
 
+def ctes(name: str, source: str, levels: Levels) -> str:
+    """The same as materialised common table expressions, the last one called ``name``; no engine then repeats a level."""
+    out = []
+    for k, level in enumerate(levels):
+        mine = name if k == len(levels) - 1 else f"{name}{k}"
+        out.append(f"{mine} AS MATERIALIZED (SELECT *, {', '.join(f'{text} AS {column}' for column, text in level.items())} FROM {source} AS s{k})")
+        source = mine
+    return ",\n".join(out)
+
+
 def settled(df: DataFrame, *keys: str) -> DataFrame:
     """``df``, whose rows ``keys`` tell apart and are already grouped by, behind an aggregate of one row a group.
 

@@ -107,7 +107,7 @@ PAIR_ROWS = "(SELECT near.pid, near.nbr, near.d2, a.x AS ax, a.y AS ay, a.z AS a
 # "by" is a keyword for DuckDB
 _PAIR_SQL = [{k: v.replace("by - ay", '"by" - ay') for k, v in level.items()} for level in PAIR_FEATURES]
 SPFH_CTE = f"""{NORMALS_CTE},
-binned AS (SELECT * FROM {steps.sql(PAIR_ROWS, _PAIR_SQL + PAIR_BINS)} AS b),
+{steps.ctes('binned', PAIR_ROWS, _PAIR_SQL + PAIR_BINS)},
 bins AS (SELECT pid, b1 AS bin FROM binned UNION ALL SELECT pid, b2 + 11 FROM binned UNION ALL SELECT pid, b3 + 22 FROM binned),
 spfh AS MATERIALIZED (SELECT pid, bin, count(*) / (sum(count(*)) OVER (PARTITION BY pid) / 3e0) AS v FROM bins GROUP BY pid, bin)"""
 
@@ -312,16 +312,28 @@ def ground_points(spark: SparkSession, d: str) -> DataFrame:
     return ground.classify(cells, ground.cell_planes(cells)).select("pid")
 
 
-@query()
+#: A lane of 60 m by 4 m along x with things standing two metres above it; from the tenth row of cells on it lies three metres higher.
+LANE = [{"x": "_u * 60e0 - 8e0", "y": "_v * 4e0 - 2e0", "z": "CASE WHEN face = 3 THEN _w + 2e0 ELSE _j END"}]
+LANE_SQL = f"SELECT pid, face, x, CAST(floor((x - min(x) OVER ()) / 4e0) AS INT) AS \"row\" FROM (SELECT pid, face, {LANE[0]['x']} AS x FROM {steps.sql('(SELECT event_id FROM events)', SCENE[:1])} AS v) AS w"
+
+
+@query(f'SELECT pid FROM ({LANE_SQL}) AS l WHERE face != 3 AND "row" != 9')
 def ground_segmentation(spark: SparkSession, d: str) -> DataFrame:
-    return ground.segment_ground(yard(spark, d))
+    """The lane is ground but for the row that is reached over the step; behind it a new flood begins."""
+    rows = steps.apply(spark.read.parquet(f"{d}/events.parquet").select("event_id"), SCENE[:1] + LANE, drop=False).select(F.lit("lane").alias("cloud_id"), "pid", "x", "y", "z")
+    placed = ground.grid_cells(rows).select("cloud_id", "pid", "x", "y", F.expr("z + CASE WHEN row >= 9 THEN 3e0 ELSE 0e0 END").alias("z"))
+    return ground.segment_ground(placed).select("pid")
 
 
-@query()
+@query(f"""WITH s AS ({SCENE_SQL}), g AS (SELECT face, min(pid) AS first FROM s WHERE face < 3 GROUP BY face), n AS (SELECT face, CAST(row_number() OVER (ORDER BY first) - 1 AS BIGINT) AS plane_id FROM g)
+SELECT n.plane_id, s.pid FROM s JOIN n USING (face)""")
 def plane_segmentation(spark: SparkSession, d: str) -> DataFrame:
-    points, near, normals = _surfaces(spark, d)
+    """The scene's three faces a metre apart: each is one plane, in the order of their first points."""
+    faces_ = scene(spark, d).where("face < 3").selectExpr("cloud_id", "pid", "x + CASE WHEN face = 2 THEN 2e0 ELSE 0e0 END AS x", "y - CASE WHEN face = 1 THEN 1e0 ELSE 0e0 END AS y", "z")
+    near = stored(neighbors.neighborhoods(faces_, 4 * RADIUS, KNN))
+    normals = stored(surface.point_normals(faces_, near))
     stable = stored(surface.stable_points(near, normals, DISPERSION))
-    return segmentation.supports(segmentation.region_roots(points, normals, near, stable, 0.02, DISPERSION), 100)
+    return segmentation.supports(segmentation.region_roots(faces_, normals, near, stable, 0.02, DISPERSION), 100).select("plane_id", "pid")
 
 
 @query(f"""WITH s AS ({SCENE_SQL}), g AS (SELECT face, min(pid) AS first FROM s GROUP BY face HAVING count(*) >= 100), n AS (SELECT face, CAST(row_number() OVER (ORDER BY first) - 1 AS BIGINT) AS plane_id FROM g)
@@ -330,7 +342,7 @@ def plane_supports(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.supports(scene(spark, d).select("cloud_id", "pid", F.col("face").alias("root")), 100).select("plane_id", "pid")
 
 
-@query(f"WITH {NORMALS_CTE} SELECT pid, nbr, {', '.join(rounded('f1', 'f2', 'f3'))} FROM {steps.sql(PAIR_ROWS, _PAIR_SQL)} AS f")
+@query(f"WITH {NORMALS_CTE}, {steps.ctes('features', PAIR_ROWS, _PAIR_SQL)} SELECT pid, nbr, {', '.join(rounded('f1', 'f2', 'f3'))} FROM features")
 def pair_features(spark: SparkSession, d: str) -> DataFrame:
     points, near, normals = _surfaces(spark, d)
     return descriptors.pair_features(descriptors.pairs(near, points, normals)).selectExpr("pid", "nbr", *rounded("f1", "f2", "f3"))
@@ -416,7 +428,43 @@ def mutual_confidence(spark: SparkSession, d: str) -> DataFrame:
     return matching.mutual_confidence(_chi(spark, d)).selectExpr("s", "t", *rounded("d", "confidence"))
 
 
-@query()
+def _chi_of(source: str, target: str, keys: str = "") -> str:
+    """Chi-square distances of all pairs of histograms (keys, id, bin, mass), zero masses left out of the sum."""
+    on = "".join(f" AND a.{k} = b.{k}" for k in keys.split(", ") if k)
+    of = "".join(f"a.{k}, " for k in keys.split(", ") if k)
+    ids = lambda t: f"(SELECT {keys}{', ' * bool(keys)}id, sum(mass) AS m FROM {t} GROUP BY ALL)"
+    back = "".join(f"c.{k} = a.{k} AND " for k in keys.split(", ") if k)
+    return f"""SELECT {of}a.id AS s, b.id AS t, greatest(a.m + b.m - 4 * coalesce(ab, 0), 0) AS d FROM {ids(source)} AS a JOIN {ids(target)} AS b ON true{on}
+LEFT JOIN (SELECT {of}a.id AS s, b.id AS t, sum(a.mass * b.mass / (a.mass + b.mass)) AS ab FROM {source} a JOIN {target} b ON a.bin = b.bin{on} WHERE a.mass + b.mass > 0 GROUP BY ALL) AS c ON {back}c.s = a.id AND c.t = b.id"""
+
+
+def _mutual_of(chi: str, keys: str = "") -> str:
+    """Cells that are least in row and column, and their confidence."""
+    part = keys + ", " * bool(keys)
+    same = "".join(f"o.{k} = b.{k} AND " for k in keys.split(", ") if k)
+    second = lambda own, other: f"least(2e0, coalesce((SELECT min(o.d) FROM {chi} o WHERE {same}o.{own} = b.{own} AND o.{other} != b.{other}), 2e0))"
+    return f"""SELECT *, CASE WHEN ds = 0 OR dt = 0 THEN 0e0 ELSE sqrt((1 - d / ds) * (1 - d / dt)) END AS confidence FROM (SELECT b.*, {second('s', 't')} AS ds, {second('t', 's')} AS dt
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part}s ORDER BY d, t) AS r, row_number() OVER (PARTITION BY {part}t ORDER BY d, s) AS c FROM {chi}) AS x WHERE r = 1 AND c = 1) AS b) AS z"""
+
+
+def _group_sql(side: str, table: str) -> str:
+    """Planes by pairs of numbers, and the mean full histograms of the groups."""
+    return f"""{side}p AS MATERIALIZED (SELECT DISTINCT plane_id AS id, plane_id - plane_id % 2 AS g FROM {table}), {side}n AS MATERIALIZED (SELECT g, count(*) AS n, min(id) AS first FROM {side}p GROUP BY g),
+{side}g AS MATERIALIZED (SELECT p.g AS id, d_bin * 12 + a_bin AS bin, sum(mass / n) AS mass FROM {table} h JOIN {side}p p ON p.id = h.plane_id JOIN {side}n USING (g) WHERE kind = 'full' GROUP BY ALL UNION ALL SELECT g, -1, 0e0 FROM {side}n)"""
+
+
+def _member_sql(side: str, table: str) -> str:
+    return f"""{side}m AS MATERIALIZED (SELECT l.gs, l.gt, p.id, d_bin * 12 + a_bin AS bin, mass FROM larger l JOIN {side}p p ON p.g = l.g{side} JOIN {table} h ON h.plane_id = p.id AND kind = 'restricted'
+UNION ALL SELECT l.gs, l.gt, p.id, -1, 0e0 FROM larger l JOIN {side}p p ON p.g = l.g{side})"""
+
+
+@query(f"""WITH {PCH_CTE}, pch2 AS MATERIALIZED ({_pch_sql(0.4)}), {_group_sql('s', 'pch')}, {_group_sql('t', 'pch2')},
+gchi AS MATERIALIZED ({_chi_of('sg', 'tg')}), gbest AS MATERIALIZED ({_mutual_of('gchi')}),
+gpairs AS MATERIALIZED (SELECT b.s AS gs, b.t AS gt, confidence AS gc, sn.n AS ns, tn.n AS nt, sn.first AS s1, tn.first AS t1 FROM gbest b JOIN sn ON sn.g = b.s JOIN tn ON tn.g = b.t),
+larger AS MATERIALIZED (SELECT * FROM gpairs WHERE ns > 1 OR nt > 1), {_member_sql('s', 'pch')}, {_member_sql('t', 'pch2')},
+mchi AS MATERIALIZED ({_chi_of('sm', 'tm', 'gs, gt')}), mbest AS MATERIALIZED ({_mutual_of('mchi', 'gs, gt')})
+SELECT s1 AS s, t1 AS t, round(gc, 6) + 0e0 AS confidence FROM gpairs WHERE ns = 1 AND nt = 1
+UNION ALL SELECT m.s, m.t, round(least(gc, m.confidence), 6) + 0e0 FROM mbest m JOIN larger USING (gs, gt)""")
 def plane_matching(spark: SparkSession, d: str) -> DataFrame:
     group = lambda h: h.select("pair_id", "id").distinct().withColumn("group_id", F.expr("id - id % 2"))
     a, b = map(_hist, _pchs(spark, d, PCH_RANGE, 0.4))
@@ -578,15 +626,21 @@ def angle_distances(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.distances(rows, "so2").selectExpr("event_id", *rounded("distance"))
 
 
-@query()
-def register_scene(spark: SparkSession, d: str) -> DataFrame:
+def registered(spark: SparkSession, d: str) -> DataFrame:
     """Both clouds prepared and registered from end to end: the pose that brings the scene onto its motion."""
     source = match_scene_cloud(spark, d)
     moved = layout.rigid(source, MOTION).withColumn("cloud_id", F.lit("moved"))
     p = registration.Parameters(0.04, segmentation_min_support=40, normal_radius=3.0, pch_range=12.0, pch_2l_radius=12.0)
     clouds = registration.process_clouds(source.unionByName(moved), p)
     pairs = spark.createDataFrame([(0, "scene", "moved")], "pair_id long, source string, target string")
-    return registration.register(clouds, pairs, p).transforms.select("pair_id", F.posexplode("m").alias("k", "v"))
+    return registration.register(clouds, pairs, p).transforms.select(F.posexplode("m").alias("k", "v"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, round({x!r}, 6) + 0e0, true)" for k, x in enumerate(MOTION)) + ") AS t(k, v, recovered)")
+def register_scene(spark: SparkSession, d: str) -> DataFrame:
+    """The known motion, number by number, and whether registration recovers it to 0.02 (points are 0.04 to 0.1 apart)."""
+    truth = spark.createDataFrame(list(enumerate(MOTION)), "k int, truth double")
+    return registered(spark, d).join(truth, "k").selectExpr("k", "round(truth, 6) + 0e0 AS v", "abs(v - truth) <= 0.02e0 AS recovered")
 
 
 def match_scene_cloud(spark: SparkSession, d: str) -> DataFrame:

@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder: the one the session names in ``spark.checkpoint.dir``.
 
-    A folder of our own is used only where the setting is absent, as in local tests.
+    Where the setting is absent a folder of our own is used, in local sessions such as tests alone; executors of a cluster would
+    each write one of their own.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orbweave-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orbweave-checkpoint-"))
     return sc.getCheckpointDir()
 
 
