@@ -5,18 +5,24 @@ flat, so its DC coefficient (quantiser 8) is the sample itself and the frame is
 All twelve DC categories have four-bit codes and end-of-block has one bit, so that a batch of frames is encoded and
 decoded side by side in numpy.  The frames go into a RIFF AVI file with an ``idx1`` index.
 
-Reading parses the RIFF tree, follows the index to each frame, checks the frame's markers and decodes the intra frame.
-Shots end where the difference of neighbouring frames' histograms exceeds mean + ``SIGMA`` deviations of the differences in
-the same clip, and, since that can't fire in clips of two to four frames or of many cuts, also where a share of ``HARD`` of
-the samples changes its bin, or a share of ``FLOOR`` that is ``TIMES`` the lower quartile of the clip.  They give timed rows.
-
-A null text is an empty one, which is a frame of spaces.  Equal texts have equal files.  Frames whose headers differ from
-those written here are refused with a ValueError.  Extra columns are ignored.
+Reading parses the RIFF tree, follows the index (or the frame list where there is none) to each frame, and decodes the intra frame.
+Frames as written here are decoded side by side; any other baseline frame (own Huffman and quantiser tables or the usual
+ones, AC coefficients, subsampled components, restart markers) by ``decode_jpeg``, of which the luminance counts.  Shots end
+where the difference of neighbouring frames' histograms exceeds mean + ``SIGMA`` deviations of the differences in the same
+clip, and, since that can't fire in clips of two to four frames or of many cuts, also where a share of ``HARD`` of the
+samples changes its bin, or a share of ``FLOOR`` that is ``TIMES`` the lower quartile of the clip.  They give timed rows.
+
+A null text is an empty one, which is a frame of spaces.  Equal texts have equal files.  A file that is broken or not motion
+JPEG gives one row with its error in ``clip_rows`` and no others; a null file gives none.  Texts of up to about 1 GB are stored; one whose
+file would pass the 4 GB that its size fields hold is an error.  An empty table gives an empty result, repeated rows are
+read alike, and extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -134,34 +140,219 @@ def avi(frames: list[bytes]) -> bytes:
 
 
 def frames_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Offsets and sizes of the frames that the index names, and the rate (scale, rate)."""
+    """Offsets and sizes of the frames that the index names, or of all in the list without one, and the rate (scale, rate)."""
     if blob[:4] != b"RIFF" or blob[8:12] != b"AVI ":
         raise ValueError("not a RIFF AVI file")
-    movi, index, scale, rate = None, None, 1, FPS
+    movi, index, scale, rate, streams, video = None, None, 1, FPS, 0, None
+    listed: list[tuple[bytes, int, int]] = []
 
-    def walk(at: int, end: int) -> None:
-        nonlocal movi, index, scale, rate
+    def walk(at: int, end: int, inside: bool = False) -> None:
+        nonlocal movi, index, scale, rate, streams, video
         while at + 8 <= end:
             tag, size = blob[at : at + 4], struct.unpack_from("<I", blob, at + 4)[0]
             if at + 8 + size > end:
                 raise ValueError("a chunk runs past its parent")
-            if tag == b"LIST" and blob[at + 8 : at + 12] == b"movi":
-                movi = at + 8
-            elif tag == b"LIST":
-                walk(at + 12, at + 8 + size)
-            elif tag == b"strh" and blob[at + 8 : at + 12] == b"vids":
-                if blob[at + 12 : at + 16] != b"MJPG":
-                    raise ValueError("not motion JPEG")
-                scale, rate = struct.unpack_from("<II", blob, at + 28)
+            if tag == b"LIST":
+                if blob[at + 8 : at + 12] == b"movi":
+                    movi = at + 8 if movi is None else movi
+                walk(at + 12, at + 8 + size, inside or blob[at + 8 : at + 12] == b"movi")
+            elif inside:
+                listed.append((tag, at + 8, size))
+            elif tag == b"strh":
+                if blob[at + 8 : at + 12] == b"vids" and video is None:
+                    if blob[at + 12 : at + 16].upper() != b"MJPG":
+                        raise ValueError("not motion JPEG")
+                    video, (scale, rate) = streams, struct.unpack_from("<II", blob, at + 28)
+                streams += 1
             elif tag == b"idx1":
-                index = np.frombuffer(blob, "<u4", size // 4, at + 8).reshape(-1, 4)
+                index = np.frombuffer(blob, "<u4", size // 16 * 4, at + 8).reshape(-1, 4)
             at += 8 + size + (size & 1)
 
-    walk(12, 8 + struct.unpack_from("<I", blob, 4)[0])
-    if movi is None or index is None:
-        raise ValueError("no movi list or no index")
-    index = index[index[:, 0] == int.from_bytes(b"00dc", "little")]
-    return index[:, 2].astype(np.int64) + movi + 8, index[:, 3].astype(np.int64), scale, rate
+    walk(12, min(len(blob), 8 + struct.unpack_from("<I", blob, 4)[0]))
+    if movi is None or video is None:
+        raise ValueError("no list of frames")
+    if not scale or not rate:
+        raise ValueError("no frame rate")
+    tags = [b"%02ddc" % video, b"%02ddb" % video]
+    if index is None:
+        spots = [(at, size) for tag, at, size in listed if tag in tags]
+        at, size = (np.array(x, np.int64) for x in (zip(*spots, strict=True) if spots else ((), ())))
+        return at, size, scale, rate
+    index = index[np.isin(index[:, 0], [int.from_bytes(t, "little") for t in tags])]
+    at, size = index[:, 2].astype(np.int64), index[:, 3].astype(np.int64)
+    if len(at) and blob[at[0] + movi : at[0] + movi + 4] in tags:  # from the list on, else from the file's beginning
+        at = at + movi
+    if len(at) and ((at + 8 + size).max() > len(blob) or blob[at[0] : at[0] + 4] not in tags):
+        raise ValueError("the index points outside of the frames")
+    return at + 8, size, scale, rate
+
+
+#: Fixed values (ITU T.81, K.3): code lengths and symbols of the usual tables, for frames that leave theirs out.
+USUAL_DC = (bytes.fromhex("00010501010101010100000000000000"), bytes.fromhex("00030101010101010101010000000000"))
+USUAL_AC = (
+    (bytes.fromhex("0002010303020403050504040000017d"), bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa")),
+    (bytes.fromhex("00020102040403040705040400010277"), bytes.fromhex("0001020311040521310612415107617113223281081442 91a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa".replace(" ", ""))),
+)
+#: Row-major places of coefficients in the order of the diagonals, and the cosines of a block.
+ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, (k // 8 if (k // 8 + k % 8) % 2 else k % 8))))
+COSINES = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) / (2 if u else np.sqrt(8)) for x in range(8)] for u in range(8)])
+
+
+@functools.lru_cache(maxsize=64)
+def _huffman(lengths: bytes, symbols: bytes) -> tuple[list[int], list[int]]:
+    """Length and symbol of the code that each 16 bits begin with; length 0 where none does."""
+    size, symbol = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    at = k = 0
+    for bits, count in enumerate(lengths, 1):
+        for _ in range(count):
+            span = 1 << (16 - bits)
+            if at + span > 1 << 16 or k >= len(symbols):
+                raise ValueError("a Huffman table overflows")
+            size[at : at + span], symbol[at : at + span] = bits, symbols[k]
+            at, k = at + span, k + 1
+    return size.tolist(), symbol.tolist()
+
+
+class _Bits:
+    """Codes and values from entropy-coded bytes without stuffing."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.held, self.count = data + b"\xff" * 8, 0, 0, 0
+        self.last = len(data) * 8
+
+    def block(self, dc, ac, out: np.ndarray) -> None:
+        """Difference of the DC level and AC levels of a block, in the order of the diagonals."""
+        k = 0
+        while k < 64:
+            size, symbol = ac if k else dc
+            while self.count < 32:
+                self.held = (self.held << 32) | int.from_bytes(self.data[self.at : self.at + 4].ljust(4, b"\xff"), "big")
+                self.at, self.count = self.at + 4, self.count + 32
+            code = (self.held >> (self.count - 16)) & 0xFFFF
+            used, value = size[code], symbol[code]
+            if not used:
+                raise ValueError("a code that no table has")
+            bits = value & 15
+            if k:
+                run = value >> 4
+                if not bits:
+                    if run != 15:
+                        self.count -= used
+                        break
+                    run = 16
+                k += run
+            elif value > 11:
+                raise ValueError("not eight bits a sample")
+            if bits:
+                if k > 63:
+                    raise ValueError("a block of more than 64 levels")
+                level = (self.held >> (self.count - used - bits)) & ((1 << bits) - 1)
+                out[k] = level if level >> (bits - 1) else level - (1 << bits) + 1
+            self.count -= used + bits
+            self.held &= (1 << self.count) - 1
+            k += 1 if bits or not k else 0
+        if self.at * 8 - self.count > self.last:
+            raise ValueError("a frame's entropy-coded data ends early")
+
+
+def decode_jpeg(frame: bytes) -> np.ndarray:
+    """The first component (luminance) of a baseline frame, height x width."""
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
+    quant: dict[int, np.ndarray] = {}
+    tables = {(0, k): (USUAL_DC[k], bytes(range(12))) for k in (0, 1)} | {(1, k): USUAL_AC[k] for k in (0, 1)}
+    shape: tuple[int, int] | None = None
+    parts: dict[int, tuple[int, int, int]] = {}  # component to its factors across and down, and its quantiser
+    levels: dict[int, np.ndarray] = {}
+    restart, at = 0, 2
+    while at + 4 <= len(frame):
+        if frame[at] != 0xFF:
+            raise ValueError("no marker where one must be")
+        marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+        if marker == 0xFF:  # fill byte
+            at += 1
+            continue
+        if marker == 0xD9:
+            break
+        body = frame[at + 4 : at + 2 + size]
+        at += 2 + size
+        if marker == 0xDB:
+            while body:
+                wide = 2 if body[0] >> 4 else 1
+                quant[body[0] & 15] = np.frombuffer(body, ">u2" if wide == 2 else "u1", 64, 1).astype(np.int64)
+                body = body[1 + 64 * wide :]
+        elif marker == 0xC4:
+            while body:
+                count = sum(body[1:17])
+                tables[body[0] >> 4, body[0] & 15] = (body[1:17], body[17 : 17 + count])
+                body = body[17 + count :]
+        elif marker == 0xDD:
+            restart = struct.unpack(">H", body[:2])[0]
+        elif marker in (0xC0, 0xC1):
+            depth, high, wide, n = struct.unpack_from(">BHHB", body)
+            if depth != 8 or not high or not wide:
+                raise ValueError("not eight bits a sample, or no size")
+            shape = (high, wide)
+            parts = {body[6 + 3 * k]: (body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)}
+            if not parts or not all(1 <= h <= 4 and 1 <= v <= 4 for h, v, _ in parts.values()):
+                raise ValueError("sampling factors out of range")
+        elif 0xC0 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
+            raise ValueError("not a baseline frame")
+        elif marker == 0xDA:
+            if shape is None:
+                raise ValueError("a scan before its frame")
+            end = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.S).search(frame, at)
+            stop = end.start() if end else len(frame)
+            named = {body[1 + 2 * k]: (body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])}
+            _scan(frame[at:stop], named, parts, shape, tables, restart, levels)
+            at = stop
+    if shape is None or not levels or next(iter(parts)) not in levels:
+        raise ValueError("a frame without samples")
+    first = next(iter(parts))
+    h, v, which = parts[first]
+    if which not in quant:
+        raise ValueError("a quantiser is missing")
+    grid = levels[first]
+    rows, cols = grid.shape[:2]
+    flat = np.zeros((rows * cols, 64))
+    flat[:, ZIGZAG] = grid.reshape(-1, 64) * quant[which]
+    blocks = COSINES.T @ flat.reshape(-1, 8, 8) @ COSINES
+    plane = np.clip(np.rint(blocks) + 128, 0, 255).astype(np.uint8).reshape(rows, cols, 8, 8).swapaxes(1, 2).reshape(rows * 8, cols * 8)
+    most_h, most_v = (max(p[k] for p in parts.values()) for k in (0, 1))
+    return plane[: -(-shape[0] * v // most_v), : -(-shape[1] * h // most_h)]
+
+
+def _scan(data: bytes, named: dict, parts: dict, shape: tuple[int, int], tables: dict, restart: int, levels: dict) -> None:
+    """Levels (rows x columns x 64) of the components of one scan."""
+    most_h, most_v = (max(p[k] for p in parts.values()) for k in (0, 1))
+    if not named.keys() <= parts.keys() or not all((0, d) in tables and (1, a) in tables for d, a in named.values()):
+        raise ValueError("a scan of an unknown component or table")
+    units = (-(-shape[0] // (8 * most_v)), -(-shape[1] // (8 * most_h)))
+    for part in named:
+        h, v, _ = parts[part]
+        levels[part] = np.zeros((units[0] * v, units[1] * h, 64), np.int64)
+    if len(named) == 1:  # alone, a component comes block by block
+        ((part, _),) = named.items()
+        h, v, _ = parts[part]
+        units = (-(-(-(-shape[0] * v // most_v)) // 8), -(-(-(-shape[1] * h // most_h)) // 8))
+    codes = {part: (_huffman(*tables[0, d]), _huffman(*tables[1, a])) for part, (d, a) in named.items()}
+    pieces_ = re.split(rb"\xff[\xd0-\xd7]", data) if restart else [data]
+    total = units[0] * units[1]
+    step = restart or total
+    if len(pieces_) * step < total:
+        raise ValueError("a frame's entropy-coded data ends early")
+    for number, piece in enumerate(pieces_[: -(-total // step)]):
+        bits, last = _Bits(piece.replace(b"\xff\x00", b"\xff")), dict.fromkeys(named, 0)
+        for unit in range(number * step, min(total, (number + 1) * step)):
+            row, col = divmod(unit, units[1])
+            for part, (dc, ac) in codes.items():
+                h, v, _ = parts[part] if len(named) > 1 else (1, 1, 0)
+                for y in range(v):
+                    for x in range(h):
+                        out = levels[part][row * v + y, col * h + x]
+                        bits.block(dc, ac, out)
+                        last[part] += int(out[0])
+                        out[0] = last[part]
 
 
 def encode(payloads: list[np.ndarray]) -> list[bytes]:
@@ -201,14 +392,24 @@ def decode(blobs: list[bytes]) -> list[np.ndarray]:
     return np.split(decode_frames(data, lo + len(head), hi - 2), np.cumsum(counts)[:-1])
 
 
+def histograms(frames: np.ndarray) -> np.ndarray:
+    """Samples by bin of each frame (n x samples)."""
+    n = len(frames)
+    return np.bincount((np.arange(n)[:, None] * BINS + (frames >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
+
+
 def shots(frames: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """First frames of the shots of a clip (n x samples)."""
-    n = len(frames)
+    return shots_of(histograms(frames), sigma)
+
+
+def shots_of(hist: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """First frames of the shots of a clip, from its frames' histograms."""
+    n = len(hist)
     if n < 2:
         return np.zeros(min(n, 1), np.int64)
-    hist = np.bincount((np.arange(n)[:, None] * BINS + (frames >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
     change = np.abs(np.diff(hist, axis=0)).sum(axis=1)
-    share = change / (2 * frames.shape[1])
+    share = change / (2 * hist[0].sum())
     sharp = (share >= HARD) | (share >= FLOOR) & (share >= TIMES * np.quantile(share, 0.25, method="lower"))
     return np.r_[0, np.flatnonzero(sharp | (change > change.mean() + sigma * change.std())) + 1]
 
@@ -259,8 +460,30 @@ def to_clips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, media binary")
 
 
+def clip_histograms(blob: bytes) -> tuple[np.ndarray, float]:
+    """Histograms of a file's frames, one held at a time where they are foreign, as samples of a common size; seconds a frame."""
+    at, size, scale, rate = frames_of(blob)
+    if not len(at):
+        return np.zeros((0, BINS), np.int64), scale / rate
+    if all(blob[a : a + len(HEADER)] == HEADER for a in at.tolist()):
+        (frames,) = decode([blob])
+        return histograms(frames), scale / rate
+    rows = []
+    for a, n in zip(at.tolist(), size.tolist(), strict=True):
+        if not n and rows:  # a dropped frame shows the last one again
+            rows.append(rows[-1])
+            continue
+        luma = decode_jpeg(blob[a : a + n])
+        rows.append(np.bincount((luma >> 4).ravel(), minlength=BINS) / luma.size)
+    return np.array(rows), scale / rate
+
+
+CLIP = "shot long, first_frame long, n_frames long, start_s double, end_s double, error string"
+
+
 def clip_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(id, shot, first_frame, n_frames, start_s, end_s): timed rows of the shots of each file; a null has none."""
+    """(id, shot, first_frame, n_frames, start_s, end_s, error): timed rows of the shots of each file, or one row with its error; a
+    null has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,12 +491,16 @@ def clip_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media"
                 blob = batch.column(1)[k].as_py()
                 if blob is None:
                     continue
-                _, _, scale, rate = frames_of(blob)
-                (frames,) = decode([blob])
-                first = shots(frames)
-                last = np.r_[first[1:], len(frames)].astype(np.int64)
-                owner = batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(first), np.int64)))
-                yield pa.RecordBatch.from_arrays([owner, pa.array(np.arange(len(first))), pa.array(first), pa.array(last - first), pa.array(first * scale / rate), pa.array(last * scale / rate)], names=[id_col, "shot", "first_frame", "n_frames", "start_s", "end_s"])
+                try:
+                    hist, seconds = clip_histograms(blob)
+                    first, error = shots_of(hist), None
+                    last = np.r_[first[1:], len(hist)].astype(np.int64)[: len(first)]
+                    columns = [np.arange(len(first)), first, last - first, first * seconds, last * seconds]
+                except (ValueError, IndexError, struct.error) as e:  # what broken bytes lead to
+                    columns, error = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], f"{type(e).__name__}: {e}"
+                n = len(columns[0])
+                owner = batch.column(0).slice(k, 1).take(pa.array(np.zeros(n, np.int64)))
+                yield pa.RecordBatch.from_arrays([owner, *map(pa.array, columns), pa.array([error] * n, pa.string())], names=[id_col, *(x.split()[0] for x in CLIP.split(", "))])
 
     kind = media.schema[id_col].dataType.simpleString()
-    return media.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, shot long, first_frame long, n_frames long, start_s double, end_s double")
+    return media.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, {CLIP}")

@@ -1,0 +1,160 @@
+"""A plain second reader and writer of motion JPEG files, bit by bit and by the formulas."""
+
+import math
+import struct
+
+import numpy as np
+
+DIAGONAL = [y * 8 + x for d in range(15) for y, x in ([(k, d - k) for k in range(d + 1)] if d % 2 else [(d - k, k) for k in range(d + 1)]) if y < 8 and x < 8]
+WAVE = [[math.cos((2 * x + 1) * u * math.pi / 16) * (math.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)]
+
+
+def codes(lengths, symbols):
+    """{bits as text: symbol}."""
+    out, code, k = {}, 0, 0
+    for size, count in enumerate(lengths, 1):
+        for _ in range(count):
+            out[format(code, f"0{size}b")] = symbols[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
+
+
+def chunks(data, at, end):
+    while at + 8 <= end:
+        tag, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
+        yield tag, at + 8, size
+        at += 8 + size + size % 2
+
+
+def frames(blob):
+    """The frames in the order of the movi list, and those that the index names."""
+    assert blob[:4] == b"RIFF" and struct.unpack("<I", blob[4:8])[0] == len(blob) - 8
+    listed, index, base = [], [], 0
+    for tag, at, size in chunks(blob, 12, len(blob)):
+        if tag == b"LIST" and blob[at : at + 4] == b"movi":
+            base = at
+            listed = [blob[a : a + n] for t, a, n in chunks(blob, at + 4, at + size) if t == b"00dc"]
+        if tag == b"idx1":
+            index = [struct.unpack("<4s3I", blob[k : k + 16]) for k in range(at, at + size, 16)]
+    return listed, [blob[base + where + 8 : base + where + 8 + size] for _, _, where, size in index]
+
+
+def read_grey(frame):
+    """The samples of a frame of one component with tables of its own."""
+    at, tables, quant = 2, {}, {}
+    while True:
+        marker, size = frame[at + 1], struct.unpack(">H", frame[at + 2 : at + 4])[0]
+        body = frame[at + 4 : at + 2 + size]
+        at += 2 + size
+        if marker == 0xDB:
+            quant[body[0]] = body[1:65]
+        elif marker == 0xC4:
+            tables[body[0]] = codes(body[1:17], body[17:])
+        elif marker == 0xC0:
+            high, wide = struct.unpack(">HH", body[1:5])
+        elif marker == 0xDA:
+            break
+    assert frame[-2:] == b"\xff\xd9"
+    bits = "".join(format(x, "08b") for x in frame[at:-2].replace(b"\xff\x00", b"\xff"))
+    place = 0
+
+    def symbol(table):
+        nonlocal place
+        size = 1
+        while bits[place : place + size] not in table:
+            size += 1
+        place += size
+        return table[bits[place - size : place]]
+
+    def value(size):
+        nonlocal place
+        got = bits[place : place + size]
+        place += size
+        return 0 if not size else int(got, 2) if got[0] == "1" else int(got, 2) - (1 << size) + 1
+
+    image, level = np.zeros((high, wide), int), 0
+    for top in range(0, high, 8):
+        for left in range(0, wide, 8):
+            block = [0] * 64
+            level += value(symbol(tables[0x00]))
+            block[0] = level
+            k = 1
+            while k < 64:
+                got = symbol(tables[0x10])
+                if got == 0:
+                    break
+                k += got >> 4
+                block[DIAGONAL[k]] = value(got & 15)
+                k += 1
+            image[top : top + 8, left : left + 8] = samples(block, quant[0])
+    return image
+
+
+def samples(block, quant):
+    """A block of levels (row-major) as samples; the quantiser comes by diagonals."""
+    q = [0] * 64
+    for k, place in enumerate(DIAGONAL):
+        q[place] = quant[k]
+    out = np.zeros((8, 8), int)
+    for y in range(8):
+        for x in range(8):
+            total = sum(block[v * 8 + u] * q[v * 8 + u] * WAVE[v][y] * WAVE[u][x] for v in range(8) for u in range(8) if block[v * 8 + u])
+            out[y, x] = min(255, max(0, round(total + 128)))
+    return out
+
+
+def write(planes, factors, quant, tables, shape, restart=0, with_tables=True):
+    """A baseline frame from planes of whole blocks, and the luminance that a reader must see.
+
+    planes: levels, quantised, blocks down x across x 64 (row-major); factors: (across, down) of each.
+    """
+    out = b"\xff\xd8" + segment(0xDB, b"\x00" + bytes(quant))
+    if with_tables:
+        for name, (lengths, symbols) in tables.items():
+            out += segment(0xC4, bytes([name]) + lengths + symbols)
+    out += segment(0xC0, struct.pack(">BHHB", 8, *shape, len(planes)) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(factors)))
+    if restart:
+        out += segment(0xDD, struct.pack(">H", restart))
+    out += segment(0xDA, bytes([len(planes)]) + b"".join(bytes([k + 1, 0x00 if k == 0 else 0x11]) for k in range(len(planes))) + bytes([0, 63, 0]))
+    book = {name: {s: c for c, s in codes(*t).items()} for name, t in tables.items()}
+    bits, data, last = "", b"", [0] * len(planes)
+
+    def put(size, level):
+        return format(level if level > 0 else level + (1 << size) - 1, f"0{size}b") if size else ""
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+    rows, cols = planes[0].shape[0] // factors[0][1], planes[0].shape[1] // factors[0][0]
+    for unit in range(rows * cols):
+        if restart and unit and unit % restart == 0:
+            data += flush(bits) + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8])
+            bits, last = "", [0] * len(planes)
+        for k, (plane, (h, v)) in enumerate(zip(planes, factors, strict=True)):
+            dc, ac = (book[0x00], book[0x10]) if k == 0 else (book[0x01], book[0x11])
+            for y in range(v):
+                for x in range(h):
+                    block = plane[unit // cols * v + y, unit % cols * h + x]
+                    diff = int(block[0]) - last[k]
+                    last[k] = int(block[0])
+                    bits += dc[abs(diff).bit_length()] + put(abs(diff).bit_length(), diff)
+                    run = 0
+                    for place in DIAGONAL[1:]:
+                        level = int(block[place])
+                        if level == 0:
+                            run += 1
+                            continue
+                        while run > 15:
+                            bits, run = bits + ac[0xF0], run - 16
+                        bits += ac[run << 4 | abs(level).bit_length()] + put(abs(level).bit_length(), level)
+                        run = 0
+                    if run:
+                        bits += ac[0]
+    luma = np.block([[samples([int(x) for x in b], quant) for b in row] for row in planes[0]])
+    return out + data + flush(bits) + b"\xff\xd9", luma
+
+
+def segment(marker, body):
+    return bytes([0xFF, marker]) + struct.pack(">H", len(body) + 2) + body

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.llm import html_extract, langid, licenses, media, mixing, pii, queries, toxicity
-from tests.llm import brute
+from tests.llm import brute, jpeg
 from tests.llm.test_pairs import table
 
 PERSONAL = [
@@ -109,14 +110,86 @@ def test_media_round_trip(spark):
         assert sum(n for _, n in mine) == got[k]["payload_bytes"] // 192 and mine[0][0] == 0
 
 
-def test_media_random_frames_and_broken_files():
+def test_media_random_frames_by_a_second_reader():
     rng = np.random.default_rng(0)
-    payloads = [rng.integers(0, 256, 192 * n).astype(np.uint8) for n in (1, 2, 40)] + [np.full(192, 255, np.uint8), np.zeros(192, np.uint8)]
+    payloads = [rng.integers(0, 256, 192 * n).astype(np.uint8) for n in (1, 2, 10)] + [np.full(192, 255, np.uint8), np.zeros(192, np.uint8)]
     blobs = media.encode(payloads)
     assert all((f.ravel() == p).all() for f, p in zip(media.decode(blobs), payloads, strict=True))
-    for bad in (b"", b"RIFF" + bytes(60), blobs[0][:200], blobs[0].replace(b"idx1", b"junk")):
-        with pytest.raises((ValueError, Exception)):
-            media.decode([bad])
+    for blob, payload in zip(blobs, payloads, strict=True):
+        listed, named = jpeg.frames(blob)
+        assert listed == named and len(listed) == len(payload) // 192
+        seen = np.concatenate([jpeg.read_grey(f)[::8, ::8].ravel() for f in listed])
+        assert (seen == payload).all()
+        for k, f in enumerate(listed):
+            whole = media.decode_jpeg(f)
+            assert whole.shape == (64, 192) and (whole == np.kron(payload[k * 192 : k * 192 + 192].reshape(8, 24), np.ones((8, 8)))).all()
+
+
+def _foreign(rng, kind, base):
+    """A frame of another writer: grey, three full components, or subsampled ones, with restarts or without its tables."""
+    tables = {0x00: (media.USUAL_DC[0], bytes(range(12))), 0x01: (media.USUAL_DC[1], bytes(range(12))), 0x10: media.USUAL_AC[0], 0x11: media.USUAL_AC[1]}
+    factors = {"grey": [(1, 1)], "444": [(1, 1)] * 3, "420": [(2, 2), (1, 1), (1, 1)], "422": [(2, 1), (1, 1), (1, 1)], "bare": [(2, 2), (1, 1), (1, 1)]}[kind]
+    quant = [3] + [rng.integers(2, 40) for _ in range(63)]
+    planes = []
+    for k, (h, v) in enumerate(factors):
+        levels = np.where(rng.random((2 * v, 3 * h, 64)) < 0.15, rng.integers(-9, 10, (2 * v, 3 * h, 64)), 0)
+        levels[..., 0] = (base - 128) * 8 // 3 + rng.integers(-3, 4, levels.shape[:2]) if k == 0 else 5
+        planes.append(levels)
+    h, v = factors[0]
+    shape = (16 * v - 3, 24 * h - 5)
+    frame, luma = jpeg.write(planes, factors, quant, tables, shape, restart=2 if kind in ("422", "grey") else 0, with_tables=kind != "bare")
+    return frame, luma[: shape[0], : shape[1]]
+
+
+@pytest.mark.parametrize("kind", ["grey", "444", "420", "422", "bare"])
+def test_media_foreign_frames(spark, kind):
+    rng = np.random.default_rng(5)
+    made = [_foreign(rng, kind, base) for base in (40, 40, 40, 200, 200)]
+    for frame, luma in made:
+        got = media.decode_jpeg(frame)
+        assert got.shape == luma.shape and np.abs(got.astype(int) - luma).max() <= 1
+    good = media.avi([f for f, _ in made])
+    at = good.index(b"idx1")
+    bare = bytearray(good[:at])  # without an index
+    bare[4:8] = (len(bare) - 8).to_bytes(4, "little")
+    other = good.replace(b"00dc", b"01dc") if kind == "grey" else good  # frames of no video stream
+    empty = media.avi([])
+    cut_off = good[: at - len(made[-1][0]) // 2]
+    rows = spark.createDataFrame([(1, good), (2, bytes(bare)), (3, None), (4, b"junk"), (5, b""), (6, empty), (7, cut_off), (8, good.replace(b"MJPG", b"H264")), (9, other), (1, good)], "doc_id long, media binary")
+    rows = rows.withColumn("shot", rows["doc_id"])
+    got = {}
+    for r in media.clip_rows(rows).collect():
+        got.setdefault(r["doc_id"], []).append((r["first_frame"], r["n_frames"], r["end_s"], r["error"] is None))
+    want = [(0, 3, 3 / 25, True), (3, 2, 5 / 25, True)]
+    assert sorted(got[1]) == sorted(want * 2) and sorted(got[2]) == want and 3 not in got and 6 not in got
+    assert all(len(got[k]) == 1 and not got[k][0][3] for k in (4, 5, 7, 8)) and (kind != "grey" or 9 not in got)
+    assert media.clip_rows(rows.where("false")).count() == 0 and media.digests(table(spark, [])).count() == 0
+
+
+def test_media_broken_frames_are_errors():
+    rng = np.random.default_rng(6)
+    frame, _ = _foreign(rng, "420", 90)
+    blob = media.encode([rng.integers(0, 256, 192 * 3).astype(np.uint8)])[0]
+    for bad in (b"", frame[:50], frame[: len(frame) // 2], frame.replace(b"\xff\xc0", b"\xff\xc2"), b"\xff\xd8\xff\xd9"):
+        with pytest.raises((ValueError, IndexError, struct.error)):
+            media.decode_jpeg(bad)
+    for bad in (b"", b"RIFF" + bytes(60), blob[:200], blob[:-40]):
+        with pytest.raises((ValueError, IndexError, struct.error)):
+            media.clip_histograms(bad)
+    for _ in range(300):  # changed bytes give an error or rows, nothing else
+        broken = bytearray(blob if rng.random() < 0.5 else media.avi([frame]))
+        for _ in range(rng.integers(1, 6)):
+            broken[rng.integers(len(broken))] = rng.integers(256)
+        try:
+            media.shots_of(media.clip_histograms(bytes(broken))[0])
+        except (ValueError, IndexError, struct.error):
+            pass
+
+
+def test_media_repeated_rows_and_clashing_names(spark):
+    docs = table(spark, ["abc", "abc", None], [1, 1, None]).withColumn("n_bytes", F.lit("x")).withColumn("feature", F.lit("x"))
+    got = media.digests(docs).collect()
+    assert len(got) == 3 and len({(r["media_sha256"], r["feature"]) for r in got if r["doc_id"] == 1}) == 1
 
 
 @pytest.mark.parametrize("levels", [[0, 200], [0, 0, 200], [0, 200, 0, 200], [0, 0, 200, 200, 100], [0, 200, 200, 200, 0, 0], [0, 0, 90, 90, 200, 200, 20, 20], list(range(0, 256, 16)), [7] * 9])
