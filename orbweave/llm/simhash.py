@@ -1,19 +1,26 @@
 """SimHash near-duplicate groups through anchor-point covering.
 
-Fingerprints: 64 bits over the XXH64 of word shingles, whole texts.  Search: the 64 bits fall into three blocks
-(21, 21 and 22 bits).  Two fingerprints that differ in at most four bits differ in at most one bit of some block.
-The low 15 bits of a block are covered by the perfect [15,11] Hamming code (covering radius 1), its other bits by
-themselves.  Codewords are the anchors: a fingerprint is at home at the one anchor within the covering radius, and is
-replicated to every anchor within radius plus one, where the home of any partner in that block must be.  Homes are
-compared with replicas per anchor by XOR and popcount, and only a spanning star of each local component is emitted.
-
-Nulls, empty texts and texts without words get fingerprint zero and are linked like any other.  Repeated rows keep
-their rows and share a fingerprint.  An empty table gives an empty result; other columns are ignored.
+Fingerprints: 64 bits over the XXH64 of word shingles, whole texts.  Search: the 64 bits fall into blocks, of which some are
+joined so that two fingerprints which differ in at most four bits differ in at most ``threshold`` bits of some join.  The low 15
+bits of a join are covered by the perfect [15,11] Hamming code (covering radius 1), its other bits by themselves.
+Codewords are the anchors: a fingerprint is at home at the one anchor within the covering radius, and is replicated to every
+anchor within radius plus threshold, where the home of any partner in that join must be.  Homes are compared with replicas
+per anchor by XOR and popcount, and only a spanning star of each local component is emitted.
+
+Anchors grow with the corpus (``layout_for``): three single blocks with threshold 1 have 2^17 anchors each; of seven blocks
+each three joined, and of eight each four, differ nowhere for some join (threshold 0), with 2^23 and 2^28 anchors, so that
+about ``HOMES`` fingerprints are at home at an anchor up to 10^10.  All layouts find the same links.
+
+Nulls, empty texts and texts without words get fingerprint zero and are linked like any other.  A bit that half of the
+hashes set is 0.  Very long texts are read whole, about 1 MB of texts or one longer text at a time.  Repeated rows keep their
+rows and share a fingerprint.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +30,36 @@ from pyspark.sql import functions as F
 
 from .common import components, fresh, other_key, stored, utf8
 
-#: Low bit and width of each block.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
 CODED = 15
+HOMES = 64
+
+
+class Layout(NamedTuple):
+    """Blocks of the 64 bits, how many are joined, and in how many bits partners may differ in a join."""
+
+    blocks: int
+    joined: int
+    threshold: int
+
+    def joins(self) -> list[list[tuple[int, int]]]:
+        """(low bit, width) of the blocks of each join; every join has ``CODED`` bits at least."""
+        cuts = [64 * k // self.blocks for k in range(self.blocks + 1)]
+        return [list(x) for x in itertools.combinations([(a, b - a) for a, b in itertools.pairwise(cuts)], self.joined)]
+
+    def anchors(self) -> int:
+        """Of the smallest join."""
+        return 1 << (min(sum(w for _, w in join) for join in self.joins()) - 4)
+
+
+#: Up to four differing bits leave a block of three with at most one, and three of seven or four of eight with none.
+LAYOUTS = (Layout(3, 1, 1), Layout(7, 3, 0), Layout(8, 4, 0))
+
+
+def layout_for(n: int) -> Layout:
+    """The first with few enough homes an anchor, else the last."""
+    return next((x for x in LAYOUTS if n <= HOMES * x.anchors()), LAYOUTS[-1])
+
+
 #: Homes of an anchor beyond this number are dealt over salts; replicas go to each salt.
 HOT_HOMES = 4096
 
@@ -94,15 +128,17 @@ def hamming_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return nearest, near, count
 
 
-def placed(fps: np.ndarray, tables=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def placed(fps: np.ndarray, tables=None, layout: Layout = LAYOUTS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor keys, fingerprint index and home flag of every copy of the given fingerprints."""
     nearest, near, count = tables or hamming_tables()
     keys, owner, home = [], [], []
     every = np.arange(len(fps))
-    for number, (low, width) in enumerate(BLOCKS):
-        block = ((fps >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
-        coded, free = block & ((1 << CODED) - 1), block >> CODED
-        tag = number << 24
+    for number, join in enumerate(layout.joins()):
+        value = np.zeros(len(fps), np.int64)
+        for low, width in join:
+            value = (value << width) | ((fps >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        coded, free = value & ((1 << CODED) - 1), value >> CODED
+        tag = number << 36
 
         def put(anchor, rest, who, at_home):
             keys.append(tag | (rest << CODED) | anchor)
@@ -110,10 +146,12 @@ def placed(fps: np.ndarray, tables=None) -> tuple[np.ndarray, np.ndarray, np.nda
             home.append(np.full(len(who), at_home))
 
         put(nearest[coded], free, every, True)
+        if not layout.threshold:  # a perfect code has no other anchor within its radius
+            continue
         for k in range(1, 8):
             who = np.flatnonzero(count[coded] > k)
             put(near[coded[who], k], free[who], who, False)
-        for bit in range(width - CODED):
+        for bit in range(sum(width for _, width in join) - CODED):
             put(nearest[coded], free ^ (1 << bit), every, False)
     return np.concatenate(keys), np.concatenate(owner), np.concatenate(home)
 
@@ -171,18 +209,19 @@ def stars(key: np.ndarray, fp: np.ndarray, home: np.ndarray, bits: int) -> tuple
     return u[keep], v[keep]
 
 
-def links(fps: DataFrame, bits: int = 4) -> DataFrame:
+def links(fps: DataFrame, bits: int = 4, layout: Layout | None = None) -> DataFrame:
     """(u, v): links that connect all distinct fingerprints (column fp) at ``bits`` or fewer differing bits."""
     if not 0 <= bits <= 4:
         raise ValueError("the covering is built for at most four differing bits")
     tables = hamming_tables()
+    layout = layout or layout_for(fps.count())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
             for lo in range(0, len(fp), 4096):
                 part = fp[lo : lo + 4096]
-                key, who, home = placed(part, tables)
+                key, who, home = placed(part, tables, layout)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[who].view(np.int64)), pa.array(home)], names=["key", "fp", "home"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +255,7 @@ def links(fps: DataFrame, bits: int = 4) -> DataFrame:
         own = F.pmod(F.xxhash64("fp"), F.col("salts"))
         dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         dealt = dealt.withColumn("home", F.col("home") & (F.col("salt") == own))
-        copies = dealt.select((F.col("key") + F.col("salt").cast("long") * F.lit(1 << 26)).alias("key"), "fp", "home")
+        copies = dealt.select((F.col("key") + F.col("salt").cast("long") * F.lit(1 << 43)).alias("key"), "fp", "home")
     copies = copies.repartition("key").sortWithinPartitions("key", F.desc("home"))
     return copies.mapInArrow(compare, "u long, v long")
 

@@ -48,7 +48,8 @@ def test_fingerprints_and_components(spark, texts):
     assert {k: r["component_id"] for k, r in got.items()} == brute.components(fps)
 
 
-def test_covering_finds_every_link(spark):
+@pytest.mark.parametrize("layout", simhash.LAYOUTS)
+def test_covering_finds_every_link(spark, layout):
     rng = random.Random(5)
     fps = [rng.getrandbits(64) for _ in range(30)]
     for fp in list(fps):
@@ -56,23 +57,40 @@ def test_covering_finds_every_link(spark):
             fps.append(fp ^ sum(1 << b for b in rng.sample(range(64), bits)))
     signed = [f - (1 << 64) if f >> 63 else f for f in dict.fromkeys(fps)]
     rows = spark.createDataFrame([(f,) for f in signed], "fp long")
-    roots = {r["node"]: r["root"] for r in common.components(simhash.links(rows)).collect()}
+    roots = {r["node"]: r["root"] for r in common.components(simhash.links(rows, layout=layout)).collect()}
     number = {f: k for k, f in enumerate(sorted(signed))}
     want = brute.components({number[f]: f & (1 << 64) - 1 for f in signed})
     assert {number[f]: number[roots.get(f, f)] for f in signed} == want
 
 
-def test_crowded_anchor_is_dealt_over_salts(spark, monkeypatch):
+def test_anchors_grow_with_the_corpus():
+    assert [simhash.layout_for(n).blocks for n in (0, 10**5, 10**8, 10**9, 10**12)] == [3, 3, 7, 8, 8]
+    for layout in simhash.LAYOUTS:
+        widths = {sum(w for _, w in join) for join in layout.joins()}
+        assert min(widths) >= simhash.CODED and max(widths) - simhash.CODED + 36 <= 63 and {b for join in layout.joins() for low, w in join for b in range(low, low + w)} == set(range(64))
+
+
+@pytest.mark.parametrize("layout", simhash.LAYOUTS)
+def test_crowded_anchor_is_dealt_over_salts(spark, monkeypatch, layout):
     monkeypatch.setattr(simhash, "HOT_HOMES", 3)
     rng = random.Random(6)
     base = rng.getrandbits(63)
     fps = sorted({base ^ (rng.getrandbits(4) << 50) for _ in range(60)} | {rng.getrandbits(63) for _ in range(20)})
     rows = spark.createDataFrame([(f,) for f in fps], "fp long")
-    roots = {r["node"]: r["root"] for r in common.components(simhash.links(rows)).collect()}
+    roots = {r["node"]: r["root"] for r in common.components(simhash.links(rows, layout=layout)).collect()}
     number = {f: k for k, f in enumerate(fps)}
     assert {number[f]: number[roots.get(f, f)] for f in fps} == brute.components({number[f]: f for f in fps})
 
 
+def test_fingerprints_of_very_long_texts_and_clashing_names(spark):
+    rng = random.Random(7)
+    long = " ".join(f"w{rng.randrange(500)}" for _ in range(300_000))
+    docs = table(spark, [long, long.upper(), long + " x", "short", None]).withColumn("component_id", F.lit("x")).withColumn("fingerprint", F.lit(1))
+    got = {r["doc_id"]: r for r in simhash.groups(docs).collect()}
+    assert int(got[0]["fingerprint"], 16) == brute.fingerprint(long) == int(got[1]["fingerprint"], 16)
+    assert [got[k]["component_id"] for k in range(3)] == [0, 0, 0] and simhash.keep_one(docs).columns == docs.columns
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "u long, v long")
     roots = {r["node"]: r["root"] for r in common.components(edges).collect()}
