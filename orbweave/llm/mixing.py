@@ -10,19 +10,19 @@ so no pattern is ever sorted or collected, however large.
 Only the sums of patterns and buckets come to the driver.  Patterns beyond ``PATTERNS`` raise an error.
 
 Null texts have size zero; a null source is a source of its own, last in order; a document without sources gives nothing.
-Rows that repeat an id are selected alike.  An empty table gives an empty result.  Reruns agree: order and partitions don't
-matter.
+Rows that repeat an id have one hash and are selected alike, as are ids whose hashes tie.  Very long texts are counted whole.  An
+empty table gives an empty result.  Reruns agree: order and partitions don't matter.  Extra columns are ignored (``sampled``
+keeps them).
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, fresh, stored
 
 WEIGHTS, REPEATS, SEED, PATTERNS = (5, 2, 1), 3, 17, 100_000
 _ROUNDS, _BITS = 3, 10
@@ -50,58 +50,73 @@ def source_targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, repeats
 
 def flow(supply: list[float], member: list[tuple[int, ...]], quota: list[float], repeats: int = REPEATS) -> list[float]:
     """Tokens each pattern gives, from supplies by pattern, sources by pattern, and quotas by source: a maximum flow of
-    least repetition cost, by successive shortest paths with potentials."""
+    least repetition cost.
+
+    Primal-dual: only arcs from the origin cost anything, so the shortest augmenting paths of one length are those that begin
+    with the k-th copies, and each length is exhausted at once by blocking flows.  Flow is kept on the arcs from patterns to
+    sources; a pattern's flow never falls.
+    """
     n, m = len(supply), len(quota)
-    sink, first, nodes = n + m + 1, n + 1, n + m + 2  # 0 is the origin, 1..n patterns, then sources
-    head: list[list[int]] = [[] for _ in range(nodes)]
-    to: list[int] = []
-    room: list[float] = []
-    cost: list[int] = []
-
-    def arc(a: int, b: int, cap: float, c: int) -> None:
-        for x, y, r, k in ((a, b, cap, c), (b, a, 0.0, -c)):
-            head[x].append(len(to))
-            to.append(y)
-            room.append(r)
-            cost.append(k)
-
-    for p in range(n):
-        for k in range(repeats):
-            arc(0, p + 1, supply[p], k * k)
-        for s in member[p]:
-            arc(p + 1, first + s, float("inf"), 0)
-    for s in range(m):
-        arc(first + s, sink, quota[s], 0)
     tiny = 1e-9 * max(1.0, sum(quota))
-    high = [0.0] * nodes
-    while True:
-        far = [float("inf")] * nodes
-        came = [-1] * nodes
-        far[0], queue = 0.0, [(0.0, 0)]
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > far[a]:
-                continue
-            for e in head[a]:
-                b = to[e]
-                if room[e] > tiny and (x := d + cost[e] + high[a] - high[b]) < far[b] - 1e-12:
-                    far[b], came[b] = x, e
-                    heapq.heappush(queue, (x, b))
-        if far[sink] == float("inf"):
-            break
-        high = [h + min(d, far[sink]) for h, d in zip(high, far, strict=True)]
-        path, b = [], sink
-        while b:
-            path.append(came[b])
-            b = to[came[b] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
-    given = [0.0] * n
-    for e in range(0, len(to), 2):
-        if to[e ^ 1] == 0:
-            given[to[e] - 1] += room[e ^ 1]
+    sent: list[dict[int, float]] = [dict.fromkeys(x, 0.0) for x in member]
+    back: list[set[int]] = [set() for _ in range(m)]  # patterns that send to a source
+    given, open_ = [0.0] * n, list(quota)
+    for copy in range(1, repeats + 1):
+        room = [min(copy * x - g, x) if x > 0 else 0.0 for x, g in zip(supply, given, strict=True)]
+        while True:
+            # patterns and sources in layers by the number of arcs from a pattern that has room
+            level = [0 if r > tiny else -1 for r in room]
+            depth = [-1] * m
+            layer, far, found = [p for p in range(n) if level[p] == 0], 0, False
+            while layer and not found:
+                reached = []
+                for p in layer:
+                    for s in sent[p]:
+                        if depth[s] < 0:
+                            depth[s] = far + 1
+                            reached.append(s)
+                            found = found or open_[s] > tiny
+                layer, far = [], far + 2
+                for s in reached:
+                    for p in back[s] if not found else ():
+                        if level[p] < 0:
+                            level[p] = far
+                            layer.append(p)
+            if not found:
+                break
+            ways = [iter([s for s in sent[p] if depth[s] == level[p] + 1]) if level[p] >= 0 else iter(()) for p in range(n)]
+            turns = [iter([p for p in back[s] if level[p] == depth[s] + 1]) if depth[s] >= 0 else iter(()) for s in range(m)]
+            for first in range(n):
+                while level[first] == 0 and room[first] > tiny:
+                    path = [first]  # patterns and sources in turn
+                    while path:
+                        at = path[-1]
+                        if len(path) % 2:
+                            step = next(ways[at], None)
+                        elif open_[at] > tiny:
+                            break
+                        else:
+                            step = next((p for p in turns[at] if sent[p][at] > tiny), None)
+                        if step is None:
+                            path.pop()
+                        else:
+                            path.append(step)
+                    if not path:
+                        break
+                    push = min([room[first], open_[path[-1]], *(sent[path[k]][path[k - 1]] for k in range(2, len(path), 2))])
+                    room[first] -= push
+                    given[first] += push
+                    open_[path[-1]] -= push
+                    for k in range(0, len(path), 2):
+                        sent[path[k]][path[k + 1]] += push
+                        back[path[k + 1]].add(path[k])
+                        if k:
+                            sent[path[k]][path[k - 1]] -= push
+                    # a path may go on from where this one began to run out
+                    for k in range(0, len(path) - 1, 2):
+                        ways[path[k]] = iter([path[k + 1], *ways[path[k]]])
+                    for k in range(1, len(path) - 1, 2):
+                        turns[path[k]] = iter([path[k + 1], *turns[path[k]]])
     return given
 
 
@@ -201,8 +216,9 @@ def by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the mix takes, with ``copies``, which replaces a column of that name."""
-    got = by_source(docs, id_col, text_col, source_col).where("copies > 0").select(F.col(id_col).alias("__id"), "copies")
-    # rows that repeat an id have one hash, so they are taken alike
-    got = got.groupBy("__id").agg(F.max("copies").alias("copies"))
     docs = docs.drop("copies")
-    return docs.join(got, docs[id_col].eqNullSafe(got["__id"])).drop("__id")
+    own = fresh(docs, "__id")
+    got = by_source(docs, id_col, text_col, source_col).where("copies > 0").select(F.col(id_col).alias(own), "copies")
+    # rows that repeat an id have one hash, so they are taken alike
+    got = got.groupBy(own).agg(F.max("copies").alias("copies"))
+    return docs.join(got, docs[id_col].eqNullSafe(got[own])).drop(own)

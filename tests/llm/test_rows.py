@@ -456,6 +456,47 @@ def test_targets_and_flow():
     assert sum(given) == pytest.approx(45) and max(given) <= 20 + 1e-6
 
 
+def test_flow_is_optimal():
+    """Against all whole-numbered flows: as much as possible, then as cheap as possible."""
+    import itertools
+
+    rng = random.Random(13)
+    price = lambda g, x: sum((k - 1) ** 2 * max(0, min(g - (k - 1) * x, x)) for k in (1, 2, 3))
+    for _ in range(60):
+        n, m = rng.randrange(1, 5), rng.randrange(1, 4)
+        supply = [rng.randrange(4) for _ in range(n)]
+        member = [tuple(sorted(rng.sample(range(m), rng.randrange(0, m + 1)))) for _ in range(n)]
+        quota = [rng.randrange(8) for _ in range(m)]
+        best = None
+        for g in itertools.product(*(range(3 * x + 1) for x in supply)):
+            fits = all(sum(g[p] for p in part) <= sum(quota[s] for s in {s for p in part for s in member[p]}) for size in range(1, n + 1) for part in itertools.combinations(range(n), size))
+            if fits:
+                best = min(best or (1, 0), (-sum(g), sum(map(price, g, supply))))
+        got = mixing.flow([float(x) for x in supply], member, [float(x) for x in quota])
+        assert (-sum(got), sum(map(price, got, supply))) == pytest.approx(best)
+
+
+def test_flow_of_many_patterns():
+    rng = random.Random(14)
+    member = [tuple(sorted(rng.sample(range(40), rng.randrange(1, 5)))) for _ in range(5000)]
+    supply = [float(rng.randrange(1, 10**6)) for _ in member]
+    size = [sum(x for x, s in zip(supply, member, strict=True) if k in s) for k in range(40)]
+    targets = [t * sum(supply) / sum(size) for t in mixing.source_targets(size)]
+    given = mixing.flow(supply, member, targets)
+    assert sum(given) == pytest.approx(sum(targets)) and all(0 <= g <= 3 * x * (1 + 1e-9) for g, x in zip(given, supply, strict=True))
+
+
+def test_mixing_of_repeats_ties_and_long_texts(spark):
+    docs = table(spark, ["a b", "a b", "c", "x " * 300_000, "d e"] + ["f g h"] * 60, [1, 1, 1, 2, None] + [k // 2 for k in range(100, 160)]).withColumn("size", F.lit("x")).withColumn("copies", F.lit("x")).withColumn("__id", F.lit(1))
+    got = mixing.by_source(docs).collect()
+    assert len(got) == 65 and {r["size"] for r in got} == {1, 2, 3, 300_000}
+    copies = {}
+    for r in got:
+        copies.setdefault(r["doc_id"], set()).add(r["copies"])
+    kept = mixing.sampled(docs)
+    assert set(kept.columns) == set(docs.columns) and kept.count() == sum(r["copies"] > 0 or max(copies[r["doc_id"]]) > 0 for r in got)
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     texts = [None, ""] + [" ".join(["w"] * rng.randrange(1, 60)) for _ in range(400)]
