@@ -79,28 +79,36 @@ def flow(supply: list[float], member: list[tuple[int, ...]], quota: list[float],
                 layer, far = [], far + 2
                 for s in reached:
                     for p in back[s] if not found else ():
-                        if level[p] < 0:
+                        if level[p] < 0 and sent[p][s] > tiny:
                             level[p] = far
                             layer.append(p)
             if not found:
                 break
-            ways = [iter([s for s in sent[p] if depth[s] == level[p] + 1]) if level[p] >= 0 else iter(()) for p in range(n)]
-            turns = [iter([p for p in back[s] if level[p] == depth[s] + 1]) if depth[s] >= 0 else iter(()) for s in range(m)]
+            ways = [[s for s in sent[p] if depth[s] == level[p] + 1] if level[p] >= 0 else [] for p in range(n)]
+            turns = [[p for p in back[s] if level[p] == depth[s] + 1] if depth[s] >= 0 else [] for s in range(m)]
+            way, turn = [0] * n, [0] * m  # arcs before these lead nowhere in this round
             for first in range(n):
                 while level[first] == 0 and room[first] > tiny:
                     path = [first]  # patterns and sources in turn
                     while path:
                         at = path[-1]
                         if len(path) % 2:
-                            step = next(ways[at], None)
+                            if way[at] < len(ways[at]):
+                                path.append(ways[at][way[at]])
+                                continue
+                            path.pop()
+                            if path:
+                                turn[path[-1]] += 1
                         elif open_[at] > tiny:
                             break
                         else:
-                            step = next((p for p in turns[at] if sent[p][at] > tiny), None)
-                        if step is None:
+                            while turn[at] < len(turns[at]) and sent[turns[at][turn[at]]][at] <= tiny:
+                                turn[at] += 1
+                            if turn[at] < len(turns[at]):
+                                path.append(turns[at][turn[at]])
+                                continue
                             path.pop()
-                        else:
-                            path.append(step)
+                            way[path[-1]] += 1
                     if not path:
                         break
                     push = min([room[first], open_[path[-1]], *(sent[path[k]][path[k - 1]] for k in range(2, len(path), 2))])
@@ -112,11 +120,6 @@ def flow(supply: list[float], member: list[tuple[int, ...]], quota: list[float],
                         back[path[k + 1]].add(path[k])
                         if k:
                             sent[path[k]][path[k - 1]] -= push
-                    # a path may go on from where this one began to run out
-                    for k in range(0, len(path) - 1, 2):
-                        ways[path[k]] = iter([path[k + 1], *ways[path[k]]])
-                    for k in range(1, len(path) - 1, 2):
-                        turns[path[k]] = iter([path[k + 1], *turns[path[k]]])
     return given
 
 
