@@ -126,17 +126,47 @@ def other_key(column: str) -> Column:
     return F.col(column).bitwiseXOR(F.lit(1).cast("long")).alias("key")
 
 
+#: A key of at most so many rows is never dealt over salts.
+EVEN = 100
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame | None:
+    """(keys, salts) of the keys that hold more rows than an even share of a shuffle partition; None if there are none.
+
+    counts: one row for each key, with its number of rows.  There are fewer hot keys than shuffle partitions, whatever the
+    input, so they can be broadcast.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    even = max(EVEN, (counts.agg(F.sum(n)).first()[0] or 0) // parts)
+    hot = stored(counts.where(F.col(n) > even).select(*keys, F.ceil(F.col(n) / even).cast("int").alias("__salts")))
+    return None if hot.isEmpty() else hot
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, spread: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined to ``one``, the rows of a hot key dealt over its salts by a hash of ``spread`` and the rows of ``one`` given
+    to each salt.  The columns of ``hot`` but the last are among ``keys``."""
+    if hot is None:
+        return many.join(one, keys, how)
+    by = hot.columns[:-1]
+    own = F.pmod(F.xxhash64(*spread), F.coalesce("__salts", F.lit(1))).cast("int")
+    left = many.join(F.broadcast(hot), by, "left").withColumn("__salt", own).drop("__salts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+    right = one.join(F.broadcast(hot), by, "left").withColumn("__salt", every).drop("__salts")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (u, v, longs) reaches.
 
     Min-label propagation with pointer jumping.  Each round aggregates messages on the map side before the shuffle
-    and joins only unique keys to the edges, so a node with a very large degree is splittable, and is written to the
-    checkpoint folder.  The number of rounds grows with the logarithm of a component's diameter.
+    and joins only unique keys to the edges, those of a node with a very large degree dealt over salts, and is written to
+    the checkpoint folder.  The number of rounds grows with the logarithm of a component's diameter.
     """
     both = cut(edges.select("u", "v").union(edges.select("v", "u")).where("u != v").distinct())
     labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
+    hot = hot_keys(both.groupBy("v").agg(F.count("*").alias("n")), ["v"])
     for _ in range(rounds):
-        told = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("told"))
+        told = salted_join(both, labels.select(F.col("node").alias("v"), "root"), ["v"], hot, ["u"]).groupBy("u").agg(F.min("root").alias("told"))
         low = labels.join(told.withColumnRenamed("u", "node"), "node", "left").select("node", F.col("root").alias("was"), F.least("root", "told").alias("root"))
         # dealt anew by another key on both sides, so that a root of very many nodes can be split
         jump = low.select(other_key("node"), F.col("root").alias("next"))

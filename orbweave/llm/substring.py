@@ -13,7 +13,9 @@ node of string depth ``length`` or more, a deep internal node, and the words und
   doubling), the depth at which neighbours part, and so the internal nodes.  Suffixes under a node of depth ``length`` repeat up to
   the deepest node above them; joined along an extension these are its maximal repeats.
 * Longer prefixes.  A group with more leaves is split by lengthening the prefix to ``length`` words: such a group is a
-  single deep node, of which only the number of its places is needed (partial sums first, splittable joins).
+  single deep node, of which only the number of its places is needed (partial sums first).
+
+Joins by prefix, extension or window deal the rows of a hot key over salts.
 
 Prefixes and extensions are told apart by 64-bit hashes, an extension within its prefix; in the trees words are.
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, other_key, pieces, stored, utf8, word_hashes, word_spans
+from .common import Rolling, hot_keys, pieces, salted_join, stored, utf8, word_hashes, word_spans
 
 LENGTH, PREFIX = 35, 5
 LEAVES = 4096  #: leaves of a group that is built in memory
@@ -263,12 +265,14 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
     """(rid, lo, hi): word spans of ``rows`` (rid, doc (id, text)) that windows which repeat cover; spans may overlap."""
     leaves = rows.mapInArrow(_prefix_rows(length, prefix), "h long, s long, rid long, lo int, hi int")
     # one extension only: every leaf under the prefix reads alike
-    shared = leaves.groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("n > 1").select("h", (F.col("s0") == F.col("s1")).alias("alike"))
-    leaves = stored(leaves.join(stored(shared), "h"))
+    shared = leaves.groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("n > 1")
+    shared = stored(shared.select("h", "n", (F.col("s0") == F.col("s1")).alias("alike")))
+    leaves = stored(salted_join(leaves, shared.drop("n"), ["h"], hot_keys(shared, ["h"]), ["rid", "lo"]))
     alike = leaves.where("alike").select("rid", "lo", "hi")
     mixed = leaves.where("NOT alike")
     nodes = stored(mixed.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("leaf")))
-    deep = mixed.join(nodes.where("n > 1").select("h", "s"), ["h", "s"], "left_semi").select("rid", "lo", "hi")
+    many = nodes.where("n > 1").select("h", "s", "n")
+    deep = salted_join(mixed, many.drop("n"), ["h", "s"], hot_keys(many, ["h", "s"]), ["rid", "lo"], "left_semi").select("rid", "lo", "hi")
     groups = stored(nodes.groupBy("h").agg(F.count("*").alias("leaves"), F.min("n").alias("least")).where("least = 1").select("h", (F.col("leaves") > LEAVES).alias("crowded")))
     crowded = groups.where("crowded").select("h")
     n_crowded = crowded.count()
@@ -284,8 +288,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
     windows = rows.join(spots, "rid").select("rid", "doc", "spots").mapInArrow(_window_rows(length), "h long, w long, rid long, lo int")
     # a row that is repeated whole shows each leaf twice; two leaves must be two places
     place = F.xxhash64("rid", "lo")
-    twice = windows.groupBy("h", "w").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b")
-    cross = windows.select(other_key("h"), "w", "rid", "lo").join(twice.select(other_key("h"), "w"), ["key", "w"], "left_semi").select("rid", "lo", (F.col("lo") + length).alias("hi"))
+    twice = stored(windows.groupBy("h", "w").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a != b").select("h", "w", "n"))
+    cross = salted_join(windows, twice.drop("n"), ["h", "w"], hot_keys(twice, ["h", "w"]), ["rid", "lo"], "left_semi").select("rid", "lo", (F.col("lo") + length).alias("hi"))
     return found.unionByName(cross)
 
 
