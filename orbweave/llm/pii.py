@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import fresh, hot_keys, salted_join, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns.
@@ -137,17 +137,23 @@ def telling(entity: DataFrame, docs: DataFrame, text_col: str, n_docs: int) -> D
     n_entity = entity.select("entity", "tid", "rid").distinct().groupBy("entity", "tid").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("in_texts")).where(F.col("in_texts") >= SUPPORT)
     near = entity.select("entity", "tid", "rid", F.explode("words.term").alias("term")).distinct()
     pairs = near.groupBy("entity", "term", "tid").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
-    pairs = stored(pairs.join(n_entity, "entity"))
+    pairs = stored(pairs)  # a kind of entity is a hot key
+    pairs = stored(salted_join(pairs, n_entity, ["entity"], hot_keys(pairs.groupBy("entity").agg(F.count("*").alias("n")), ["entity"]), ["term"]))
     candidates = pairs.count()
     if not candidates:
         return pairs.select("entity", "term", F.lit("").alias("kind"))
     wanted = stored(pairs.select("term").distinct())
     used = docs.select(F.explode(terms(F.col(text_col))).alias("term"))
-    counts = used.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    number = F.count("*").alias("n_t")
+    if wanted.count() <= BROADCAST_TERMS:
+        counts = used.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(number)
+    else:  # summed before the join, so that a frequent term is no hot key
+        counts = used.groupBy("term").agg(number).join(wanted, "term", "left_semi")
     bits = F.log2(F.col("n_te") * F.lit(float(n_docs)) / (F.col("n_t") * F.col("n_e")))
     share = bits / F.log2(F.greatest(F.lit(2.0), F.lit(float(n_docs)) / F.col("n_e")))
     sure = F.col("texts") * bits >= F.log2(F.lit(float(candidates))) + DOUBT
-    return pairs.join(counts, "term").where(sure & (share >= GENERALISE)).select("entity", "term", F.when(share >= REMOVE, "removed").otherwise("generalised").alias("kind"))
+    hot = hot_keys(pairs.groupBy("term").agg(F.count("*").alias("n")), ["term"])
+    return salted_join(pairs, counts, ["term"], hot, ["entity"]).where(sure & (share >= GENERALISE)).select("entity", "term", F.when(share >= REMOVE, "removed").otherwise("generalised").alias("kind"))
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,7 +174,12 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     out = rows.withColumn("near", spans)
     if n_tell:
         seen = entity.select("id", "rid", "entity", F.explode("words").alias("x")).select("id", "rid", "entity", "x.*")
-        near = seen.join(F.broadcast(tell) if n_tell <= BROADCAST_TERMS else tell, ["entity", "term"]).groupBy("id", "rid").agg(F.collect_set(F.struct("start", "end", "kind")).alias("near"))
+        if n_tell <= BROADCAST_TERMS:
+            near = seen.join(F.broadcast(tell), ["entity", "term"])
+        else:
+            hot = hot_keys(seen.groupBy("entity", "term").agg(F.count("*").alias("n")), ["entity", "term"])
+            near = salted_join(seen, tell, ["entity", "term"], hot, ["rid", "start"])
+        near = near.groupBy("id", "rid").agg(F.collect_set(F.struct("start", "end", "kind")).alias("near"))
         near = near.select(F.col("id").alias("__id"), F.col("rid").alias("__rid"), "near")
         out = rows.join(near, rows["id"].eqNullSafe(near["__id"]) & (rows["rid"] == near["__rid"]), "left")
     free = _outside(_outside(F.col("near"), F.col("base")), F.col("secret"))
