@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, licenses, media, mixing, pii, simhash, substring, toxicity
+from . import decontaminate, hard_negatives, html_extract, langid, licenses, media, mixing, pii, sharding, simhash, substring, toxicity
 from .common import read
 
 
@@ -59,6 +59,15 @@ def op10_langid(spark: SparkSession, d: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), model, held_out=_fold(4) == 2)
 
 
+def op11_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.shard_rows(read(spark, d, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,9 +75,9 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontaminate, op2_toxicity, op3_simhash, op4_mixing, op5_substring, op6_licenses, op7_pii, op8_media, op9_html, op10_langid)
+    ops = (op1_decontaminate, op2_toxicity, op3_simhash, op4_mixing, op5_substring, op6_licenses, op7_pii, op8_media, op9_html, op10_langid, op11_sharding, op12_hard_negatives)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": licenses.scan_sql()}
+    return {"op6_licenses": licenses.scan_sql(), "op12_hard_negatives": hard_negatives.SQL}
