@@ -7,7 +7,8 @@ and again, the largest sum of the one with the smallest of the other, until one
 Groups of at least ``1 / (shards * LARGE)`` of all bytes or rows, of which there are at most ``2 * shards * LARGE`` whatever the input, are
 differenced on the driver.  All others are dealt over buckets of about ``BUCKET`` groups by a hash of the text, and each bucket is
 differenced in a task of its own together with an equal part of the large groups' partition as one more tuple, so that small
-groups fill what large ones leave uneven.  A group that alone is larger than an even share makes its shard as large as itself.
+groups fill what large ones leave uneven.  The first bucket comes last, together with the sums of all else, and fills what the others
+leave.  A group that alone is larger than an even share makes its shard as large as itself.
 
 Slots number a shard's rows from 0 without gaps, by chunks of about ``CHUNK`` rows dealt by a hash of id and text: the rows of earlier
 chunks, which are counted, then the rank inside the chunk.
@@ -98,14 +99,22 @@ def assigned(groups: DataFrame, shards: int, large: int = LARGE, bucket: int = B
     np.add.at(held, shard, sizes)
     buckets = max(1, math.ceil(total["groups"] / bucket))
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["bucket"].iloc[0])
+    def fill(pdf: pd.DataFrame, prior: np.ndarray, turn: int) -> pd.DataFrame:
         pdf = pdf.assign(digest=pdf["digest"].map(bytes)).sort_values(["bytes", "digest"], ascending=[False, True])
-        prior = np.array([int(x) * (b + 1) // buckets - int(x) * b // buckets for x in held - held.min()], np.int64)
-        return pd.DataFrame({"digest": pdf["digest"], "shard": difference(pdf["bytes"].to_numpy(np.int64), shards, prior, b).astype(np.int32)})
+        return pd.DataFrame({"digest": pdf["digest"], "shard": difference(pdf["bytes"].to_numpy(np.int64), shards, prior, turn).astype(np.int32), "bytes": pdf["bytes"]})
+
+    def fill_part(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = int(pdf["bucket"].iloc[0])
+        return fill(pdf, np.array([int(x) * (b + 1) // buckets - int(x) * b // buckets for x in held - held.min()], np.int64), b)
 
     small = groups.where(~is_large).select("digest", "bytes", F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket"))
-    return first, small.groupBy("bucket").applyInPandas(fill, "digest binary, shard int")
+    out = "digest binary, shard int, bytes long"
+    others = stored(small.where("bucket > 0").groupBy("bucket").applyInPandas(fill_part, out))
+    before = held.copy()
+    for row in others.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():  # one row a shard
+        before[row["shard"]] += row["bytes"]
+    last = small.where("bucket = 0").groupBy("bucket").applyInPandas(lambda pdf: fill(pdf, before, 0), out)
+    return first, others.unionByName(last).drop("bytes")
 
 
 def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:

@@ -219,3 +219,37 @@ def bayes(train, texts):
         best = max(range(len(langs)), key=score.__getitem__)
         out.append((langs[best], 1 / sum(math.exp(max(s - score[best], -700)) for s in score)))
     return out
+
+
+def differencing(sizes, shards):
+    """Parts of indices into ``sizes`` (in decreasing order): lists with their sums, the two of largest spread combined."""
+    tuples = [(-s, k, [(s, [k])] + [(0, [])] * (shards - 1)) for k, s in enumerate(sizes)]
+    tuples.append((0, len(sizes), [(0, [])] * shards))
+    number = len(tuples)
+    while len(tuples) > 1:
+        tuples.sort(key=lambda t: t[:2])
+        (_, _, a), (_, _, b), *tuples = tuples
+        both = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b), strict=True)), key=lambda t: -t[0])
+        tuples.append((both[-1][0] - both[0][0], number, both))
+        number += 1
+    return [p for _, p in tuples[0][2]]
+
+
+def hard_negatives(rows, is_anchor, positives=5, negatives=10, low=30, high=90):
+    """rows: (id, vector of numbers, label) or less."""
+    fine = []
+    for i, v, label in rows:
+        if None in (i, label) or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        row = (i, tuple(math.floor(256 * x) for x in v), label)
+        if row not in fine:
+            fine.append(row)
+    out = []
+    for a, v, label in fine:
+        if not is_anchor(a):
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), i, other) for i, w, other in fine if i != a)
+        for s, p, _ in [x for x in scored if x[2] == label][:positives]:
+            able = [x for x in scored if x[2] != label and low * -s <= 100 * -x[0] <= high * -s][:negatives]
+            out += [(a, p, k, n, -s, -t) for k, (t, n, _) in enumerate(able, 1)]
+    return sorted(out)
