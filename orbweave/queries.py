@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import steps
 from .functions.geometry import COVARIANCE, PAIR_BINS, PAIR_FEATURES, SYMMETRIC_EIGEN, TOWARD_ORIGIN, colour, morton
-from .operators import consistency, descriptors, ground, layout, matching, neighbors, pose, segmentation, surface
+from .operators import consistency, descriptors, ground, knn, layout, matching, neighbors, pose, segmentation, surface
 from .plans import registration
 from .tables import stored
 from .sources import text
@@ -159,6 +159,29 @@ def narrow_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.narrow(_near(spark, d)[1], NARROW_RADIUS, NARROW_KNN).selectExpr("pid", "nbr", "CAST(rk AS BIGINT) AS rk", "round(d2, 6) AS d2")
 
 
+#: Places to ask about: one a customer, spread over a box that is larger than the scene.
+ASK = ("(x - 1.5e0) * 1.6e0 + 1.5e0", "(y - 1.5e0) * 1.6e0 + 1.5e0", "(z - 2.5e0) * 1.6e0 + 2.5e0")
+ASK_SQL = f"SELECT pid, {', '.join(f'{e} AS {c}' for e, c in zip(ASK, 'xyz', strict=True))} FROM {steps.sql('(SELECT c_custkey FROM customer)', _scene('c_custkey'))} AS v"
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    rows = steps.apply(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey"), _scene("c_custkey"))
+    return rows.select(F.lit("scene").alias("cloud_id"), "pid", *(F.expr(e).alias(c) for e, c in zip(ASK, "xyz", strict=True)))
+
+
+@query(f"""WITH scene AS MATERIALIZED ({SCENE_SQL}), asked AS MATERIALIZED ({ASK_SQL})
+SELECT pid, nbr, rk, round(d2, 6) AS d2 FROM (SELECT a.pid, b.pid AS nbr, {D2} AS d2, row_number() OVER (PARTITION BY a.pid ORDER BY {D2}, b.pid) AS rk FROM asked a, scene b) AS r WHERE rk <= 8""")
+def knn_search(spark: SparkSession, d: str) -> DataFrame:
+    return knn.knn(scene(spark, d), 8, asked(spark, d)).selectExpr("pid", "nbr", "CAST(rk AS BIGINT) AS rk", "round(d2, 6) AS d2")
+
+
+@query(f"""WITH asked AS MATERIALIZED ({ASK_SQL}),
+near AS (SELECT * FROM (SELECT a.pid AS asker, b.pid, {D2} AS d2, row_number() OVER (PARTITION BY a.pid ORDER BY {D2}, b.pid) AS rk FROM asked a, asked b) AS r WHERE rk <= 5)
+SELECT pid, CAST(count(*) AS BIGINT) AS askers, round(max(d2), 6) AS farthest FROM near GROUP BY pid""")
+def reverse_knn(spark: SparkSession, d: str) -> DataFrame:
+    return knn.reverse_knn(asked(spark, d), 5).groupBy("pid").agg(F.count("*").alias("askers"), F.round(F.max("d2"), 6).alias("farthest"))
+
+
 @query(f"SELECT pid, x, y, z FROM ({SCENE_SQL}) AS s WHERE x BETWEEN 1.25e0 AND 1.75e0 AND y BETWEEN 1e0 AND 1.5e0 AND z BETWEEN 2e0 AND 2.5e0")
 def box_query(spark: SparkSession, d: str) -> DataFrame:
     return layout.box_query(scene(spark, d), (1.25, 1.0, 2.0), (1.75, 1.5, 2.5)).select("pid", "x", "y", "z")
