@@ -1,0 +1,95 @@
+"""Nearest neighbours without a radius, against all pairs."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from orbweave.operators import knn
+
+SCHEMA = "cloud_id string, pid long, x double, y double, z double, nbr int, d2 int, n int, unit int, lvl int, want int, cx int"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6, 7) for r in rows], SCHEMA)
+
+
+def plain(points, k, queries=None):
+    sound = lambda r: r[0] is not None and r[1] is not None and all(x is not None and abs(x) <= 1e150 for x in r[2:])
+    points, queries = [p for p in points if sound(p)], [q for q in (points if queries is None else queries) if sound(q)]
+    out = []
+    for q in queries:
+        near = sorted(((q[2] - p[2]) ** 2 + (q[3] - p[3]) ** 2 + (q[4] - p[4]) ** 2, p[1]) for p in points if p[0] == q[0])
+        out += [(q[0], q[1], p, rk, round(d2, 9)) for rk, (d2, p) in enumerate(near[:k], 1)]
+    return sorted(out)
+
+
+def result(df):
+    return sorted((r["cloud_id"], r["pid"], r["nbr"], r["rk"], round(r["d2"], 9)) for r in df.collect())
+
+
+def cloud(n, seed, name="a"):
+    """A dense spot, a plane, a wide volume and a few outliers."""
+    rng = np.random.default_rng(seed)
+    parts = [rng.normal(0, 0.01, (n // 3, 3)), rng.uniform(-5, 5, (n // 3, 3)) * [1, 1, 0], rng.uniform(-20, 20, (n // 3, 3)), [[500, 0, 0], [0, -900, 3]]]
+    return [(name, k, *map(float, p)) for k, p in enumerate(np.concatenate(parts))]
+
+
+@pytest.mark.parametrize("k", [1, 7])
+def test_uneven_density_and_outliers(spark, k):
+    points = cloud(300, 1) + cloud(30, 2, "b") + [("alone", 5, 1.0, 1.0, 1.0)]
+    assert result(knn.knn(table(spark, points), k)) == plain(points, k)
+
+
+def test_queries_of_their_own(spark):
+    points = cloud(200, 3) + [("b", 1, 0.0, 0.0, 0.0), ("b", 2, 0.0, 0.0, 0.0)]
+    asks = [(c, 1000 + k, float(x), float(y), float(z)) for k, (x, y, z) in enumerate(np.random.default_rng(4).uniform(-60, 60, (60, 3))) for c in ("a", "b")]
+    asks += [("a", 5000, 1e6, -1e6, 0.0), ("a", 5001, 1e30, 0.0, 0.0), ("a", 5002, 0.0, 0.0, -1e120), ("none", 1, 0.0, 0.0, 0.0)]
+    asks += asks[:3]
+    got = result(knn.knn(table(spark, points), 4, table(spark, asks)))
+    assert [g[:4] for g in got] == [w[:4] for w in plain(points, 4, asks)]
+
+
+def test_crowds_at_one_location(spark):
+    """A third of all points at one place: ties by id, and no more work for them than for one place."""
+    rng = random.Random(5)
+    points = [("a", k, 0.5, 0.5, 0.5) for k in range(400)] + [("a", 1000 + k, rng.random(), rng.random(), rng.random()) for k in range(200)]
+    rng.shuffle(points)
+    assert result(knn.knn(table(spark, points), 5)) == plain(points, 5)
+
+
+def test_fewer_points_than_wanted_and_wrong_rows(spark):
+    nan, inf = math.nan, math.inf
+    points = [("a", 1, 0.0, 0.0, 0.0), ("a", 2, 1.0, 0.0, 0.0), ("a", 3, nan, 0.0, 0.0), ("a", 4, None, 0.0, 0.0), ("a", 5, inf, 0.0, 0.0), ("a", None, 0.0, 0.0, 0.0), (None, 7, 0.0, 0.0, 0.0), ("a", 8, -0.0, 0.0, 0.0), ("a", 9, 1e-300, 0.0, 0.0)]
+    assert result(knn.knn(table(spark, points), 9)) == plain(points, 9)
+    assert knn.knn(table(spark, []), 3).collect() == []
+    assert knn.knn(table(spark, points), 3, table(spark, [])).collect() == []
+    with pytest.raises(ValueError, match="one neighbour"):
+        knn.knn(table(spark, points), 0)
+
+
+def test_reverse(spark):
+    points = cloud(60, 6)
+    got = sorted((r["cloud_id"], r["asker"], r["pid"], r["rk"], round(r["d2"], 9)) for r in knn.reverse_knn(table(spark, points), 3).collect())
+    assert got == plain(points, 3)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(0, 6)), min_size=1, max_size=40), st.integers(1, 6))
+def test_lattices_with_ties(spark, places, k):
+    """Equal distances and points on the faces of cells."""
+    points = [("a", i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(places)]
+    assert result(knn.knn(table(spark, points), k)) == plain(points, k)
+
+
+def test_few_pairs_are_compared(spark, monkeypatch):
+    """Work follows the number of neighbours, not the size of the cloud."""
+    rng = np.random.default_rng(9)
+    points = [("a", k, *map(float, p)) for k, p in enumerate(rng.uniform(0, 1, (3000, 3)) * [1, 1, 0.01])]
+    seen, compare = [], knn._compare
+    monkeypatch.setattr(knn, "_compare", lambda a, b: seen.append(compare(a, b)) or seen[-1])
+    assert knn.knn(table(spark, points), 5).count() == 15_000
+    assert sum(s.count() for s in seen) < 3000 * 400
