@@ -7,6 +7,7 @@ engines do alike.  Matches for the graph operators come one a supplier.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from .functions import steps
 from .functions.geometry import COVARIANCE, PAIR_BINS, PAIR_FEATURES, SYMMETRIC_EIGEN, TOWARD_ORIGIN, colour, morton
 from .operators import consistency, descriptors, ground, knn, layout, matching, neighbors, pose, segmentation, surface
 from .plans import registration
-from .tables import stored
 from .sources import text
+from .streaming import live_map
+from .tables import shared_folder, stored
 
 RADIUS, KNN = 0.1, 30
 NARROW_RADIUS, NARROW_KNN = 0.06, 10
@@ -187,6 +189,33 @@ def box_query(spark: SparkSession, d: str) -> DataFrame:
     return layout.box_query(scene(spark, d), (1.25, 1.0, 2.0), (1.75, 1.5, 2.5)).select("pid", "x", "y", "z")
 
 
+#: Each thousandth event clears or keeps a box of the live map: (remainder of the event, kind, corners).
+BOXES = (
+    (500, "remove_inside", ("1.4e0", "1e0", "2e0", "1.5e0", "2e0", "3e0")),
+    (0, "remove_outside", ("1.05e0 + (event_id / 1000) % 3 * 1e-1", "1e0", "2e0", "1.75e0 + (event_id / 1000) % 3 * 1e-1", "1.9e0", "2.9e0")),
+)
+_CORNERS = ("x", "y", "z", "x2", "y2", "z2")
+_BOX_SQL = " UNION ALL ".join(f"SELECT event_id, '{kind}' AS kind, {', '.join(f'{e} AS {c}' for e, c in zip(corners, _CORNERS, strict=True))} FROM events WHERE event_id % 1000 = {k}" for k, kind, corners in BOXES).replace("(event_id / 1000)", "(event_id // 1000)")
+_IN_BOX = " AND ".join(f"s.{c} BETWEEN b.{c} AND b.{c}2" for c in "xyz")
+
+
+@query(f"""WITH s AS MATERIALIZED ({SCENE_SQL}), b AS MATERIALIZED ({_BOX_SQL})
+SELECT pid, x, y, z FROM s WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.event_id >= s.pid AND (({_IN_BOX}) = (kind = 'remove_inside')))""")
+def live_map_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of events: a point each, and boxes that are cleared and kept; the map that is left."""
+    events = spark.readStream.schema("event_id long").parquet(f"{d}/events.parque[t]")
+    box = lambda kind, corners: f"named_struct('kind', '{kind}', " + ", ".join(f"'{c}', double({e.replace('(event_id / 1000)', '(event_id div 1000)')})" for e, c in zip(corners, _CORNERS, strict=True)) + ")"
+    point = "named_struct('kind', 'add', 'x', x, 'y', y, 'z', z, 'x2', double(null), 'y2', double(null), 'z2', double(null))"
+    boxes = ", ".join(f"CASE WHEN event_id % 1000 = {k} THEN {box(kind, corners)} END" for k, kind, corners in BOXES)
+    rows = steps.apply(events, SCENE, drop=False).select("event_id", F.posexplode(F.expr(f"filter(array({point}, {boxes}), r -> r IS NOT NULL)")).alias("k", "r"))
+    rows = rows.select(F.lit("scene").alias("cloud_id"), (2 * F.col("event_id") + F.col("k")).alias("seq"), "r.kind", F.col("event_id").alias("pid"), *(f"r.{c}" for c in _CORNERS))
+    root = f"{shared_folder(spark)}/live-map-{uuid.uuid4().hex}"
+    with live_map.state_store(spark):
+        changes = live_map.live_map(rows, 0.1, 16).writeStream.format("parquet").option("path", f"{root}/changes").option("checkpointLocation", f"{root}/checkpoint")
+        changes.trigger(availableNow=True).start().awaitTermination()
+    return live_map.standing(spark.read.schema(live_map.OUT).parquet(f"{root}/changes")).select("pid", "x", "y", "z")
+
+
 def _voxel_sql(half: str) -> str:
     return f"(SELECT s.*, {', '.join(f'CAST(floor(({c} - m{c}) / {VOXEL} + {half}) AS BIGINT) AS {k}' for c, k in zip('xyz', 'ijk', strict=True))} FROM ({SCENE_SQL}) AS s, (SELECT min(x) AS mx, min(y) AS my, min(z) AS mz FROM ({SCENE_SQL}) AS t) AS low)"
 

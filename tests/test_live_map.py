@@ -1,0 +1,83 @@
+"""The live map over several batches, against a plain one."""
+
+import math
+import random
+
+import pytest
+
+from orbweave.streaming import live_map
+
+ROWS = "cloud_id string, seq long, kind string, pid long, x double, y double, z double, x2 double, y2 double, z2 double"
+
+
+def plain(rows):
+    """Final map and changes, one row after another."""
+    at, changes = {}, []
+    for cloud, seq, kind, pid, *v in sorted(rows, key=lambda r: (r[1], r[2], r[3] or 0)):
+        low, high = v[:3], v[3:]
+        if kind == "add":
+            if at.get((cloud, pid)) != low:
+                changes.append((cloud, pid, *low, seq, "moved" if (cloud, pid) in at else "added"))
+            at[cloud, pid] = low
+        elif kind == "remove" and (cloud, pid) in at:
+            changes.append((cloud, pid, *at.pop((cloud, pid)), seq, "removed"))
+        elif kind in ("remove_inside", "remove_outside"):
+            for c, p in [k for k, xyz in at.items() if k[0] == cloud and all(a <= x <= b for x, a, b in zip(xyz, low, high)) == (kind == "remove_inside")]:
+                changes.append((c, p, *at.pop((c, p)), seq, "evicted"))
+    return sorted((c, p, *xyz) for (c, p), xyz in at.items()), sorted(changes)
+
+
+def scene(n, seed):
+    rng = random.Random(seed)
+    rows = []
+    for seq in range(n):
+        cloud, kind = rng.choice("ab"), rng.choices(["add", "remove", "remove_inside", "remove_outside"], [60, 5, 1.5, 1])[0]
+        point = [round(rng.uniform(-10, 10) * 2) / 2 for _ in range(3)]  # on faces of cells and boxes, too
+        if kind in ("add", "remove"):
+            rows.append((cloud, seq, kind, rng.randrange(n // 3), *point, None, None, None))
+        else:
+            size = rng.choice([1, 5]) if kind == "remove_inside" else rng.choice([12, 18])
+            rows.append((cloud, seq, kind, None, *point, *(p + size for p in point)))
+    return rows
+
+
+def streamed(spark, folder, batches, cell=2.0, buckets=3):
+    source, sink, check = (f"{folder}/{n}" for n in ("in", "out", "checkpoint"))
+    with live_map.state_store(spark):
+        for rows in batches:
+            spark.createDataFrame(rows, ROWS).repartition(3).write.mode("append").parquet(source)
+            changes = live_map.live_map(spark.readStream.schema(ROWS).parquet(source), cell, buckets)
+            query = changes.writeStream.format("parquet").option("checkpointLocation", check).option("path", sink).outputMode("append").trigger(availableNow=True).start()
+            query.awaitTermination()
+    out = spark.read.parquet(sink)
+    return sorted(map(tuple, live_map.standing(out).collect())), sorted(map(tuple, out.collect()))
+
+
+def test_several_batches(spark, tmp_path):
+    rows = scene(900, 1)
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    got = streamed(spark, tmp_path, [rows[:300], rows[300:350], rows[350:]])
+    want = plain(rows)
+    assert {r[-1] for r in want[1]} == {"added", "moved", "removed", "evicted"} and len(want[0]) > 20
+    assert got == want
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == store
+
+
+def test_batches_do_not_matter(spark, tmp_path):
+    rows = scene(200, 2)
+    one, many = streamed(spark, tmp_path / "1", [rows], 0.7, 1), streamed(spark, tmp_path / "2", [rows[:90], rows[90:]], 5.0, 4)
+    assert one == many == plain(rows)
+
+
+def test_rows_that_do_nothing(spark, tmp_path):
+    nan = math.nan
+    none = (None,) * 6
+    rows = [("a", 1, "add", 1, 0.0, 0.0, 0.0, None, None, None), ("a", 2, "add", 1, 0.0, 0.0, 0.0, None, None, None), ("a", 3, "remove", 9, *none), (None, 4, "remove_outside", None, 5.0, 5.0, 5.0, 6.0, 6.0, 6.0)]
+    rows += [("a", 5, "add", None, 1.0, 1.0, 1.0, None, None, None), ("a", 6, "add", 2, nan, 1.0, 1.0, None, None, None), ("a", 7, "add", 3, None, 1.0, 1.0, None, None, None), ("a", 8, "else", 1, *none), ("a", None, "remove", 1, *none)]
+    rows += [("a", 9, "remove_outside", None, 5.0, None, 5.0, 6.0, 6.0, 6.0), ("a", 10, "remove_inside", None, 2.0, 2.0, 2.0, 1.0, 1.0, 1.0), ("a", 11, None, 1, *none)]
+    assert streamed(spark, tmp_path, [rows])[1] == [("a", 1, 0.0, 0.0, 0.0, 1, "added")]
+
+
+def test_cells_need_a_width():
+    with pytest.raises(ValueError, match="width"):
+        live_map.Keeper(0.0)
