@@ -46,7 +46,7 @@ def morton_order(points: DataFrame, voxel: float) -> DataFrame:
 def morton_layout(points: DataFrame, voxel: float, partitions: int) -> DataFrame:
     """The same order as a physical layout: ranges of codes in partitions, sorted inside; for writing tables."""
     coded = _voxels(points, voxel, 0.0).withColumn("code", F.expr(morton("i", "j", "k"))).drop("i", "j", "k")
-    return coded.repartitionByRange(partitions, "cloud_id", "code").sortWithinPartitions("cloud_id", "code", "pid")
+    return coded.repartitionByRange(partitions, "cloud_id", "code", "pid").sortWithinPartitions("cloud_id", "code", "pid")
 
 
 def voxel_downsample(points: DataFrame, voxel: float) -> DataFrame:

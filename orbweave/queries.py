@@ -17,7 +17,7 @@ from .functions import steps
 from .functions.geometry import COVARIANCE, PAIR_BINS, PAIR_FEATURES, SYMMETRIC_EIGEN, TOWARD_ORIGIN, colour, morton
 from .operators import consistency, descriptors, ground, knn, layout, matching, neighbors, pose, segmentation, surface
 from .plans import registration
-from .sources import text
+from .sources import cloud_index, text
 from .streaming import live_map
 from .tables import shared_folder, stored
 
@@ -189,6 +189,23 @@ def box_query(spark: SparkSession, d: str) -> DataFrame:
     return layout.box_query(scene(spark, d), (1.25, 1.0, 2.0), (1.75, 1.5, 2.5)).select("pid", "x", "y", "z")
 
 
+def _saved(spark: SparkSession, d: str) -> cloud_index.Index:
+    """The scene, saved as an index and loaded again."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    cloud_index.save(scene(spark, d), path, VOXEL, per_block=2000)
+    return cloud_index.load(spark, path)
+
+
+@query(f"SELECT pid, x, y, z FROM ({SCENE_SQL}) AS s WHERE x BETWEEN 1.1e0 AND 1.3e0 AND y BETWEEN 1.2e0 AND 1.9e0 AND z BETWEEN 1.9e0 AND 2.2e0")
+def index_box(spark: SparkSession, d: str) -> DataFrame:
+    return _saved(spark, d).box((1.1, 1.2, 1.9), (1.3, 1.9, 2.2)).select("pid", "x", "y", "z")
+
+
+@query(f"SELECT pid, round(d2, 9) AS d2 FROM (SELECT pid, (x - 1.25e0) * (x - 1.25e0) + (y - 1.5e0) * (y - 1.5e0) + (z - 2.125e0) * (z - 2.125e0) AS d2 FROM ({SCENE_SQL}) AS s) AS n WHERE d2 < 0.0625e0")
+def index_ball(spark: SparkSession, d: str) -> DataFrame:
+    return _saved(spark, d).near((1.25, 1.5, 2.125), 0.25).selectExpr("pid", "round(d2, 9) AS d2")
+
+
 #: Each thousandth event clears or keeps a box of the live map: (remainder of the event, kind, corners).
 BOXES = (
     (500, "remove_inside", ("1.4e0", "1e0", "2e0", "1.5e0", "2e0", "3e0")),
