@@ -4,16 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import metric
 from ..tables import stored
-
-#: Descriptors of one block of the nearest-neighbour search.
-BLOCK = 2048
+from .descriptor_search import BLOCK, search
 
 
 def _cells(radius: float) -> list:
@@ -77,56 +73,24 @@ def narrow(neighbors: DataFrame, radius: float, knn: int) -> DataFrame:
     return neighbors.where((F.col("rk") <= knn) & (F.col("d2") <= F.lit(radius * radius)))
 
 
-def _nearest_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    ask, have = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    if ask.empty or have.empty:
-        return pd.DataFrame({"pair_id": [], "s": [], "t": [], "d2": [], "forward": []})
-    a, b = np.stack(ask["v"]).astype(float), np.stack(have["v"]).astype(float)
-    s, t = ask["id"].to_numpy(), have["id"].to_numpy()
-    a, s, b, t = a[np.argsort(s)], np.sort(s), b[np.argsort(t)], np.sort(t)
-    d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0.0)
-    out = []
-    for forward, axis in ((True, 1), (False, 0)):
-        # the product form cancels; distances near the least are computed again
-        low = d2.min(axis=axis)
-        line = low[:, None] if forward else low[None, :]
-        i, j = np.nonzero(d2 <= line + 1e-9 * (1 + np.abs(line)))
-        true = ((a[i] - b[j]) ** 2).sum(1)
-        own, other = (i, j) if forward else (j, i)
-        order = np.lexsort((other, true, own))
-        first = order[np.r_[True, np.diff(own[order]) > 0]]
-        out.append(pd.DataFrame({"s": s[i[first]], "t": t[j[first]], "d2": true[first], "forward": forward}))
-    got = pd.concat(out)
-    got.insert(0, "pair_id", pdf["pair_id"].iloc[0])
-    return got
-
-
 def nearest(source: DataFrame, target: DataFrame, vector: str = "v", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Nearest targets of sources and nearest sources of targets, (pair_id, s, t, d2) each, from (pair_id, id, vector).
 
-    Descriptors with a null or NaN component have no match; ties go to the smallest id.  Both sides are dealt into
-    blocks; each pair of blocks is a matrix product, and only the least of each row and column leaves it, to be
-    aggregated again.  Blocks hold about ``block`` descriptors, so memory doesn't grow with the clouds.
+    Descriptors with a null or NaN component have no match; ties go to the smallest id.
     """
-    good = lambda df: df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double"))))
-    source, target = good(source).select("pair_id", "id", F.col(vector).alias("v")), good(target).select("pair_id", "id", F.col(vector).alias("v"))
-    count = lambda df, name: df.groupBy("pair_id").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    blocks = count(source, "ns").join(count(target, "nt"), "pair_id")
-    deal = lambda df, own, other, side: df.join(blocks, "pair_id").select("pair_id", "id", "v", F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"), F.lit(side).alias("side"))
-    left = deal(source, "ns", "nt", 0).withColumnsRenamed({"own": "bs", "other": "bt"})
-    right = deal(target, "nt", "ns", 1).withColumnsRenamed({"own": "bt", "other": "bs"})
-    kind = source.schema["id"].dataType.simpleString()
-    pair = source.schema["pair_id"].dataType.simpleString()
-    best = left.unionByName(right).groupBy("pair_id", "bs", "bt").applyInPandas(_nearest_block, f"pair_id {pair}, s {kind}, t {kind}, d2 double, forward boolean")
-    forward = best.where("forward").groupBy("pair_id", "s").agg(F.min(F.struct("d2", "t")).alias("m")).select("pair_id", "s", "m.t", "m.d2")
-    backward = best.where("NOT forward").groupBy("pair_id", "t").agg(F.min(F.struct("d2", "s")).alias("m")).select("pair_id", "m.s", "t", "m.d2")
-    return forward, backward
-
-
-def exists_within(source: DataFrame, target: DataFrame, radius: float, vector: str = "v") -> DataFrame:
-    """Sources with a target strictly inside the radius in descriptor space."""
-    forward, _ = nearest(source, target, vector)
-    return source.join(forward.where(F.col("d2") < F.lit(radius * radius)).select("pair_id", F.col("s").alias("id")), ["pair_id", "id"], "left_semi")
+    forward, backward = search(source, target, vector, block=block).rows, search(target, source, vector, block=block).rows
+    return forward.select("pair_id", F.col("id").alias("s"), F.col("nbr").alias("t"), "d2"), backward.select("pair_id", F.col("nbr").alias("s"), F.col("id").alias("t"), "d2")
+
+
+def exists_within(source: DataFrame, target: DataFrame, radius: float, vector: str = "v", block: int = BLOCK) -> DataFrame:
+    """Sources with a target strictly inside the radius in descriptor space; a source leaves the search as soon as it has one."""
+    found = search(source, target, vector, within=radius, block=block).rows
+    return source.join(found.select("pair_id", "id"), ["pair_id", "id"], "left_semi")
+
+
+def approximate_nearest(source: DataFrame, target: DataFrame, eps: float, vector: str = "v", block: int = BLOCK) -> DataFrame:
+    """(pair_id, s, t, d2): for each source a target at most 1 + eps times as far as its nearest."""
+    return search(source, target, vector, eps=eps, block=block).rows.select("pair_id", F.col("id").alias("s"), F.col("nbr").alias("t"), "d2")
 
 
 def distances(pairs: DataFrame, kind: str, a: str = "a", b: str = "b") -> DataFrame:

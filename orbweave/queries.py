@@ -146,6 +146,15 @@ def nn_exists_within(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.exists_within(*halves(spark, d), 1.1).select(F.col("id").alias("s"))
 
 
+@query(f"WITH {_HALVES} SELECT s, round(min(d2), 6) AS nearest_d2, true AS proved FROM d GROUP BY s")
+def approximate_nn(spark: SparkSession, d: str) -> DataFrame:
+    """For each descriptor the distance of its nearest, and whether what a search by the factor 0.2 finds is as near as promised."""
+    source, target = halves(spark, d)
+    near = neighbors.approximate_nearest(source, target, 0.2, block=128).select("pair_id", "s", F.col("d2").alias("found"))
+    exact = neighbors.nearest(source, target, block=128)[0]
+    return exact.join(near, ["pair_id", "s"]).selectExpr("s", "round(d2, 6) AS nearest_d2", "found >= d2 - 1e-9 AND found <= 1.44e0 * d2 + 1e-9 AS proved")
+
+
 @query(f"WITH {PAIRS_CTE} SELECT pid, nbr, CAST(rk AS BIGINT) AS rk, round(d2, 6) AS d2 FROM near")
 def radius_knn(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d)[1].selectExpr("pid", "nbr", "CAST(rk AS BIGINT) AS rk", "round(d2, 6) AS d2")

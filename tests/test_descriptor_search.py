@@ -1,0 +1,105 @@
+"""Nearest descriptors by cells, against all pairs; the factor, the radius, and how much is compared."""
+
+import numpy as np
+import pytest
+
+from orbweave.operators import descriptor_search, matching, neighbors
+
+SCHEMA = "pair_id string, id long, v array<double>"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(p, k, None if v is None else [None if x is None else float(x) for x in v]) for p, k, v in rows], SCHEMA)
+
+
+def descriptors(n, seed, pair="p", dim=6, clusters=12, step=1):
+    rng = np.random.default_rng(seed)
+    centres = np.random.default_rng(99).normal(size=(clusters, dim)) * 5
+    return [(pair, step * k, centres[rng.integers(clusters)] + rng.normal(size=dim) / 4) for k in range(n)]
+
+
+def plain(ask, have):
+    """{(pair, id): (d2, nbr)} by all pairs, d2 of the differences, ties to the smallest id."""
+    out = {}
+    for p, k, v in ask:
+        near = [(((np.asarray(v) - w) ** 2).sum(), i) for q, i, w in have if q == p]
+        if near:
+            out[p, k] = min(near)
+    return out
+
+
+def found(df):
+    return {(r["pair_id"], r["id"]): (r["d2"], r["nbr"]) for r in df.collect()}
+
+
+@pytest.fixture(scope="module")
+def sides():
+    ask, have = descriptors(400, 1) + descriptors(40, 2, "small") + descriptors(3, 3, "lonely"), descriptors(600, 4) + descriptors(30, 5, "small")
+    have += [("p", 10_000 + k, have[0][2]) for k in range(250)]  # a third of them is one descriptor
+    ask += [("p", 5000, have[0][2]), ("p", 5001, np.full(6, 100.0))]
+    return ask, have
+
+
+@pytest.mark.parametrize("block, slice_", [(16, 50), (64, 16_384), (4096, 7)])
+def test_all_are_nearest(spark, sides, monkeypatch, block, slice_):
+    monkeypatch.setattr(descriptor_search, "SLICE", slice_)
+    ask, have = sides
+    got = descriptor_search.search(table(spark, ask), table(spark, have), block=block)
+    want = plain(ask, have)
+    rows = found(got.rows)
+    assert {k: v[1] for k, v in rows.items()} == {k: v[1] for k, v in want.items()}
+    assert all(abs(rows[k][0] - want[k][0]) < 1e-9 for k in want)
+    work = {r["pair_id"]: (r["compared"], r["all_pairs"]) for r in got.compared.collect()}
+    assert work["small"] == (1200, 1200) or block < 30 and work["small"][0] < 1200
+    assert work["p"][1] == 402 * 850
+    if block < 4096:
+        assert work["p"][0] < 0.5 * work["p"][1]
+    else:
+        assert work["p"][0] == work["p"][1]
+
+
+def test_factor_bounds_the_distance_and_saves_work(spark, sides):
+    ask, have = sides
+    want, work = plain(ask, have), []
+    for eps in (0.0, 0.5):
+        got = descriptor_search.search(table(spark, ask), table(spark, have), eps=eps, block=16)
+        rows = found(got.rows)
+        assert rows.keys() == want.keys()
+        assert all(rows[k][0] <= (1 + eps) ** 2 * want[k][0] + 1e-9 for k in want)
+        assert np.mean([rows[k][1] == want[k][1] for k in want]) >= 0.9  # recall
+        work.append(sum(r["compared"] for r in got.compared.collect()))
+    assert work[1] <= work[0]
+    near = neighbors.approximate_nearest(table(spark, ask), table(spark, have), 0.5, block=16)
+    assert near.columns == ["pair_id", "s", "t", "d2"] and near.count() == len(want)
+
+
+def test_existence_ends_early(spark, sides):
+    ask, have = sides
+    want = {k for k, (d2, _) in plain(ask, have).items() if d2 < 0.36}
+    assert 0 < len(want) < len(ask) - 3
+    got = neighbors.exists_within(table(spark, ask), table(spark, have), 0.6, block=16)
+    assert {(r["pair_id"], r["id"]) for r in got.collect()} == want
+    full = descriptor_search.search(table(spark, ask), table(spark, have), block=16)
+    early = descriptor_search.search(table(spark, ask), table(spark, have), within=1.5, block=16)
+    assert sum(r["compared"] for r in early.compared.collect()) <= sum(r["compared"] for r in full.compared.collect())
+
+
+def test_the_radius_is_strict(spark):
+    a, b = table(spark, [("p", 1, [0.0, 0.0])]), table(spark, [("p", 2, [3.0, 4.0])])
+    assert neighbors.exists_within(a, b, 5.0).count() == 0 and neighbors.exists_within(a, b, 5.0001).count() == 1
+
+
+def test_wrong_and_missing_descriptors(spark):
+    nan = float("nan")
+    a = table(spark, [("p", 1, [nan, 1.0]), ("p", 2, None), ("p", 3, [None, 1.0]), ("p", 4, [0.0, 0.0]), ("q", 5, [0.0, 0.0])])
+    b = table(spark, [("p", 7, [nan, 0.0]), ("p", 9, [1.0, 0.0]), ("p", 8, [0.0, 1.0]), ("r", 1, [0.0, 0.0])])
+    assert found(descriptor_search.search(a, b).rows) == {("p", 4): (1.0, 8)}
+    assert descriptor_search.search(a.limit(0), b).rows.collect() == [] and descriptor_search.search(a, b.limit(0)).rows.collect() == []
+    assert matching.mutual_nearest(a, b.limit(0)).collect() == []
+    with pytest.raises(ValueError, match="negative"):
+        descriptor_search.search(a, b, eps=-1.0)
+
+
+def test_pivots_of_equal_rows():
+    assert len(descriptor_search.fit(np.zeros((50, 3)), 8)) == 1
+    assert len(np.unique(descriptor_search.fit(np.repeat(np.eye(3), 20, axis=0), 8), axis=0)) == 3
