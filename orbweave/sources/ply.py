@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -15,13 +16,26 @@ TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2"
 SCHEMA = "cloud_id string, pid long, x double, y double, z double"
 
 
-def parse(blob: bytes) -> np.ndarray:
-    """The vertices' x, y, z (n x 3 doubles) of a file in ASCII or binary form; ValueError if it can't be read."""
-    end = re.search(rb"end_header\r?\n", blob)
-    if not blob.startswith(b"ply") or not end:
+class Layout(NamedTuple):
+    """Where the vertices of a file are: its form, the bytes or lines before them, their number, their names and (binary) their record."""
+
+    form: str
+    begin: int
+    lines: int
+    count: int
+    names: list[str]
+    record: np.dtype | None
+
+
+def header(head: bytes) -> Layout | None:
+    """The layout that the beginning of a file tells; None if its header goes on, ValueError if it can't be read."""
+    end = re.search(rb"end_header\r?\n", head)
+    if not head.startswith(b"ply"[: len(head)]) or not head:
         raise ValueError("not a PLY file")
+    if not end:
+        return None
     form, elements = None, []
-    for line in blob[: end.start()].decode("ascii", "replace").split("\n"):
+    for line in head[: end.start()].decode("ascii", "replace").split("\n"):
         words = line.split()
         if words[:1] == ["format"]:
             form = words[1]
@@ -29,33 +43,55 @@ def parse(blob: bytes) -> np.ndarray:
             elements.append((words[1], int(words[2]), []))
         elif words[:1] == ["property"]:
             elements[-1][2].append(words[1:])
-    body, skip = blob[end.end() :], 0
+    begin, lines = end.end(), 0
     for name, count, properties in elements:
         names = [p[-1] for p in properties]
         if name != "vertex":
             if any(p[0] == "list" for p in properties) and form != "ascii":
                 raise ValueError("elements with lists before the vertices")
-            skip += count if form == "ascii" else count * sum(np.dtype(TYPES[p[0]]).itemsize for p in properties)
+            if form == "ascii":
+                lines += count
+            else:
+                begin += count * sum(np.dtype(TYPES[p[0]]).itemsize for p in properties)
             continue
         if any(p[0] == "list" for p in properties) or not {"x", "y", "z"} <= set(names):
             raise ValueError("vertices without plain x, y, z")
         if form == "ascii":
-            rows = body.split(b"\n")[skip : skip + count]
-            table = np.array([[float(w) for w in row.split()[: len(names)]] for row in rows]).reshape(-1, len(names))
-            if len(table) != count:
-                raise ValueError("fewer vertices than announced")
-            return table[:, [names.index(c) for c in "xyz"]]
+            return Layout(form, begin, lines, count, names, None)
         order = {"binary_little_endian": "<", "binary_big_endian": ">"}.get(form or "")
         if order is None:
             raise ValueError(f"unknown format {form}")
-        kind = np.dtype([(n, order + TYPES[p[0]]) for n, p in zip(names, properties, strict=True)])
-        if len(body) < skip + count * kind.itemsize:
-            raise ValueError("fewer vertices than announced")
-        table = np.frombuffer(body, kind, count, skip)
-        return np.stack([table[c].astype(float) for c in "xyz"], axis=1)
+        return Layout(form, begin, 0, count, names, np.dtype([(n, order + TYPES[p[0]]) for n, p in zip(names, properties, strict=True)]))
     raise ValueError("no vertices")
 
 
+def ascii_vertices(body: bytes, at: Layout) -> np.ndarray:
+    """The vertices of the bytes behind the header of an ASCII file."""
+    rows = body.split(b"\n")[at.lines : at.lines + at.count]
+    table = np.array([[float(w) for w in row.split()[: len(at.names)]] for row in rows]).reshape(-1, len(at.names))
+    if len(table) != at.count:
+        raise ValueError("fewer vertices than announced")
+    return table[:, [at.names.index(c) for c in "xyz"]]
+
+
+def binary_vertices(records: bytes, record: np.dtype) -> np.ndarray:
+    table = np.frombuffer(records, record)
+    return np.stack([table[c].astype(float) for c in "xyz"], axis=1)
+
+
+def parse(blob: bytes) -> np.ndarray:
+    """The vertices' x, y, z (n x 3 doubles) of a file in ASCII or binary form; ValueError if it can't be read."""
+    at = header(blob)
+    if at is None:
+        raise ValueError("not a PLY file")
+    if at.record is None:
+        return ascii_vertices(blob[at.begin :], at)
+    end = at.begin + at.count * at.record.itemsize
+    if len(blob) < end:
+        raise ValueError("fewer vertices than announced")
+    return binary_vertices(blob[at.begin : end], at.record)
+
+
 def render(xyz: np.ndarray, ascii_form: bool = False) -> bytes:
     """A file of double coordinates."""
     head = f"ply\nformat {'ascii' if ascii_form else 'binary_little_endian'} 1.0\nelement vertex {len(xyz)}\nproperty double x\nproperty double y\nproperty double z\nend_header\n".encode()

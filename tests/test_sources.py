@@ -1,0 +1,78 @@
+"""PLY files by parts, and arrays."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from orbweave.operators import neighbors
+from orbweave.sources import arrays, ply, ply_parts
+
+
+def full(kind, n):
+    """A file with an element before the vertices and properties among the coordinates."""
+    order = "<" if "little" in kind else ">"
+    head = f"ply\nformat {kind} 1.0\ncomment {'x' * 20000}\nelement sensor 2\nproperty float t\nproperty uchar q\nelement vertex {n}\nproperty float z\nproperty uchar red\nproperty double x\nproperty short y\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n".encode()
+    rng = np.random.default_rng(n)
+    table = np.zeros(n, np.dtype([("z", order + "f4"), ("red", "u1"), ("x", order + "f8"), ("y", order + "i2")]))
+    table["z"], table["x"], table["y"], table["red"] = rng.normal(size=n), rng.normal(size=n), rng.integers(-9, 9, n), 7
+    if kind == "ascii":
+        body = "".join(f"{k} 1\n" for k in range(2)) + "".join(f"{float(r['z'])!r} 7 {float(r['x'])!r} {r['y']}\n" for r in table) + "3 0 1 2\n"
+        blob = head + body.encode()
+    else:
+        blob = head + b"\0" * 10 + table.tobytes() + b"\3" + b"\0" * 12
+    return blob, np.stack([table[c].astype(float) for c in "xyz"], axis=1)
+
+
+@pytest.mark.parametrize("kind", ["ascii", "binary_little_endian", "binary_big_endian"])
+def test_files_are_read_in_ranges(spark, tmp_path, kind):
+    for k in range(3):
+        blob, _ = full(kind, 100 + k)
+        (tmp_path / f"cloud_bin_{k}.ply").write_bytes(blob)
+    got = ply_parts.scan_indexed(spark, str(tmp_path), rows=17)
+    assert got.rdd.getNumPartitions() == (3 if kind == "ascii" else 18)
+    for k in range(3):
+        want = full(kind, 100 + k)[1]
+        rows = got.where(F.col("scan") == k).orderBy("pid").collect()
+        assert [r["pid"] for r in rows] == list(range(100 + k)) and np.allclose([[r[c] for c in "xyz"] for r in rows], want, atol=1e-7)
+        assert np.allclose(ply.parse(full(kind, 100 + k)[0]), want, atol=1e-7)
+    whole = ply.scan(spark, f"{tmp_path}/*.ply")
+    assert sorted(whole.collect()) == sorted(got.drop("scan").collect())
+    assert sorted(ply_parts.scan(spark, f"file://{tmp_path}/cloud_bin_1.ply", rows=50).collect()) == sorted(whole.where("cloud_id = 'cloud_bin_1'").collect())
+
+
+def test_wrong_files(spark, tmp_path):
+    good = ply.render(np.ones((9, 3)))
+    for name, blob in (("cut", good[:-1]), ("text", b"no file of points"), ("short", b"pl"), ("open", b"ply\nformat ascii 1.0\n"), ("none", b"")):
+        (tmp_path / f"{name}.ply").write_bytes(blob)
+        with pytest.raises(Exception, match="fewer vertices|not a PLY"):
+            ply_parts.scan(spark, f"{tmp_path}/{name}.ply").collect()
+    (tmp_path / "void.ply").write_bytes(ply.render(np.zeros((0, 3))))
+    with pytest.raises(Exception, match="empty cloud"):
+        ply_parts.scan(spark, f"{tmp_path}/void.ply").collect()
+    assert ply_parts.scan(spark, f"{tmp_path}/void.ply", allow_empty=True).collect() == []
+    with pytest.raises(Exception, match="absent"):
+        ply_parts.scan(spark, f"{tmp_path}/absent-*.ply").collect()
+
+
+def test_arrays_there_and_back(spark):
+    rng = np.random.default_rng(1)
+    clouds = {"a": rng.normal(size=(50, 3)), "b": rng.normal(size=(7, 3)).astype(np.float32), "none": []}
+    table = arrays.points(spark, clouds)
+    assert dict(table.dtypes) == {"cloud_id": "string", "pid": "bigint", "x": "double", "y": "double", "z": "double"}
+    back = arrays.arrays(table.repartition(5))
+    assert back.keys() == {"a", "b"} and all(np.array_equal(back[k], clouds[k]) for k in back)
+    assert arrays.points(spark, {}).count() == 0
+    with pytest.raises(ValueError, match="x, y, z"):
+        arrays.points(spark, {"flat": np.zeros((4, 2))})
+    lists = arrays.neighbor_lists(neighbors.neighborhoods(table, 0.8, 4), {"a": 50, "b": 7})
+    for name in ("a", "b"):
+        d2 = ((clouds[name][:, None] - clouds[name][None]) ** 2).sum(2)
+        assert lists[name] == [[int(j) for j in np.lexsort((np.arange(len(row)), row)) if row[j] < 0.64][:4] for row in d2]
+
+
+def test_vectors(spark):
+    a, b = np.arange(12.0).reshape(4, 3), np.arange(6.0).reshape(2, 3) + 0.5
+    rows = arrays.vectors(spark, {"s": a, "t": b})
+    side = lambda s: rows.where(F.col("side") == s).drop("side")
+    assert [list(r["v"]) for r in side("s").orderBy("id").collect()] == a.tolist()
+    assert {(r["s"], r["t"]) for r in neighbors.nearest(side("t"), side("s"))[0].collect()} == {(0, 0), (1, 1)}
