@@ -53,7 +53,10 @@ class ProcessedClouds:
 
 @dataclass
 class Registration:
-    """Relations of registered pairs, keyed by pair_id."""
+    """Relations of registered pairs, keyed by pair_id.
+
+    transforms (pair_id, m, optimal) has a row for each pair; optimal tells whether its clique is proved to be the heaviest.
+    """
 
     point_matches: DataFrame
     plane_matches: DataFrame
@@ -115,7 +118,11 @@ def register(clouds: ProcessedClouds, pairs: DataFrame, p: Parameters) -> Regist
     chosen = stored(consistency.split_clique(clique, n_planes))
     good_points = ends.join(chosen.where("kind = 'point'").select("pair_id", "m"), ["pair_id", "m"])
     good_planes = planes.join(chosen.where("kind = 'plane'").select("pair_id", "m"), ["pair_id", "m"]).withColumn("weight", consistency.plane_weight(F.col("confidence")))
-    return Registration(matches, plane_matches, chosen, pose.estimate(good_points, good_planes))
+    # a pair without a clique stays where it is; of no nodes, the clique is the best
+    proved = chosen.groupBy("pair_id").agg(F.every("optimal").alias("optimal"))
+    transforms = pairs.select("pair_id").join(pose.estimate(good_points, good_planes), "pair_id", "left").join(proved, "pair_id", "left")
+    transforms = transforms.select("pair_id", F.coalesce("m", pose.identity()).alias("m"), F.coalesce("optimal", F.lit(True)).alias("optimal"))
+    return Registration(matches, plane_matches, chosen, transforms)
 
 
 def counts(clouds: ProcessedClouds) -> DataFrame:
@@ -127,6 +134,7 @@ def counts(clouds: ProcessedClouds) -> DataFrame:
 
 def evaluate(transforms: DataFrame, truth: DataFrame) -> DataFrame:
     """Results (pair_id, dataset, sequence, runtime_ms, te, re, ok) from poses and truth (pair_id, dataset, sequence, m,
-    t_crit, r_crit, runtime_ms)."""
-    rows = truth.withColumnRenamed("m", "truth").join(transforms, "pair_id")
+    t_crit, r_crit, runtime_ms): one for each row of the truth; a pair without a pose counts as left where it was."""
+    rows = truth.withColumnRenamed("m", "truth").join(transforms.select("pair_id", "m"), "pair_id", "left")
+    rows = rows.withColumn("m", F.coalesce("m", pose.identity()))
     return pose.succeeded(pose.errors(rows)).drop("m", "truth")

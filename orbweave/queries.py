@@ -602,12 +602,12 @@ def node_weights(spark: SparkSession, d: str) -> DataFrame:
     return consistency.node_weights(planes, points).select("node", "weight")
 
 
-@query()
+@query(f"SELECT 'plane' AS kind, CAST(face AS BIGINT) AS m FROM (SELECT DISTINCT face FROM ({MATCH_SCENE_SQL}) AS s) AS f UNION ALL SELECT 'point', s_suppkey FROM supplier WHERE s_suppkey % 7 <> 3")
 def weighted_clique(spark: SparkSession, d: str) -> DataFrame:
     planes, points = map(stored, _match_planes(spark, d))
     nodes = consistency.node_weights(planes.withColumn("confidence", F.lit(0.5)), points)
     clique = consistency.max_weight_clique(consistency.consistency_edges(planes, points, DISTANCE, ANGLE), nodes)
-    return consistency.split_clique(clique, planes.groupBy("pair_id").agg(F.count("*").alias("n_planes"))).select("kind", "m")
+    return consistency.split_clique(clique, planes.groupBy("pair_id").agg(F.count("*").alias("n_planes"))).selectExpr("kind", "CAST(m AS BIGINT) AS m")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"({k}, round({x!r}, 6) + 0e0)" for k, x in enumerate(MOTION)) + ") AS t(k, v)")
@@ -632,6 +632,20 @@ def transform_errors(spark: SparkSession, d: str) -> DataFrame:
     return pose.succeeded(pose.errors(rows)).selectExpr("pair_id", "round(te, 6) AS te", "round(re, 6) AS re", "ok")
 
 
+@query("""WITH e AS (SELECT s_suppkey AS pair_id, s_nationkey AS g, s_suppkey / 1000e0 AS a, s_acctbal / 10000e0 AS t, s_suppkey % 5 = 0 AS lost FROM supplier),
+r AS (SELECT g, CASE WHEN lost THEN abs(t) ELSE 0e0 END AS te, CASE WHEN lost THEN degrees(acos(least(greatest(cos(a), -1e0), 1e0))) ELSE 0e0 END AS re FROM e)
+SELECT CAST(g AS VARCHAR) AS sequence, CAST(count(*) AS BIGINT) AS pairs, CAST(count(*) FILTER (WHERE te <= 0.1e0 AND re <= 30e0) AS BIGINT) AS successful, round(100e0 * count(*) FILTER (WHERE te <= 0.1e0 AND re <= 30e0) / count(*), 6) AS sr, round(avg(te) FILTER (WHERE te <= 0.1e0 AND re <= 30e0), 6) AS ate, round(avg(re) FILTER (WHERE te <= 0.1e0 AND re <= 30e0), 3) AS are FROM r GROUP BY g
+UNION ALL SELECT 'Total', count(*), count(*) FILTER (WHERE te <= 0.1e0 AND re <= 30e0), round(100e0 * count(*) FILTER (WHERE te <= 0.1e0 AND re <= 30e0) / count(*), 6), round(avg(te) FILTER (WHERE te <= 0.1e0 AND re <= 30e0), 6), round(avg(re) FILTER (WHERE te <= 0.1e0 AND re <= 30e0), 3) FROM r""")
+def evaluated_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """A pair a supplier, each fifth without a pose: lost pairs count as left where they were."""
+    rows = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS pair_id", "CAST(s_nationkey AS STRING) AS sequence", "s_suppkey / 1000e0 AS a", "s_acctbal / 10000e0 AS t")
+    m = "array(cos(a), -sin(a), 0e0, t, sin(a), cos(a), 0e0, 0e0, 0e0, 0e0, 1e0, 0e0, 0e0, 0e0, 0e0, 1e0)"
+    truth = rows.selectExpr("pair_id", "'suppliers' AS dataset", "sequence", f"{m} AS m", "0.1e0 AS t_crit", "30e0 AS r_crit", "1e0 AS runtime_ms")
+    found = truth.where("pair_id % 5 != 0").select("pair_id", pose.inverse(F.col("m")).alias("m"))
+    report = pose.summary(registration.evaluate(found, truth))
+    return report.selectExpr("sequence", "pairs", "successful", "round(sr, 6) AS sr", "round(ate, 6) AS ate", "round(are, 3) AS are")
+
+
 @query("""WITH m AS (SELECT s_suppkey AS pair_id, s_suppkey / 1000e0 AS a, s_acctbal / 10000e0 AS t FROM supplier)
 SELECT pair_id, k, round(CASE k WHEN 0 THEN cos(a) WHEN 1 THEN sin(a) WHEN 3 THEN -cos(a) * t WHEN 4 THEN -sin(a) WHEN 5 THEN cos(a) WHEN 7 THEN sin(a) * t WHEN 10 THEN 1e0 WHEN 15 THEN 1e0 ELSE 0e0 END, 6) + 0e0 AS v FROM m, (SELECT CAST(range AS INT) AS k FROM range(16)) AS r""")
 def inverse_transforms(spark: SparkSession, d: str) -> DataFrame:
