@@ -1,23 +1,29 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines: each block element and line break ends a line, inline markup vanishes, and elements that
-cannot hold main text (scripts, styles, menus, headers, footers, sidebars, forms, adverts, notices, comments of readers) are
-shut out.  Each other line has a density: its length, ``BONUS`` more inside the article that a page marks, and ``OUTSIDE`` of its
-length outside of it.  A line block is the sum of the densities of ``BLOCK`` lines.  A surge point is where a block exceeds a
-threshold that adapts to the page and its first line half of it; a dive point is the next line shut out, or where a block
-falls back (to ``LEAST`` where an article is marked, else to nothing).  The main text lies from the dive point before the
-first surge point to the one after the last; what interrupts it is left out alone.  Class and id values of elements around
-an article count only if another article is left.
-
-A null page and a page without text give an empty string.  Broken and cut-off markup is read to its end, very long pages
-are read whole.  Repeated rows are extracted alike; extra columns are ignored; an empty table gives an empty result.
+cannot hold main text (scripts, styles, menus, headers, footers, sidebars, forms) are shut out.  Each other line has a density: its length,
+``BONUS`` more inside the article that a page marks, and ``OUTSIDE`` of its length outside of it.  On a page that marks no article
+the text of links doesn't count, and a line that is mostly links, or whose surroundings a class, id or role value marks as other than main text
+(adverts, notices, comments of readers), is faint: it has ``OUTSIDE`` of its density.  A line block is the sum of the densities of
+``BLOCK`` lines.  A surge point is where a block exceeds a threshold that adapts to the page and its first line half of it; a
+dive point is the next line that is shut out or faint, or where a block falls back (to ``LEAST`` where an article is marked, else to
+nothing).  The main text lies from the dive point before the first surge point to the one after the last; what interrupts it is
+left out alone.
+
+Inside an article only a whole word of a class or role value marks an advert, a share list, or comments; ids, and words joined by hyphens,
+are names that headings get, and shut nothing out.  Marks around an article count only if another article is left.
+
+A null page and a page without text give an empty string.  Broken and cut-off markup is read to its end in linear time, very long
+pages are read whole.  Repeated rows are extracted alike; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,81 +32,103 @@ from pyspark.sql import DataFrame
 BLOCK = 3
 LEAST = 40  #: threshold of a block's density
 BONUS, OUTSIDE = 50, 0.02
+#: Attributes: a quote begins a value only after its sign, and a value that is not closed runs to the end of the page.
+_ATTRS = r"(?:=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|[^>])*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|select|object|head)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)",
+    rf"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|select|object|head)\b{_ATTRS}>.*?(?:</(?P=raw)\s*+>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?:>|\Z)",
     re.S | re.I,
 )
 #: Fixed lists of element names.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER = frozenset("nav footer aside form button menu dialog header".split())
-#: Fixed word list: parts of class, id and role values that mark other than main text.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|disqus|footer|form|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo|promoted|related|replies|respond|search|share|sharing|sidebar|signup|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
-#: Of these, the parts of an article's own head.
-HEADS = re.compile(r"(?:^|(?<=[\s_-]))(?:banner|header|masthead)(?=$|[\s_-])", re.I)
-VALUES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Elements in which a paragraph or list item of an outer element doesn't end.
+HOLDERS = frozenset("ul ol table div article section main body".split())
+ITEMS = frozenset("p li dt dd tr td th option".split())
+#: Fixed word list: class, id and role values, or parts of them, that mark other than main text.
+WORDS = "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+MARKS = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(WORDS)})(?:$|[\s_-])", re.I)
+#: Of these, whole words count inside an article, but for those of its own head and those that name its subject.
+INSIDE = frozenset(WORDS) - frozenset("banner header masthead form search login social".split())
+VALUES = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+))", re.I)
 SPACES = re.compile(r"\s+")
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, bool]]:
-    """(text, whether it can be main text, whether the page marks it as article, whether it can be main text if class and id
-    values around the article don't count) of each line."""
-    out: list[tuple[str, bool, bool, bool]] = []
+class Line(NamedTuple):
+    text: str
+    links: int  #: characters of links
+    shut: bool  #: by an element, or inside an article by a class
+    marked: bool  #: as article
+    faint: bool  #: by values of elements around it, none of them inside an article
+
+
+def marks(attrs: str, inside: bool) -> bool:
+    """Whether class, id and role values mark other than main text."""
+    found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in VALUES.finditer(attrs)]
+    if inside:
+        return any(name in ("class", "role") and not INSIDE.isdisjoint(value.lower().split()) for name, value in found)
+    return any(MARKS.search(value) for _, value in found)
+
+
+def lines_of(page: str) -> list[Line]:
+    out: list[Line] = []
     text: list[str] = []
-    # element, whether it shuts text out, whether it is an article, whether it does the first by values outside articles
-    stack: list[tuple[str, bool, bool, bool]] = []
-    shut = marked = around = 0
+    # element, whether it shuts text out, is an article, makes it faint; and the place of the last holder up to it
+    stack: list[tuple[str, bool, bool, bool, int]] = []
+    places: dict[str, list[int]] = defaultdict(list)
+    shut = marked = faint = links = 0
 
     def end() -> None:
+        nonlocal links
         line = SPACES.sub(" ", html.unescape("".join(text))).strip()
         text.clear()
         if line:
-            out.append((line, not shut, marked > 0, shut == around))
+            out.append(Line(line, links, shut > 0, marked > 0, faint > 0))
+        links = 0
 
     def drop(upto: int) -> None:
-        nonlocal shut, marked, around
-        for _, out_, art, outside in stack[upto:]:
+        nonlocal shut, marked, faint
+        for tag, out_, art, dim, _ in reversed(stack[upto:]):
+            places[tag].pop()
             shut -= out_
             marked -= art
-            around -= outside
+            faint -= dim
         del stack[upto:]
 
     at = 0
     for m in TOKEN.finditer(page):
-        text.append(page[at : m.start()])
+        piece = page[at : m.start()] if m["cdata"] is None else page[at : m.start()] + m["cdata"]
         at = m.end()
-        if m["cdata"] is not None:
-            text.append(m["cdata"])
+        text.append(piece)
+        if places["a"]:
+            links += len(piece)
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
         if tag in BLOCKS:
             end()
         if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    drop(k)
-                    break
+            if places[tag]:
+                drop(places[tag][-1])
             continue
         if tag in VOID or m["attrs"].endswith("/"):
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # an open one of the kind ends here
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    drop(k)
-                if stack[k - 1 if k else 0][0] in ("ul", "ol", "table", "div", "article", "section", "main", "body"):
-                    break
+        holder = stack[-1][4] if stack else -1
+        if tag in ITEMS and places[tag] and places[tag][-1] > holder:  # an open one of the kind ends here
+            drop(places[tag][-1])
+        if tag == "a" and places[tag]:
+            drop(places[tag][-1])
         art = tag in ("article", "main")
-        values = " ".join(" ".join(filter(None, v)) for v in VALUES.findall(m["attrs"])) if m["attrs"] else ""
-        by_tag = tag in BOILER and not (tag == "header" and marked)
-        named = HEADS.sub(" ", values) if marked else values
-        out_ = by_tag or bool(named) and tag not in ("html", "body", "article", "main") and MARKS.search(named) is not None
-        stack.append((tag, out_, art, out_ and not by_tag and not marked))
+        named = bool(m["attrs"]) and tag not in ("html", "body", "article", "main") and marks(m["attrs"], marked > 0)
+        out_ = tag in BOILER and not (tag == "header" and marked) or named and marked > 0
+        holder = len(stack) if tag in HOLDERS else stack[-1][4] if stack else -1
+        places[tag].append(len(stack))
+        stack.append((tag, out_, art, named and not marked, holder))
         shut += out_
         marked += art
-        around += stack[-1][3]
+        faint += stack[-1][3]
     text.append(page[at:])
     end()
     return out
@@ -131,20 +159,27 @@ def main_lines(density: np.ndarray, run: np.ndarray, low: float) -> np.ndarray:
 def main_text(page: str | None) -> str:
     """The lines of the main text, joined by line feeds."""
     lines = lines_of(page or "")
-    allowed = np.array([ok for _, ok, _, _ in lines], bool)
-    marked = np.array([art for _, _, art, _ in lines], bool)
-    if marked.any() and not (allowed & marked).any():
-        allowed = np.array([inside for _, _, _, inside in lines], bool)
-    if not allowed.any():
-        return ""
-    run = np.cumsum(~allowed)[allowed]
-    size = np.array([len(line[0]) for line in lines], float)[allowed]
-    article = marked[allowed]
+    shut, marked, faint = (np.array([getattr(line, k) for line in lines], bool) for k in ("shut", "marked", "faint"))
+    size = np.array([len(line.text) for line in lines], float)
+    article = marked & ~shut
     if article.any():
-        keep = main_lines(np.where(article, size + BONUS, size * OUTSIDE), run, LEAST)
+        if (article & ~faint).any():  # the page has an article that nothing around it marks
+            shut |= faint
+        barred = shut
+        density = np.where(marked, size + BONUS, size * OUTSIDE)
+        low = LEAST
     else:
-        keep = main_lines(size, run, 0)
-    return "\n".join(lines[k][0] for k in np.flatnonzero(allowed)[keep])
+        links = np.array([line.links for line in lines], float)
+        faint |= links > 2 / 3 * size
+        barred = shut | faint
+        density = np.maximum(size - links, 0) * np.where(faint, OUTSIDE, 1.0)
+        barred &= shut | (density <= LEAST)
+        low = 0
+    open_ = np.flatnonzero(~barred)
+    if not len(open_):
+        return ""
+    run = np.cumsum(barred)[open_]
+    return "\n".join(lines[k].text for k in open_[main_lines(density[open_], run, low)])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -253,3 +253,64 @@ def hard_negatives(rows, is_anchor, positives=5, negatives=10, low=30, high=90):
             able = [x for x in scored if x[2] != label and low * -s <= 100 * -x[0] <= high * -s][:negatives]
             out += [(a, p, k, n, -s, -t) for k, (t, n, _) in enumerate(able, 1)]
     return sorted(out)
+
+
+#: Words that mark other than main text, in whole inside an article.
+PAGE_MARKS = {"sidebar": True, "share": True, "comments": True, "ad": True, "related-work": False, "ad-hoc": False, "lead": False}
+
+
+def page_lines(node, state=(False, False, False, False)):
+    """Lines of a tree (tag, class, children): [text, characters in links, shut, marked, faint]; strings are text."""
+    tag, name, children = node
+    shut, marked, faint, link = state
+    parts = (name or "").split("-")
+    if name and tag != "article":
+        if marked:
+            shut |= PAGE_MARKS[name]
+        else:
+            faint |= any(PAGE_MARKS.get(x, x == "related") for x in parts)
+    shut |= tag in ("nav", "aside", "footer", "form")
+    marked |= tag == "article"
+    here, out = [], []
+    for child in [*children, None]:
+        if isinstance(child, str):
+            here.append((child, 0))
+        elif child is not None and child[0] == "a":
+            here.append((child[2][0], len(child[2][0])))
+        else:
+            line = " ".join("".join(x for x, _ in here).split())
+            if line:
+                out.append([line, sum(n for _, n in here), shut, marked, faint])
+            here = []
+            if child is not None:
+                out += page_lines(child, (shut, marked, faint, link))
+    return out
+
+
+def page_text(tree):
+    lines = page_lines(tree)
+    if any(m and not s for _, _, s, m, _ in lines):
+        if any(m and not s and not f for _, _, s, m, f in lines):
+            lines = [[t, n, s or f, m, f] for t, n, s, m, f in lines]
+        weight = [len(t) + 50 if m else 0.02 * len(t) for t, _, _, m, _ in lines]
+        barred, low = [x[2] for x in lines], 40
+    else:
+        dim = [f or n > 2 / 3 * len(t) for t, n, _, _, f in lines]
+        weight = [(len(t) - n) * (0.02 if d else 1) for (t, n, *_), d in zip(lines, dim, strict=True)]
+        barred, low = [x[2] or d and w <= 40 for x, d, w in zip(lines, dim, weight, strict=True)], 0
+    open_ = [k for k, b in enumerate(barred) if not b]
+    if not open_:
+        return ""
+    after = lambda i: sum(weight[k] for k in open_[i : i + 3])
+    before = lambda i: sum(weight[k] for k in open_[max(0, i - 2) : i + 1])
+    top, heavy = max(map(after, range(len(open_)))), max(weight[k] for k in open_)
+    surge = [i for i, k in enumerate(open_) if after(i) > min(40, top - 1) and weight[k] > min(20, heavy - 1)]
+    if not surge:
+        return ""
+    first, last = surge[0], surge[-1]
+    joined = lambda i, j: not any(barred[open_[i] : open_[j]])
+    while first and joined(first - 1, first) and before(first - 1) > low:
+        first -= 1
+    while last + 1 < len(open_) and joined(last, last + 1) and after(last + 1) > low:
+        last += 1
+    return "\n".join(lines[k][0] for i, k in enumerate(open_) if first <= i <= last and weight[k] > low)
