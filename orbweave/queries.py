@@ -406,8 +406,9 @@ def ground_segmentation(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH s AS ({SCENE_SQL}), g AS (SELECT face, min(pid) AS first FROM s WHERE face < 3 GROUP BY face), n AS (SELECT face, CAST(row_number() OVER (ORDER BY first) - 1 AS BIGINT) AS plane_id FROM g)
 SELECT n.plane_id, s.pid FROM s JOIN n USING (face)""")
 def plane_segmentation(spark: SparkSession, d: str) -> DataFrame:
-    """The scene's three faces a metre apart: each is one plane, in the order of their first points."""
-    faces_ = scene(spark, d).where("face < 3").selectExpr("cloud_id", "pid", "x + CASE WHEN face = 2 THEN 2e0 ELSE 0e0 END AS x", "y - CASE WHEN face = 1 THEN 1e0 ELSE 0e0 END AS y", "z")
+    """The whole scene, its faces a metre apart and its clutter apart from them: each face is one plane, in the order of their
+    first points, and the clutter is none."""
+    faces_ = scene(spark, d).selectExpr("cloud_id", "pid", "x + CASE face WHEN 2 THEN 2e0 WHEN 3 THEN 10e0 ELSE 0e0 END AS x", "y - CASE WHEN face = 1 THEN 1e0 ELSE 0e0 END AS y", "z")
     near = stored(neighbors.neighborhoods(faces_, 4 * RADIUS, KNN))
     normals = stored(surface.point_normals(faces_, near))
     stable = stored(surface.stable_points(near, normals, DISPERSION))

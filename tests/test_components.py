@@ -1,0 +1,70 @@
+"""Connected components, and regions merged component by component."""
+
+import numpy as np
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from orbweave.operators import neighbors, segmentation, surface
+from orbweave.operators.components import components
+
+
+def plain(edges):
+    reach = {}
+    for c, u, v in edges:
+        if u is not None and v is not None and u != v:
+            reach.setdefault((c, u), {u}).add(v)
+            reach.setdefault((c, v), {v}).add(u)
+    changed = True
+    while changed:
+        changed = False
+        for (c, k), seen in reach.items():
+            more = set().union(*(reach[c, x] for x in seen))
+            if not more <= seen:
+                seen |= more
+                changed = True
+    return sorted((c, k, min(seen)) for (c, k), seen in reach.items())
+
+
+def found(spark, edges):
+    return sorted(map(tuple, components(spark.createDataFrame(edges, "cloud_id string, u long, v long")).collect()))
+
+
+def test_chains_stars_and_clouds(spark):
+    chain = [("a", k, k + 1) for k in range(70)]
+    star = [("b", 500, k) for k in range(60)] + [("b", 3, 500), ("b", 500, 500)]
+    odd = [("a", 200, 201), ("a", 201, 200), ("a", 300, 300), ("a", None, 1), ("a", 400, None), ("c", 9, 8), ("c", 9, 8)]
+    assert found(spark, chain + star + odd) == plain(chain + star + odd)
+    assert found(spark, []) == []
+    with pytest.raises(RuntimeError, match="fixpoint"):
+        components(spark.createDataFrame(chain, "cloud_id string, u long, v long"), rounds=2)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 30), st.integers(0, 30)), max_size=40))
+def test_any_graph(spark, edges):
+    assert found(spark, edges) == plain(edges)
+
+
+def test_regions_of_components_are_those_of_the_cloud(spark):
+    """Two walls far apart and scattered points: in one task, in one a component, and shared."""
+    rng = np.random.default_rng(3)
+    wall = lambda at, n: np.insert(rng.uniform(0, 1, (n, 2)), 2, at + rng.normal(0, 1e-3, n), axis=1)
+    xyz = np.r_[wall(3, 150), wall(9, 120) + [5, 0, 0], rng.uniform(20, 40, (30, 3))]
+    points = spark.createDataFrame([(c, int(k), *map(float, p)) for c in "ab" for k, p in enumerate(xyz[rng.permutation(len(xyz))])], "cloud_id string, pid long, x double, y double, z double").cache()
+    near = neighbors.neighborhoods(points, 0.3, 12).cache()
+    normals = surface.point_normals(points, near).cache()
+    stable = surface.stable_points(near, normals, 0.2).cache()
+    roots = [sorted(map(tuple, segmentation.region_roots(points, normals, near, stable, 0.02, 0.2, together=n).collect())) for n in (1, 50, 10**9)]
+    assert roots[0] == roots[1] == roots[2] and len(roots[0]) == stable.count()
+    # and of one task over the whole cloud
+    table = points.join(normals, ["cloud_id", "pid"]).join(stable.select("cloud_id", "pid"), ["cloud_id", "pid"]).where("cloud_id = 'a'").orderBy("pid").toPandas()
+    place = {p: k for k, p in enumerate(table["pid"])}
+    edges = [[] for _ in place]
+    for r in near.where("cloud_id = 'a'").orderBy("pid", "rk").collect():
+        if r["pid"] in place and r["nbr"] in place:
+            edges[place[r["pid"]]].append(place[r["nbr"]])
+    whole = segmentation.merge_regions(table["pid"].to_numpy(), table[["x", "y", "z"]].to_numpy(float), table[["nx", "ny", "nz"]].to_numpy(float), edges, 0.02, 0.2)
+    assert [r[1:] for r in roots[0] if r[0] == "a"] == list(zip(table["pid"], table["pid"].to_numpy()[whole], strict=True))
+    assert segmentation.supports(spark.createDataFrame(roots[0], "cloud_id string, pid long, root long"), 100).select("cloud_id", "plane_id").distinct().count() == 4
