@@ -13,9 +13,10 @@ clip, and, since that can't fire in clips of two to four frames or of many cuts,
 samples changes its bin, or a share of ``FLOOR`` that is ``TIMES`` the lower quartile of the clip.  They give timed rows.
 
 A null text is an empty one, which is a frame of spaces.  Equal texts have equal files.  A file that is broken or not motion
-JPEG gives one row with its error in ``clip_rows`` and no others; a null file gives none.  Texts of up to about 1 GB are stored; one whose
-file would pass the 4 GB that its size fields hold is an error.  An empty table gives an empty result, repeated rows are
-read alike, and extra columns are ignored.
+JPEG gives one row with its error in ``clip_rows`` and no others; a null file gives none.  A long text's frames are dealt over RIFF parts
+of ``PART`` frames, the first a file in itself and all others its extensions (AVIX), each with an index; ``digests`` writes,
+reads and forgets part by part, so that its memory is the text's and a constant.  ``to_clips`` gives null for a text whose file would pass
+the 2 GB of a binary value.  An empty table gives an empty result, repeated rows are read alike, and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from .common import pieces, utf8
 
 UNIT, COLS, ROWS = 192, 24, 8
 FPS = 25
+#: Frames of a RIFF part, and those that are encoded or decoded side by side; bytes that a value can hold.
+PART, STEP, VALUE = 1 << 14, 1 << 12, (1 << 31) - 1
 BINS, SIGMA = 16, 1.5
 HARD, FLOOR, TIMES = 0.5, 0.25, 3
 
@@ -122,69 +126,100 @@ def _chunk(tag: bytes, body: bytes) -> bytes:
     return tag + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
 
 
-def avi(frames: list[bytes]) -> bytes:
-    """A RIFF AVI file with an index."""
+def avi(frames: list[bytes], total: int | None = None, extension: bool = False) -> bytes:
+    """A RIFF AVI file with an index; of a clip of ``total`` frames the first part, or an extension that holds more of them."""
     wide, high = COLS * 8, ROWS * 8
     most = max(map(len, frames), default=0)
+    total = len(frames) if total is None else total
     avih = struct.pack("<14I", 1_000_000 // FPS, most * FPS, 0, 0x10, len(frames), 0, 1, most, wide, high, 0, 0, 0, 0)
-    strh = b"vidsMJPG" + struct.pack("<IHHIIIIIIIIhhhh", 0, 0, 0, 0, 1, FPS, 0, len(frames), most, 0xFFFFFFFF, 0, 0, 0, wide, high)
+    strh = b"vidsMJPG" + struct.pack("<IHHIIIIIIIIhhhh", 0, 0, 0, 0, 1, FPS, 0, total, most, 0xFFFFFFFF, 0, 0, 0, wide, high)
     strf = struct.pack("<IiiHH4sIiiII", 40, wide, high, 1, 24, b"MJPG", wide * high * 3, 0, 0, 0, 0)
     strl = _chunk(b"LIST", b"strl" + _chunk(b"strh", strh) + _chunk(b"strf", strf))
-    hdrl = _chunk(b"LIST", b"hdrl" + _chunk(b"avih", avih) + strl)
+    hdrl = b"" if extension else _chunk(b"LIST", b"hdrl" + _chunk(b"avih", avih) + strl)
     size = np.fromiter(map(len, frames), np.int64, len(frames))
     index = np.zeros((len(frames), 4), "<u4")
     index[:, 0], index[:, 1], index[:, 3] = int.from_bytes(b"00dc", "little"), 0x10, size
     index[:, 2] = 4 + np.cumsum(8 + size + (size & 1)) - (8 + size + (size & 1))
     movi = b"movi" + b"".join([b"00dc" + struct.pack("<I", len(f)) + f + b"\0" * (len(f) & 1) for f in frames])
-    return _chunk(b"RIFF", b"AVI " + hdrl + _chunk(b"LIST", movi) + _chunk(b"idx1", index.tobytes()))
+    return _chunk(b"RIFF", (b"AVIX" if extension else b"AVI ") + hdrl + _chunk(b"LIST", movi) + _chunk(b"idx1", index.tobytes()))
 
 
-def frames_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Offsets and sizes of the frames that the index names, or of all in the list without one, and the rate (scale, rate)."""
-    if blob[:4] != b"RIFF" or blob[8:12] != b"AVI ":
-        raise ValueError("not a RIFF AVI file")
+class Stream(NamedTuple):
+    """What a file's first part says of its video: the stream's number, and the frame rate."""
+
+    number: int
+    scale: int
+    rate: int
+
+
+def part_frames(blob: bytes, begin: int, known: Stream | None = None) -> tuple[np.ndarray, np.ndarray, Stream, int]:
+    """Offsets and sizes of the frames of the RIFF part at ``begin`` that its index names, or of all in its list without one; the
+    stream, and where the part ends."""
     movi, index, scale, rate, streams, video = None, None, 1, FPS, 0, None
-    listed: list[tuple[bytes, int, int]] = []
 
-    def walk(at: int, end: int, inside: bool = False) -> None:
-        nonlocal movi, index, scale, rate, streams, video
+    def chunks(at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         while at + 8 <= end:
-            tag, size = blob[at : at + 4], struct.unpack_from("<I", blob, at + 4)[0]
+            tag, size = bytes(blob[at : at + 4]), struct.unpack_from("<I", blob, at + 4)[0]
             if at + 8 + size > end:
                 raise ValueError("a chunk runs past its parent")
+            yield tag, at + 8, size
+            at += 8 + size + (size & 1)
+
+    def walk(at: int, end: int) -> None:
+        nonlocal movi, index, scale, rate, streams, video
+        for tag, at_, size in chunks(at, end):
             if tag == b"LIST":
-                if blob[at + 8 : at + 12] == b"movi":
-                    movi = at + 8 if movi is None else movi
-                walk(at + 12, at + 8 + size, inside or blob[at + 8 : at + 12] == b"movi")
-            elif inside:
-                listed.append((tag, at + 8, size))
+                if blob[at_ : at_ + 4] == b"movi":
+                    movi = (at_, at_ + size) if movi is None else movi
+                else:
+                    walk(at_ + 4, at_ + size)
             elif tag == b"strh":
-                if blob[at + 8 : at + 12] == b"vids" and video is None:
-                    if blob[at + 12 : at + 16].upper() != b"MJPG":
+                if blob[at_ : at_ + 4] == b"vids" and video is None:
+                    if blob[at_ + 4 : at_ + 8].upper() != b"MJPG":
                         raise ValueError("not motion JPEG")
-                    video, (scale, rate) = streams, struct.unpack_from("<II", blob, at + 28)
+                    video, (scale, rate) = streams, struct.unpack_from("<II", blob, at_ + 20)
                 streams += 1
             elif tag == b"idx1":
-                index = np.frombuffer(blob, "<u4", size // 16 * 4, at + 8).reshape(-1, 4)
-            at += 8 + size + (size & 1)
+                index = np.frombuffer(blob, "<u4", size // 16 * 4, at_).reshape(-1, 4)
 
-    walk(12, min(len(blob), 8 + struct.unpack_from("<I", blob, 4)[0]))
-    if movi is None or video is None:
+    end = begin + 8 + struct.unpack_from("<I", blob, begin + 4)[0]
+    walk(begin + 12, min(len(blob), end))
+    end += end & 1
+    if movi is None or video is None and known is None:
         raise ValueError("no list of frames")
-    if not scale or not rate:
+    known = known or Stream(video, scale, rate)
+    if not known.scale or not known.rate:
         raise ValueError("no frame rate")
-    tags = [b"%02ddc" % video, b"%02ddb" % video]
+    tags = [b"%02ddc" % known.number, b"%02ddb" % known.number]
     if index is None:
-        spots = [(at, size) for tag, at, size in listed if tag in tags]
-        at, size = (np.array(x, np.int64) for x in (zip(*spots, strict=True) if spots else ((), ())))
-        return at, size, scale, rate
+        spots, lists = [], [(movi[0] + 4, movi[1])]
+        while lists:
+            for tag, at, size in chunks(*lists.pop(0)):
+                if tag == b"LIST":
+                    lists.append((at + 4, at + size))
+                elif tag in tags:
+                    spots.append((at, size))
+        at, size = (np.array(x, np.int64) for x in (zip(*sorted(spots), strict=True) if spots else ((), ())))
+        return at, size, known, end
     index = index[np.isin(index[:, 0], [int.from_bytes(t, "little") for t in tags])]
     at, size = index[:, 2].astype(np.int64), index[:, 3].astype(np.int64)
-    if len(at) and blob[at[0] + movi : at[0] + movi + 4] in tags:  # from the list on, else from the file's beginning
-        at = at + movi
+    if len(at) and blob[at[0] + movi[0] : at[0] + movi[0] + 4] in tags:  # from the list on, else from the file's beginning
+        at = at + movi[0]
     if len(at) and ((at + 8 + size).max() > len(blob) or blob[at[0] : at[0] + 4] not in tags):
         raise ValueError("the index points outside of the frames")
-    return at + 8, size, scale, rate
+    return at + 8, size, known, end
+
+
+def frames_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Offsets and sizes of the frames of a file and of its extensions, and the rate (scale, rate)."""
+    if blob[:4] != b"RIFF" or blob[8:12] != b"AVI ":
+        raise ValueError("not a RIFF AVI file")
+    at, size, known, end = part_frames(blob, 0)
+    parts = [(at, size)]
+    while blob[end : end + 4] == b"RIFF" and blob[end + 8 : end + 12] == b"AVIX":
+        at, size, _, end = part_frames(blob, end, known)
+        parts.append((at, size))
+    return np.concatenate([a for a, _ in parts]), np.concatenate([n for _, n in parts]), known.scale, known.rate
 
 
 #: Fixed values (ITU T.81, K.3): code lengths and symbols of the usual tables, for frames that leave theirs out.
@@ -355,8 +390,26 @@ def _scan(data: bytes, named: dict, parts: dict, shape: tuple[int, int], tables:
                         out[0] = last[part]
 
 
+def _coded(payload: np.ndarray) -> list[bytes]:
+    """The frames of a payload, some at a time."""
+    out = []
+    for lo in range(0, len(payload), STEP * UNIT):
+        data, off = encode_frames(payload[lo : lo + STEP * UNIT].reshape(-1, UNIT))
+        raw, at = data.tobytes(), off.tolist()
+        out += [HEADER + raw[at[j] : at[j + 1]] + b"\xff\xd9" for j in range(len(at) - 1)]
+    return out
+
+
+def encode_parts(payload: np.ndarray) -> Iterator[bytes]:
+    """The RIFF parts of the file of a payload (uint8, a multiple of 192)."""
+    for lo in range(0, len(payload), PART * UNIT):
+        yield avi(_coded(payload[lo : lo + PART * UNIT]), len(payload) // UNIT, lo > 0)
+
+
 def encode(payloads: list[np.ndarray]) -> list[bytes]:
     """An AVI file for each payload (uint8, a multiple of 192)."""
+    if sum(map(len, payloads)) > STEP * UNIT * 2:
+        return [b"".join(encode_parts(p)) for p in payloads]
     counts = [len(p) // UNIT for p in payloads]
     if not counts:
         return []
@@ -369,6 +422,18 @@ def encode(payloads: list[np.ndarray]) -> list[bytes]:
     return out
 
 
+def decode_at(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[np.ndarray]:
+    """The samples of the frames at data[lo:hi], ``STEP`` frames at a time."""
+    head = np.frombuffer(HEADER, np.uint8)
+    for a in range(0, len(lo), STEP):
+        begin, end = lo[a : a + STEP], hi[a : a + STEP]
+        if not (data[begin[:, None] + np.arange(len(head))] == head).all():
+            raise ValueError("a frame has markers or tables other than those of this format")
+        if not ((data[end - 2] == 0xFF) & (data[end - 1] == 0xD9)).all():
+            raise ValueError("a frame doesn't end")
+        yield decode_frames(data, begin + len(head), end - 2)
+
+
 def decode(blobs: list[bytes]) -> list[np.ndarray]:
     """The frames (n x 192 samples) of each file."""
     if not blobs:
@@ -380,16 +445,9 @@ def decode(blobs: list[bytes]) -> list[np.ndarray]:
         hi.append(at + size + base)
         counts.append(len(at))
         base += len(blob)
-    data = np.frombuffer(b"".join(blobs), np.uint8)
-    lo, hi = np.concatenate(lo), np.concatenate(hi)
-    head = np.frombuffer(HEADER, np.uint8)
-    for a in range(0, len(lo), 1 << 14):
-        part = lo[a : a + (1 << 14)]
-        if not (data[part[:, None] + np.arange(len(head))] == head).all():
-            raise ValueError("a frame has markers or tables other than those of this format")
-    if not ((data[hi - 2] == 0xFF) & (data[hi - 1] == 0xD9)).all():
-        raise ValueError("a frame doesn't end")
-    return np.split(decode_frames(data, lo + len(head), hi - 2), np.cumsum(counts)[:-1])
+    data = np.frombuffer(blobs[0] if len(blobs) == 1 else b"".join(blobs), np.uint8)
+    frames = [np.zeros((0, UNIT), np.uint8), *decode_at(data, np.concatenate(lo), np.concatenate(hi))]
+    return np.split(np.concatenate(frames), np.cumsum(counts)[:-1])
 
 
 def histograms(frames: np.ndarray) -> np.ndarray:
@@ -427,19 +485,54 @@ def _payloads(column: pa.Array):
         yield lo, hi, (off[lo + 1 : hi + 1] - off[lo:hi]).tolist(), out
 
 
+class Digest:
+    """What is said of a clip, gathered from its parts."""
+
+    def __init__(self):
+        self.stored, self.back, self.media_bytes, self.payload_bytes, self.total, self.tail, self.hist = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, b"", []
+
+    def write(self, part: bytes) -> None:
+        self.stored.update(part)
+        self.media_bytes += len(part)
+
+    def read(self, frames: np.ndarray) -> None:
+        back = np.ascontiguousarray(frames).tobytes()
+        self.back.update(back)
+        self.payload_bytes, self.tail, self.total = self.payload_bytes + len(back), back[-16:], self.total + int(frames.sum())
+        self.hist.append(histograms(frames).astype(np.int16))
+
+    def row(self, n_bytes: int) -> tuple:
+        cuts = shots_of(np.concatenate(self.hist))
+        feature = f"frames={self.payload_bytes // UNIT};shots={len(cuts)};cuts={zlib.crc32(cuts.astype('<i8').tobytes()):08x};mean={self.total / self.payload_bytes:.3f}"
+        return n_bytes, self.payload_bytes, self.back.hexdigest(), zlib.crc32(self.tail), self.media_bytes, self.stored.hexdigest(), feature
+
+
+def digest_long(n_bytes: int, payload: np.ndarray) -> tuple:
+    """The row of a payload of any length, part by part."""
+    out, known = Digest(), None
+    for part in encode_parts(payload):
+        out.write(part)
+        at, size, known, _ = part_frames(part, 0, known)
+        for frames in decode_at(np.frombuffer(part, np.uint8), at, at + size):
+            out.read(frames)
+    return out.row(n_bytes)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the text's payload stored as a clip, read back and described."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, sizes, payloads in _payloads(batch.column(1)):
-                blobs = encode(payloads)
-                rows = []
-                for size, blob, frames in zip(sizes, blobs, decode(blobs), strict=True):
-                    back = np.ascontiguousarray(frames).tobytes()
-                    cuts = shots(frames)
-                    feature = f"frames={len(frames)};shots={len(cuts)};cuts={zlib.crc32(cuts.astype('<i8').tobytes()):08x};mean={frames.mean():.3f}"
-                    rows.append((size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), feature))
+                if sum(map(len, payloads)) > STEP * UNIT * 2:
+                    rows = [digest_long(size, payload) for size, payload in zip(sizes, payloads, strict=True)]
+                else:
+                    blobs, rows = encode(payloads), []
+                    for size, blob, frames in zip(sizes, blobs, decode(blobs), strict=True):
+                        out = Digest()
+                        out.write(blob)
+                        out.read(frames)
+                        rows.append(out.row(size))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
@@ -454,7 +547,7 @@ def to_clips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, _, payloads in _payloads(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(encode(payloads), pa.binary())], names=[id_col, "media"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x if len(x) <= VALUE else None for x in encode(payloads)], pa.binary())], names=[id_col, "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, media binary")
@@ -466,8 +559,7 @@ def clip_histograms(blob: bytes) -> tuple[np.ndarray, float]:
     if not len(at):
         return np.zeros((0, BINS), np.int64), scale / rate
     if all(blob[a : a + len(HEADER)] == HEADER for a in at.tolist()):
-        (frames,) = decode([blob])
-        return histograms(frames), scale / rate
+        return np.concatenate([histograms(frames) for frames in decode_at(np.frombuffer(blob, np.uint8), at, at + size)]), scale / rate
     rows = []
     for a, n in zip(at.tolist(), size.tolist(), strict=True):
         if not n and rows:  # a dropped frame shows the last one again
