@@ -256,11 +256,10 @@ def voxel_downsample(spark: SparkSession, d: str) -> DataFrame:
     return layout.voxel_downsample(scene(spark, d), VOXEL).selectExpr("i", "j", "k", "n", *(f"round({c}, 9) AS {c}" for c in "xyz"))
 
 
-@query(f"SELECT e.event_id AS pid, e.value AS ord, s.x, s.y, s.z FROM events e JOIN ({SCENE_SQL}) AS s ON s.pid = e.event_id WHERE e.event_type = (SELECT min(event_type) FROM events)")
+@query(f"SELECT e.event_id AS pid, e.value AS ord, s.x, s.y, s.z FROM events e JOIN ({SCENE_SQL}) AS s ON s.pid = e.event_id")
 def gather_points(spark: SparkSession, d: str) -> DataFrame:
     events = spark.read.parquet(f"{d}/events.parquet")
-    first = events.agg(F.min("event_type").alias("event_type"))
-    indices = events.join(F.broadcast(first), "event_type").select(F.lit("scene").alias("cloud_id"), F.col("event_id").alias("pid"), F.col("value").alias("ord"))  # one row
+    indices = events.select(F.lit("scene").alias("cloud_id"), F.col("event_id").alias("pid"), F.col("value").alias("ord"))
     return layout.gather(indices, scene(spark, d)).select("pid", "ord", "x", "y", "z")
 
 
@@ -666,26 +665,44 @@ def benchmark_summary(spark: SparkSession, d: str) -> DataFrame:
     return pose.summary(pose.succeeded(rows)).selectExpr("dataset", "sequence", "pairs", "successful", *(f"round({c}, 6) AS {c}" for c in ("sr", "ate", "are", "runtime_ms")))
 
 
-LOGS = {"a": "0 1 5\n1 0 0 0.5\n0 1 0 -2e-1\n0 0 1 0\n0 0 0 1\n2 3 5 1 0 0 1 0 1 0 2 0 0 1 3 0 0 0 1", "b": "7 8 9\n0 -1 0 1\n1 0 0 2\n0 0 1 3\n0 0 0 1\n9 9 9 1 0 x 0 0 0 0 0 0 0 0 0 0 0 0 1", "c": ""}
+_LINE = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_returnflag")
 
 
-@query(f"""WITH l(sequence, value) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in LOGS.items())}),
-t AS (SELECT sequence, list_filter(string_split_regex(value, '\\s+'), lambda x: x != '') AS t FROM l),
-g AS (SELECT *, coalesce(list_position(list_transform(t, lambda x: regexp_matches(x, '{text.NUMBER}')), false), len(t) + 1) - 1 AS n FROM t),
-r AS (SELECT sequence, t, unnest(range(0, CAST(floor(n / 19) AS INT))) AS record FROM g)
-SELECT sequence, CAST(record AS INT) AS record, CAST(t[record * 19 + 1] AS INT) AS src, CAST(t[record * 19 + 2] AS INT) AS tgt, CAST(t[record * 19 + 3] AS INT) AS meta, CAST(k AS INT) AS k, CAST(t[record * 19 + 4 + k] AS DOUBLE) AS v FROM r, (SELECT range AS k FROM range(16)) AS k""")
+@query(f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINE)}) - 1 AS record FROM lineitem),
+s AS (SELECT *, max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY record ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS broken FROM l)
+SELECT CAST(l_orderkey AS VARCHAR) AS sequence, CAST(record AS INT) AS record, CAST(l_partkey AS INT) AS src, CAST(l_suppkey AS INT) AS tgt, CAST(l_linenumber AS INT) AS meta, l_quantity AS m0, -l_discount + 0e0 AS m5, l_tax * 1e-9 AS m10, l_extendedprice AS m15 FROM s WHERE broken = 0""")
 def ground_truth_parse(spark: SparkSession, d: str) -> DataFrame:
-    logs = spark.createDataFrame(list(LOGS.items()), "sequence string, value string")
-    return text.ground_truth(logs).select("sequence", "record", "src", "tgt", "meta", F.posexplode("m").alias("k", "v"))
+    """A log for each order, a record for each of its lines; returned lines break the log off."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.struct(*_LINE).alias("l"))
+    numbers = [F.when(F.col("r.l_returnflag") == "A", "x").otherwise((-F.col("r.l_discount")).cast("string")) if k == 5 else F.col(f"r.{c}").cast("string") if (c := {0: "l_quantity", 15: "l_extendedprice"}.get(k)) else (F.col("r.l_tax") * 1e-9).cast("string") if k == 10 else F.lit("0") for k in range(16)]
+    record = F.concat_ws(" ", F.concat_ws("\t", "r.l_partkey", "r.l_suppkey", "r.l_linenumber"), *(F.concat_ws(" ", *numbers[4 * k : 4 * k + 4]) if k % 2 else F.concat(F.lit("\n "), F.concat_ws("  ", *numbers[4 * k : 4 * k + 4])) for k in range(4)))
+    lines = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l")).alias("l"))  # the lines of an order
+    logs = lines.select(F.col("l_orderkey").cast("string").alias("sequence"), F.posexplode("l").alias("k", "r")).select("sequence", "k", record.alias("v"))
+    logs = logs.groupBy("sequence").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]), "\n").alias("value"))
+    return text.ground_truth(logs).select("sequence", "record", "src", "tgt", "meta", F.get("m", F.lit(0)).alias("m0"), (F.get("m", F.lit(5)) + 0.0).alias("m5"), F.get("m", F.lit(10)).alias("m10"), F.get("m", F.lit(15)).alias("m15"))
+
+
+@query("""SELECT concat('scans/s', p_size, '/', p_partkey) AS scans, concat(CASE WHEN p_partkey % 3 = 0 THEN './' ELSE '' END, 'benchmarks/d', p_size, '/r', p_partkey, '/gt.log') AS ground_truth, concat('d', p_size) AS dataset,
+ concat('d', p_size, '/r', p_partkey) AS sequence, p_partkey % 4 = 0 AS segment_ground, CASE WHEN p_partkey % 5 = 0 THEN p_retailprice ELSE 0e0 END AS t_crit, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size AS DOUBLE) ELSE 0e0 END AS r_crit FROM part WHERE p_partkey % 11 <> 0""")
+def manifest_parse(spark: SparkSession, d: str) -> DataFrame:
+    """A line for each part, with all options in either order; each eleventh is blank."""
+    ground, criteria = "CASE WHEN p_partkey % 4 = 0 THEN ' --segment-ground ' ELSE '' END", "CASE WHEN p_partkey % 5 = 0 THEN concat(' --success-criteria ', p_retailprice, '\\t', p_size) ELSE '' END"
+    line = f"concat('scans/s', p_size, '/', p_partkey, CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE '\\t  ' END, CASE WHEN p_partkey % 3 = 0 THEN './' ELSE '' END, 'benchmarks/d', p_size, '/r', p_partkey, '/gt.log', CASE WHEN p_partkey % 8 < 4 THEN concat({ground}, {criteria}) ELSE concat({criteria}, {ground}) END)"
+    return text.manifest(spark.read.parquet(f"{d}/part.parquet").selectExpr(f"CASE WHEN p_partkey % 11 = 0 THEN ' ' ELSE {line} END AS value"))
 
 
-MANIFEST = ["scans/indoor/room benchmarks/indoor/room/gt.log --success-criteria 0.3 15", "", "  scans/out/a\tbenchmarks/out/deep/a/gt.log   --segment-ground --success-criteria 2 5 ", "s g/x.log"]
+@query("SELECT vec_id, round((q1 - p1) * (q1 - p1) + (q2 - p2) * (q2 - p2) + (q3 - p3) * (q3 - p3) + (q4 - p4) * (q4 - p4), 6) + 0e0 AS distance FROM (SELECT vec_id, " + ", ".join(f"CAST(embedding[{k}] AS DOUBLE) AS q{k}, CAST(embedding[{k + 4}] AS DOUBLE) AS p{k}" for k in range(1, 5)) + " FROM embeddings) AS e")
+def quaternion_distances(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.slice("embedding", 1, 4).alias("a"), F.slice("embedding", 5, 4).alias("b"))
+    return neighbors.distances(rows, "so3").selectExpr("vec_id", *rounded("distance"))
 
 
-@query("""SELECT * FROM (VALUES ('scans/indoor/room', 'benchmarks/indoor/room/gt.log', 'indoor', 'indoor/room', false, 0.3e0, 15e0),
-('scans/out/a', 'benchmarks/out/deep/a/gt.log', 'out', 'out/deep/a', true, 2e0, 5e0), ('s', 'g/x.log', 'g', 'g', false, 0e0, 0e0)) AS t(scans, ground_truth, dataset, sequence, segment_ground, t_crit, r_crit)""")
-def manifest_parse(spark: SparkSession, d: str) -> DataFrame:
-    return text.manifest(spark.createDataFrame([(x,) for x in MANIFEST], "value string"))
+@query(f"""WITH s AS MATERIALIZED ({SCENE_SQL}), g AS (SELECT face, min(pid) AS first FROM s WHERE face IN (1, 2) GROUP BY face HAVING count(*) >= 100), n AS (SELECT face, row_number() OVER (ORDER BY first) - 1 AS plane_id FROM g)
+SELECT CAST(plane_id AS BIGINT) AS plane_id, pid FROM s JOIN n USING (face) UNION ALL SELECT CAST((SELECT count(*) FROM n) AS BIGINT), pid FROM s WHERE face = 0 AND (SELECT count(*) FROM s WHERE face = 0) >= 100""")
+def ground_plane(spark: SparkSession, d: str) -> DataFrame:
+    """The floor comes as the last plane."""
+    points = scene(spark, d)
+    return segmentation.supports(points.where("face IN (1, 2)").select("cloud_id", "pid", F.col("face").alias("root")), 100, points.where("face = 0").select("cloud_id", "pid")).select("plane_id", "pid")
 
 
 @query("SELECT p_partkey AS plane_id, " + ", ".join(f"round({colour('p_partkey', k)}, 6) AS {c}" for k, c in enumerate(("red", "green", "blue"))) + " FROM part")

@@ -76,3 +76,15 @@ def test_vectors(spark):
     side = lambda s: rows.where(F.col("side") == s).drop("side")
     assert [list(r["v"]) for r in side("s").orderBy("id").collect()] == a.tolist()
     assert {(r["s"], r["t"]) for r in neighbors.nearest(side("t"), side("s"))[0].collect()} == {(0, 0), (1, 1)}
+
+
+def test_logs_and_manifests_by_hand(spark):
+    from orbweave.sources import text
+
+    logs = {"a": "0 1 5\n1 0 0 0.5\n0 1 0 -2e-1\n0 0 1 0\n0 0 0 1\n2 3 5 1 0 0 1 0 1 0 2 0 0 1 3 0 0 0 1", "b": "7 8 9\n0 -1 0 1\n1 0 0 2\n0 0 1 3\n0 0 0 1\n9 9 9 1 0 x 0 0 0 0 0 0 0 0 0 0 0 0 1", "c": ""}
+    got = {(r["sequence"], r["record"]): r for r in text.ground_truth(spark.createDataFrame(list(logs.items()), "sequence string, value string")).collect()}
+    assert sorted(got) == [("a", 0), ("a", 1), ("b", 0)]
+    assert got["a", 0]["m"][3] == 0.5 and got["a", 0]["m"][7] == -0.2 and (got["b", 0]["src"], got["b", 0]["tgt"], got["b", 0]["meta"]) == (7, 8, 9)
+    lines = ["scans/indoor/room benchmarks/indoor/room/gt.log --success-criteria 0.3 15", "", "  scans/out/a\tbenchmarks/out/deep/a/gt.log   --segment-ground --success-criteria 2 5 ", "s g/x.log"]
+    rows = sorted(map(tuple, text.manifest(spark.createDataFrame([(x,) for x in lines], "value string")).collect()))
+    assert rows == [("s", "g/x.log", "g", "g", False, 0.0, 0.0), ("scans/indoor/room", "benchmarks/indoor/room/gt.log", "indoor", "indoor/room", False, 0.3, 15.0), ("scans/out/a", "benchmarks/out/deep/a/gt.log", "out", "out/deep/a", True, 2.0, 5.0)]
