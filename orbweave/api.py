@@ -1,4 +1,4 @@
-"""The twelve functions of the library surface, DataFrame to DataFrame."""
+"""The functions of the library surface, DataFrame to DataFrame."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from .operators.consistency import consistency_edges as consistent_correspondenc
 from .operators.consistency import max_weight_clique as maximum_weight_clique
 from .operators.descriptors import fpfh as compute_fpfh
 from .operators.descriptors import pch as compute_pch
+from .operators.knn import knn as knn_search
+from .operators.knn import reverse_knn
 from .operators.matching import match_planes as pch_matching
 from .operators.matching import mutual_nearest as mutual_correspondences
 from .operators.matching import plane_groups as group_planes
@@ -26,5 +28,5 @@ def segment_planes(points, normals, neighbors, thickness: float, dispersion_sin:
 
 __all__ = [
     "compute_fpfh", "compute_neighborhoods", "compute_normals", "compute_pch", "compute_plane", "compute_transformation",
-    "consistent_correspondences", "filter_neighborhoods", "group_planes", "maximum_weight_clique", "mutual_correspondences", "pch_matching", "segment_planes",
+    "consistent_correspondences", "filter_neighborhoods", "group_planes", "knn_search", "maximum_weight_clique", "mutual_correspondences", "pch_matching", "reverse_knn", "segment_planes",
 ]

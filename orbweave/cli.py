@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import layout, pose
 from .plans import registration
+from .plans.progress import Progress, to_terminal
 from .plans.timers import Timers
 from .sources import ply, text
 from .tables import stored
@@ -53,7 +54,8 @@ def benchmark(spark: SparkSession, args: list[str]) -> int:
         used = truth.select(F.col("src").alias("scan")).union(truth.select("tgt")).distinct()
         points = ply.scan_indexed(spark, f"{base}/{entry['scans']}").join(used, "scan", "left_semi").select("cloud_id", "pid", "x", "y", "z")
         pairs = truth.select("pair_id", *(F.concat(F.lit("cloud_bin_"), F.col(c)).alias(d) for c, d in (("src", "source"), ("tgt", "target"))))
-        got = stored(registration.register(registration.process_clouds(points, p), pairs, p).transforms)
+        with Progress(spark, entry["sequence"], to_terminal()):
+            got = stored(registration.register(registration.process_clouds(points, p), pairs, p).transforms)
         n = max(1, got.count())
         rows = truth.select("pair_id", "m", F.lit(entry["dataset"]).alias("dataset"), F.lit(entry["sequence"]).alias("sequence"), F.lit(entry["t_crit"]).alias("t_crit"), F.lit(entry["r_crit"]).alias("r_crit"), F.lit((time.time() - began) * 1000 / n).alias("runtime_ms"))
         results.append(registration.evaluate(got, rows))
