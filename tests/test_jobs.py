@@ -177,6 +177,10 @@ def test_command_lines(sf_dir, tmp_path):
     done = subprocess.run([sys.executable, "-m", "jobs.tile_map", str(tmp_path), f"{tmp_path}/map", f"{tmp_path}/c.json"], cwd=ROOT, capture_output=True, text=True)
     assert done.returncode == 0 and "points of" in done.stderr, done.stderr[-2000:]
     assert {p.name for p in Path(tmp_path, "map").glob("cloud_id=*")} <= {"cloud_id=click"}
+    shutil.copy(f"{sf_dir}/documents.parquet", tmp_path)
+    for k in range(2):
+        done = subprocess.run([sys.executable, "-m", "jobs.text_styles", str(tmp_path), f"{tmp_path}/styles"], cwd=ROOT, capture_output=True, text=True)
+        assert done.returncode == 0 and f"read {0 if k else 200} new texts" in done.stderr, done.stderr[-2000:]
     for job in ("tile_map", "text_styles"):
         assert subprocess.run([sys.executable, "-m", f"jobs.{job}", "x"], cwd=ROOT, capture_output=True).returncode == 1
 
