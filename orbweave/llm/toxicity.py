@@ -4,12 +4,16 @@ The lexicon is learned: words of any length and word stems of ``STEMS`` letters
 ``RATIO`` times their rate in others; texts that read alike are counted once.  They form a trie.  A word of a text is compared by
 intersecting its Levenshtein automaton with the trie: the automaton's state (one row of edit distances) is carried down the
 trie and a branch ends when no distance within the term's allowance is left, so misspelled terms are found without comparing
-each term.
+each term.  An edit inserts, deletes or replaces a letter or swaps two neighbours.  A word with digits or signs for letters is
+read with those letters (1 as i and as l) and is a misspelled use.
 
 A hit weighs its term's log-odds.  A misspelled hit weighs the log-odds that ``MISSPELLED`` of the term's uses in toxic texts
 would give against how often words so close to the term occur in clean texts, between nothing and the term's own weight; a term
-whose neighbourhood is common among clean words so adds little.  Each hit is scored in a context window: inside quotation marks
-or shortly after a word of reporting it is quotation and counts ``QUOTED`` of its weight, else it is abuse.  The rate of
+whose neighbourhood is common among clean words so adds little.  Each hit is scored in context: between quotation marks of one line
+and at most ``SPAN`` characters apart it is quotation, and shortly after a word of reporting it is reported and counts
+``REPORTED`` of its weight, else it is abuse.  The share that counts of a quoted hit is learned: labelled toxic texts are planted
+with quotations, clean where all hits are quoted and toxic where every other one is, and the share of ``SHARES`` with the least
+loss on such texts left out of the fit is taken.  The rate of
 weighed hits and the densest window of ``WINDOW`` words go into a logistic score whose weights are not negative, so that a further
 hit of any kind never lowers the score of a text of the same length.
 
@@ -26,8 +30,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +43,31 @@ from pyspark.sql import functions as F
 from .common import stored
 
 FIT_ROWS, RATIO, SUPPORT, STEMS = 20_000, 20.0, 0.02, range(4, 10)
-MISSPELLED, QUOTED = 0.1, 0.2
+MISSPELLED, REPORTED = 0.1, 0.2
+SHARES = (0.2, 0.1, 0.05, 0.02, 0.01, 0.0)  #: of a quoted hit's weight
+FOLDS = 4
 WINDOW = 50
 MEMORY = 1 << 17  #: words that a worker remembers
-QUOTE_SPAN, REPORT_SPAN = 12, 4
+SPAN, REPORT_SPAN = 300, 4
 WORDS = re.compile(r"[^\W\d_]+")
+#: Digits and signs that stand for letters.
+SIGNS = [str.maketrans("0134578@$", "oieastbas"), str.maketrans("0134578@$", "oleastbas")]
+#: Letters mixed with such signs.
+DISGUISED = re.compile(r"(?<![\w@$])(?:[^\W\d_]++[0134578@$]|[0134578@$]++[^\W\d_])[\w@$]*+")
+#: A straight mark opens before and closes after something that is no space.
+QUOTATION = re.compile(
+    rf'(?<!\w)"(?=\S)[^"\n]{{1,{SPAN}}}(?<=\S)"(?!\w)|“[^”\n]{{1,{SPAN}}}”|„[^“”\n]{{1,{SPAN}}}[“”]|«[^»\n]{{1,{SPAN}}}»|‹[^›\n]{{1,{SPAN}}}›|‘[^’\n]{{1,{SPAN}}}’'
+)
 #: Fixed word list: words that announce somebody else's words.
 REPORTING = frozenset("said says quote quoted quotes quoting wrote writes called calling word words term phrase reported alleged slur insult".split())
-OPENING, CLOSING = '"“«„‘‹', '"”»“’›'
 
 
 class Lexicon:
     """Terms in a trie; a stem matches the beginning of a word."""
 
-    def __init__(self, terms: list[tuple[str, bool, float, float]]):
-        """terms: (text, whether a stem, weight, weight of a misspelled use)."""
-        self.terms = terms
+    def __init__(self, terms: list[tuple[str, bool, float, float]], quoted: float = SHARES[0]):
+        """terms: (text, whether a stem, weight, weight of a misspelled use); quoted: what share of a quoted hit's weight counts."""
+        self.terms, self.quoted = terms, quoted
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.reach = [0]  # the largest allowance below a node
@@ -68,17 +83,22 @@ class Lexicon:
                 self.reach[node] = max(self.reach[node], allowed)
             self.ends[node].append(number)
         # a match within k edits leaves one of k + 1 parts of the term whole, moved by the edits before it, and the last one
-        # at the word's end: a cheap test before the automaton; where, how long, and words' lengths by part
+        # at the word's end: a cheap test before the automaton; where, how long, and words' lengths by part.  A swap across the
+        # border of two parts would spoil both, so the parts of terms with such swaps made stand there, too
         self.parts: dict[tuple[int, int], dict[str, range]] = {}
         for text, stem, _, _ in terms:
             k, n = self.allowance(text, stem), len(text)
             lengths = range(n, 1 << 40) if stem else range(n - k, n + k + 1)
             cuts = [round(j * n / (k + 1)) for j in range(k + 2)]
-            for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                for start in [a - n] if j == k and not stem else [a + shift for shift in range(-min(j, k), min(j, k) + 1)]:
-                    got = self.parts.setdefault((start, b - a), {})
-                    old = got.get(text[a:b], lengths)
-                    got[text[a:b]] = range(min(old.start, lengths.start), max(old.stop, lengths.stop))
+            forms = [text]
+            for c in cuts[1:-1]:
+                forms += [form[: c - 1] + form[c] + form[c - 1] + form[c + 1 :] for form in forms]
+            for form in forms:
+                for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    for start in [a - n] if j == k and not stem else [a + shift for shift in range(-min(j, k), min(j, k) + 1)]:
+                        got = self.parts.setdefault((start, b - a), {})
+                        old = got.get(form[a:b], lengths)
+                        got[form[a:b]] = range(min(old.start, lengths.start), max(old.stop, lengths.stop))
         self.seen: set[str] = set()
         self.known: dict[str, tuple[int, int]] = {}
 
@@ -100,6 +120,18 @@ class Lexicon:
             self.seen |= words
         return {w: self.known[w] for w in words & self.known.keys()}
 
+    def unmask(self, tokens: set[str]) -> dict[str, tuple[int, int]]:
+        """(term, distance) of tokens with signs for letters, at a distance of one at least."""
+        readings = {t: {t.translate(signs) for signs in SIGNS} for t in tokens}
+        known = self.find({w for ways in readings.values() for w in ways if WORDS.fullmatch(w)})
+        out = {}
+        for token, ways in readings.items():
+            found = [(max(1, known[w][1]), -self.terms[known[w][0]][2], known[w][0]) for w in ways if w in known]
+            if found:
+                distance, _, number = min(found)
+                out[token] = (number, distance)
+        return out
+
     def _possible(self, word: str) -> bool:
         n = len(word)
         for (start, size), found in self.parts.items():
@@ -111,9 +143,9 @@ class Lexicon:
     def _intersect(self, word: str) -> tuple[int, int] | None:
         n = len(word)
         best: tuple[int, float, int] | None = None
-        stack = [(0, list(range(n + 1)))]
+        stack = [(0, list(range(n + 1)), None, "")]  # with the row and the letter before
         while stack:
-            node, row = stack.pop()
+            node, row, above, last = stack.pop()
             for number in self.ends[node]:
                 text, stem, weight, _ = self.terms[number]
                 distance = min(row) if stem else row[n]
@@ -123,8 +155,10 @@ class Lexicon:
                 new = [row[0] + 1]
                 for j in range(n):
                     new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (word[j] != char)))
+                    if above and j and word[j] == last and word[j - 1] == char:
+                        new[-1] = min(new[-1], above[j - 1] + 1)
                 if min(new) <= self.reach[child]:
-                    stack.append((child, new))
+                    stack.append((child, new, row, char))
         return best and (best[2], best[0])
 
     def __getstate__(self):
@@ -135,38 +169,60 @@ class Lexicon:
         self.seen, self.known = set(), {}
 
 
-def hits_of(text: str, lexicon: Lexicon) -> tuple[np.ndarray, int, list[tuple[int, int, bool]]]:
-    """The number of words before each hit, the number of words, and (term, distance, whether quoted) of each hit of a lower-case text."""
+#: A hit's context.
+ABUSE, REPORT, QUOTE = 0, 1, 2
+
+
+def hits_of(text: str, lexicon: Lexicon) -> tuple[np.ndarray, int, list[tuple[int, int, int]]]:
+    """The number of words before each hit, the number of words, and (term, distance, context) of each hit of a lower-case text."""
     words = WORDS.findall(text)
     known = lexicon.find(set(words))
-    if not known:
+    masked = lexicon.unmask(set(DISGUISED.findall(text)))
+    if not known and not masked:
         return np.zeros(0, np.int64), len(words), []
     spans = [m.span() for m in WORDS.finditer(text)]
-    at, out = [], []
-    for k, word in enumerate(words):
-        got = known.get(word)
-        if got is None:
-            continue
-        near = text[spans[max(0, k - QUOTE_SPAN)][0] : spans[k][0]]
-        far = text[spans[k][1] : spans[min(len(words) - 1, k + QUOTE_SPAN)][1]]
-        opened = max(near.rfind(c) for c in OPENING)
-        inside = opened >= 0 and sum(near.count(c) for c in '"') % 2 == (near[opened] == '"') and any(c in far for c in CLOSING)
-        at.append(k)
-        out.append((*got, inside or not REPORTING.isdisjoint(words[max(0, k - REPORT_SPAN) : k])))
+    found = {k: known[word] for k, word in enumerate(words) if word in known}
+    if masked:
+        starts = [start for start, _ in spans]
+        for m in DISGUISED.finditer(text):
+            if m.group() in masked:
+                first, end = bisect_left(starts, m.start()), bisect_left(starts, m.end())
+                if not any(k in found for k in range(first, end)):
+                    found[first] = masked[m.group()]
+    quotations = [m.span() for m in QUOTATION.finditer(text)]
+    opened = [start for start, _ in quotations]
+    at, out = sorted(found), []
+    for k in at:
+        before = bisect_left(opened, spans[k][0])
+        if before and spans[k][1] < quotations[before - 1][1]:
+            context = QUOTE
+        else:
+            context = ABUSE if REPORTING.isdisjoint(words[max(0, k - REPORT_SPAN) : k]) else REPORT
+        out.append((*found[k], context))
     return np.array(at, np.int64), len(words), out
 
 
-def features(text: str, lexicon: Lexicon) -> list[float]:
-    """Of a whole text: logs of the rate of weighed hits among a hundred words, and of that in the densest window."""
-    at, n, hits = hits_of(text.lower(), lexicon)
+def rates(at: np.ndarray, n: int, hits: list[tuple[int, int, int]], lexicon: Lexicon, quoted: float) -> list[float]:
+    """Logs of the rate of weighed hits among a hundred words, and of that in the densest window."""
     if not hits:
         return [0.0, 0.0]
-    value = np.array([lexicon.terms[term][3 if distance else 2] * (QUOTED if quoted else 1.0) for term, distance, quoted in hits])
+    share = (1.0, REPORTED, quoted)
+    value = np.array([lexicon.terms[term][3 if distance else 2] * share[context] for term, distance, context in hits])
     sums = np.r_[0.0, np.cumsum(value)]
     dense = float((sums[np.searchsorted(at, at + WINDOW)] - sums[:-1]).max())
     return [math.log1p(100 * float(sums[-1]) / n), math.log1p(100 * dense / WINDOW)]
 
 
+def features(text: str, lexicon: Lexicon) -> list[float]:
+    """The rates of a whole text."""
+    return rates(*hits_of(text.lower(), lexicon), lexicon, lexicon.quoted)
+
+
+def planted(hits: list[tuple[int, int, int]], every: int) -> list[tuple[int, int, int]]:
+    """The hits, each of ``every`` put in quotation marks."""
+    return [(term, distance, context if k % every else QUOTE) for k, (term, distance, context) in enumerate(hits)]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Uses and texts of words and stems by class; '' is any word."""
     for batch in batches:
@@ -234,6 +290,25 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
         use.pop(int(w[:-1].argmin()))
 
 
+def quoted_share(rows: list[tuple[tuple[tuple[float, ...], ...], int, bool, int]]) -> int:
+    """Which of ``SHARES`` has the least loss on planted rows outside the fold that the weights are learned from; of equals the
+    first.  rows: (features for each share, label, whether planted, fold)."""
+    y, plant, fold = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+    if not plant.any():
+        return 0
+    loss = []
+    for k in range(len(SHARES)):
+        x, total = np.array([r[0][k] for r in rows]), 0.0
+        for f in range(FOLDS):
+            own, out = ~plant & (fold != f), plant & (fold == f)
+            if out.any() and own.any():
+                w = logistic(x[own], y[own].astype(float))
+                z = np.where(y[out] == 1, -1, 1) * (x[out] @ w[:-1] + w[-1])
+                total += float(np.logaddexp(0, z).sum())
+        loss.append(round(total, 6))
+    return int(np.argmin(loss))
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and weights from the labelled rows (``toxic`` 0 or 1) for which ``train`` holds."""
     known = labels.where("toxic IS NOT NULL").groupBy(id_col).agg(F.max("toxic").alias("toxic"))
@@ -271,12 +346,26 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t, lexicon) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
-
-    got = sample.mapInArrow(measure, "x array<double>, toxic int").collect()  # two numbers a row of the sample
-    got = sorted((tuple(r["x"]), r["toxic"]) for r in got)
-    return lexicon, logistic(np.array([x for x, _ in got]), np.array([y for _, y in got], float))
+            rows = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, n, hits = hits_of(text.lower(), lexicon)
+                fold = crc32(text.encode()) % FOLDS
+                ways = [(hits, toxic, False)]
+                if toxic and hits:
+                    ways.append((planted(hits, 1), 0, True))
+                if toxic and len(hits) > 1:
+                    ways.append((planted(hits, 2), 1, True))
+                rows += [([rates(at, n, way, lexicon, q) for q in SHARES], label, plant, fold) for way, label, plant in ways]
+            kinds = (pa.list_(pa.list_(pa.float64())), pa.int32(), pa.bool_(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["x", "label", "plant", "fold"])
+
+    # a dozen numbers a row of the sample, three times for toxic ones
+    got = sample.mapInArrow(measure, "x array<array<double>>, label int, plant boolean, fold int").collect()
+    got = sorted((tuple(map(tuple, r["x"])), r["label"], r["plant"], r["fold"]) for r in got)
+    best = quoted_share(got)
+    lexicon.quoted = SHARES[best]
+    real = [(x[best], y) for x, y, plant, _ in got if not plant]
+    return lexicon, logistic(np.array([x for x, _ in real]), np.array([y for _, y in real], float))
 
 
 def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], held_out: Column | None = None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -102,37 +102,72 @@ def targets(sizes, weights=(5, 2, 1)):
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Insertions, deletions, replacements and swaps of neighbours, no place edited twice."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        row, old = [i], row
+        row = [i]
         for j, y in enumerate(b, 1):
-            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-    return row[-1]
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and a[i - 2 : i] == b[j - 1] + b[j - 2]:
+                row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def quoted_places(text, longest=300):
+    """Whether each character stands between quotation marks."""
+    ends = {'"': '"', "“": "”", "„": "“”", "«": "»", "‹": "›", "‘": "’"}
+    out, p = [False] * len(text), 0
+    while p < len(text):
+        stop = None
+        if text[p] in ends:
+            stop = next((k for k in range(p + 1, len(text)) if text[k] in ends[text[p]] + "\n"), None)
+            if stop is not None and (text[stop] == "\n" or not 1 <= stop - p - 1 <= longest):
+                stop = None
+            if stop is not None and text[p] == '"':
+                word = re.compile(r"\w")
+                around = (p and word.match(text[p - 1])) or (stop + 1 < len(text) and word.match(text[stop + 1]))
+                if around or text[p + 1].isspace() or text[stop - 1].isspace():
+                    stop = None
+        if stop is None:
+            p += 1
+        else:
+            out[p : stop + 1] = [True] * (stop + 1 - p)
+            p = stop + 1
+    return out
 
 
-def toxic_features(text, terms, wide=50):
+def toxic_features(text, terms, wide=50, quoted=0.2):
     """Every word against every term."""
     text = text.lower()
     found = list(re.finditer(r"[^\W\d_]+", text))
     reporting = "said says quote quoted quotes quoting wrote writes called calling word words term phrase reported alleged slur insult".split()
-    value = []
-    for k, m in enumerate(found):
-        word, best = m.group(), None
+    places = quoted_places(text)
+
+    def nearest(word, least=0):
+        best = None
         for number, (term, stem, weight, _) in enumerate(terms):
             d = (0 if word.startswith(term) else 9) if stem else distance(word, term)
             if d <= (0 if stem or len(term) < 5 else 1 if len(term) < 9 else 2):
-                best = min(best or (99,), (d, -weight, number))
-        if best is None:
+                best = min(best or (99,), (max(d, least), -weight, number))
+        return best
+
+    hits = {k: nearest(m.group()) for k, m in enumerate(found)}
+    for m in re.finditer(r"[\w@$]+", text):  # digits and signs for letters
+        own = [k for k, w in enumerate(found) if m.start() <= w.start() < m.end()]
+        read = [m.group().translate(str.maketrans("0134578@$", f"o{one}eastbas")) for one in "il"]
+        read = [w for w in read if w.isalpha() and w != m.group()]
+        if own and read and not any(hits[k] for k in own):
+            hits[own[0]] = min((got for w in read if (got := nearest(w, 1))), default=None)
+    value = []
+    for k, m in enumerate(found):
+        if hits[k] is None:
             value.append(0.0)
             continue
-        weight = terms[best[2]][3 if best[0] else 2]
-        left = text[found[max(0, k - 12)].start() : m.start()]
-        right = text[m.end() : found[min(len(found) - 1, k + 12)].end()]
-        marks = [c for c in left if c in '"“«„‘‹']
-        quoted = bool(marks) and any(c in '"”»“’›' for c in right)
-        if quoted:  # an even number of straight marks is closed
-            quoted = (left.count('"') % 2 == 1) if marks[-1] == '"' else left.count('"') % 2 == 0
-        if quoted or any(w.group() in reporting for w in found[max(0, k - 4) : k]):
+        weight = terms[hits[k][2]][3 if hits[k][0] else 2]
+        if places[m.start()]:
+            weight *= quoted
+        elif any(w.group() in reporting for w in found[max(0, k - 4) : k]):
             weight *= 0.2
         value.append(weight)
     if not any(value):

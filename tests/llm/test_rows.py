@@ -323,11 +323,14 @@ def test_lexicon_intersection_is_edit_distance():
     terms = [("idiot", False, 3.0, 2.0), ("worthless", False, 2.0, 1.0), ("abc", False, 1.0, 1.0), ("achlich", True, 4.0, 4.0)]
     lexicon = toxicity.Lexicon(terms)
     rng = random.Random(0)
-    for _ in range(3000):
+    for _ in range(6000):
         word = list(rng.choice(terms)[0])
         for _ in range(rng.randrange(4)):
             at = rng.randrange(len(word) + 1)
-            word[at : at + rng.randrange(2)] = rng.choice(["", "x", "t", "i"])
+            if rng.random() < 0.4:
+                word[at : at + 2] = reversed(word[at : at + 2])
+            else:
+                word[at : at + rng.randrange(2)] = rng.choice(["", "x", "t", "i"])
         word = "".join(word) or "q"
         allowed = [k for k, (t, s, *_) in enumerate(terms) if (word.startswith(t) if s else brute.distance(word, t) <= lexicon.allowance(t, s))]
         got = lexicon.find({word}).get(word)
@@ -340,8 +343,8 @@ def test_toxicity_features_against_plain_version():
     terms = [("idiot", False, 3.0, 2.0), ("worthless", False, 2.0, 1.0), ("abc", False, 1.0, 1.0), ("achlich", True, 4.0, 4.0), ("idiom", False, 3.0, 0.0)]
     lexicon = toxicity.Lexicon(terms)
     rng = random.Random(5)
-    pool = ["idiot", "idoit", "idiots", "IDIOM", "worthles", "wortless", "achlichkeit", "ab", "abc", "abcd", "said", "the word", '"', "“", "”", "'x'", "1", ".", "plain", "words", "of", "no", "kind"]
-    texts = ["", "idiot", '"idiot"', "idiot " * 200, "a " * 49 + "idiot " + "a " * 49 + "idiot"] + [" ".join(rng.choice(pool) for _ in range(rng.randrange(150))) for _ in range(120)]
+    pool = ["idiot", "idoit", "idiots", "IDIOM", "worthles", "wortless", "achlichkeit", "ab", "abc", "abcd", "said", "the word", '"', "“", "”", "'x'", '"idiot', 'idiot"', '"plain', 'kind"', "id1ot", "1di0t", "$a1d", "w0rth1ess", "@bc", "x9idiot", "idiot@abc", "\n", "„", "« abc »", "1", ".", "plain", "words", "of", "no", "kind"]
+    texts = ["", "idiot", '"idiot"', 'at the end "idiot"', '"idiot" "plain" idiot', '5" idiot 6"', '"' + "a " * 148 + 'idiot"', '"' + "a " * 142 + 'idiot"', "“idiot\n”", "‘an idiot’s’", "idiot " * 200, "a " * 49 + "idiot " + "a " * 49 + "idiot"] + [" ".join(rng.choice(pool) for _ in range(rng.randrange(150))) for _ in range(120)]
     for text in texts:
         assert toxicity.features(text, lexicon) == pytest.approx(brute.toxic_features(text, terms)), text
 
@@ -351,28 +354,77 @@ def test_toxicity_context():
     rate = lambda text: toxicity.features(text, lexicon)[0]
     abuse, quoted, said, fuzzy = map(rate, ("you are an idiot now", 'he read an "idiot" aloud', "the word idiot is", "you are an idiotx now"))
     assert abuse > fuzzy > quoted > 0 and said > 0 and said < abuse
-    assert rate("you idoit") == 0.0 and toxicity.features("", lexicon) == [0.0, 0.0]
+    assert rate('he read aloud "idiot"') == pytest.approx(rate('he read an "idiot"')) and rate('he read aloud "idiot"') < abuse
+    assert 0 < rate("you are an idoit now") == rate("you an 1d10t now") == fuzzy and rate("you odiit") == 0.0
+    assert toxicity.features("", lexicon) == [0.0, 0.0]
 
 
-def test_toxicity_of_misspelled_terms(spark):
-    """Held-out toxic texts that are found are found again with each term misspelled."""
+@pytest.fixture(scope="module")
+def abuse(spark):
+    """A model, its terms, and the held-out texts with terms that it finds."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels, train=queries._fold(3) != 1)
-    assert (model[1][:-1] >= 0).all()
     terms = {t for t, stem, *_ in model[0].terms if not stem and len(t) >= 5}
+    held = toxicity.score(docs, model, held_out=queries._fold(3) == 1).where("held_out AND predicted = 1").select("doc_id").join(docs, "doc_id")
+    texts = [r["text"] for r in held.collect() if terms & set(toxicity.WORDS.findall(r["text"].lower()))]
+    assert (model[1][:-1] >= 0).all() and len(texts) > 50
+    return model, terms, texts
+
+
+def _insert(rng, word):
+    k = rng.randrange(1, len(word))
+    return word[:k] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[k:]
+
+
+def _delete(rng, word):
+    k = rng.randrange(1, len(word))
+    return word[:k] + word[k + 1 :]
+
+
+def _replace(rng, word):
+    k = rng.randrange(1, len(word))
+    return word[:k] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[k + 1 :]
+
+
+def _swap(rng, word):
+    k = rng.choice([k for k in range(len(word) - 1) if word[k] != word[k + 1]])
+    return word[:k] + word[k + 1] + word[k] + word[k + 2 :]
+
+
+def _disguise(rng, word):
+    return word.lower().translate(str.maketrans("oeals", "03@1$"))
+
+
+@pytest.mark.parametrize("way", [_insert, _delete, _replace, _swap, _disguise])
+def test_toxicity_of_misspelled_terms(spark, abuse, way):
+    """Held-out toxic texts that are found are found again with each term misspelled."""
+    model, terms, texts = abuse
     rng = random.Random(1)
+    changed = [toxicity.WORDS.sub(lambda m: way(rng, m.group()) if m.group().lower() in terms else m.group(), t) for t in texts]
+    table = spark.createDataFrame(list(enumerate(changed)), "doc_id long, text string")
+    assert toxicity.score(table, model).where("predicted = 1").count() >= 0.9 * len(texts)
 
-    def misspell(m):
-        word = m.group()
-        if word.lower() not in terms:
-            return word
-        k, c = rng.randrange(1, len(word)), rng.choice("abcdefghijklmnopqrstuvwxyz")
-        return rng.choice([word[:k] + c + word[k:], word[:k] + word[k + 1 :], word[:k] + c + word[k + 1 :]])
 
-    held = toxicity.score(docs, model, held_out=queries._fold(3) == 1).where("held_out AND predicted = 1").select("doc_id").join(docs, "doc_id")
-    texts = [r["text"] for r in held.collect() if terms & set(toxicity.WORDS.findall(r["text"].lower()))]
-    changed = spark.createDataFrame([(k, toxicity.WORDS.sub(misspell, t)) for k, t in enumerate(texts)], "doc_id long, text string")
-    assert len(texts) > 50 and toxicity.score(changed, model).where("predicted = 1").count() >= 0.9 * len(texts)
+def test_toxicity_of_quoted_terms(spark, abuse):
+    """Held-out toxic texts are clean with all hits in quotation marks, and toxic with marks around other words."""
+    model, _, texts = abuse
+
+    def quote(text, hit):
+        known = model[0].find(set(toxicity.WORDS.findall(text.lower())))
+        return toxicity.WORDS.sub(lambda m: f"“{m.group()}”" if (m.group().lower() in known) == hit else m.group(), text)
+
+    table = lambda hit: spark.createDataFrame([(k, quote(t, hit)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert toxicity.score(table(True), model).where("predicted = 0").count() >= 0.95 * len(texts)
+    assert toxicity.score(table(False), model).where("predicted = 1").count() == len(texts)
+
+
+def test_share_of_quoted_hits():
+    """Chosen on planted rows alone: a share that keeps the quoted clean and the half quoted toxic."""
+    n = len(toxicity.SHARES)
+    rows = [(((0.0, 0.0),) * n, 0, False, k % 4) for k in range(200)] + [(((3.0, 3.0),) * n, 1, False, k % 4) for k in range(50)]
+    assert toxicity.quoted_share(rows) == 0
+    clean = tuple((float(k != 3),) * 2 for k in range(n))
+    assert toxicity.quoted_share(rows + [(clean, 0, True, k % 4) for k in range(20)]) == 3
 
 
 def test_toxicity_model(spark):
