@@ -46,3 +46,15 @@ def test_normals_and_histograms_exchange_no_pairs(spark):
     value = lambda df: {(r["pid"], r["bin"]): r["v"] for r in df.collect()}
     one, two = value(descriptors.spfh(full, points, normals)), value(descriptors.spfh(bare, points, normals))
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-12 for k in one)
+
+
+def test_fpfh_by_blocks_equals_the_joined_one(spark):
+    rng = np.random.default_rng(5)
+    # two copies of one place, and a point that is alone
+    points = cloud(spark, np.r_[rng.uniform(0, 1, (60, 3)), np.full((2, 3), 0.5), [[9.0, 9.0, 9.0]]])
+    near = neighbors.neighborhoods(points, 0.4, 8).cache()
+    normals = surface.point_normals(points, near).cache()
+    value = lambda df: {(r["pid"], r["bin"]): r["v"] for r in df.collect()}
+    want = value(descriptors.fpfh(near, points, normals))
+    got = value(descriptors.fpfh_by_blocks(points, descriptors.simple_vectors(near, points, normals), 0.4, 8))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
