@@ -13,9 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import decontaminate, mixing, neardup, pii, toxicity
-from orbweave.llm.common import read
-from orbweave.tables import shared_folder
+from orbweave.llm import decontaminate, mixing, neardup, pii, simhash, toxicity
+from orbweave.llm.common import components, read
+from orbweave.tables import shared_folder, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: 5-word shingles, Jaccard similarity of at least 0.8."""
-    return neardup.keep_one(docs)
+    """One document of each group of near duplicates: SimHash fingerprints that differ in at most four bits, or 5-word shingles with a
+    Jaccard similarity of at least 0.8.  A group is what links of either kind join."""
+    alike, similar = simhash.groups(docs), stored(neardup.groups(docs))
+    links = alike.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).union(similar.select("doc_id", "component_id"))
+    roots = components(links).withColumnRenamed("node", "doc_id")
+    found = similar.join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    return simhash.rows_of_least(docs, found, "doc_id", "text")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

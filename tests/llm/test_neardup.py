@@ -86,3 +86,16 @@ def test_stage_drops_copies_of_similarity_0_8(spark, sf_dir):
         far[at] = "y"
     kept = corpus_pipeline.drop_near_copies(spark, table(spark, [" ".join(t) for t in (body, near, far)]), sf_dir)
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+
+
+def test_stage_drops_near_fingerprints_too(spark, sf_dir):
+    """A long refrain rules the fingerprint, while the sets of shingles have little in common; the last text joins by its set alone."""
+    import corpus_pipeline
+
+    refrain = [f"r{k}" for k in range(7)] * 200
+    tails = [[f"{side}{k}" for k in range(20)] for side in "ab"]
+    one, two = refrain + tails[0], refrain + tails[1]
+    short = refrain[:35] + tails[1]
+    kept = corpus_pipeline.drop_near_copies(spark, table(spark, [" ".join(t) for t in (one, two, short)]), sf_dir)
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+    assert sorted(r["doc_id"] for r in neardup.keep_one(table(spark, [" ".join(t) for t in (one, two)])).collect()) == [0, 1]
