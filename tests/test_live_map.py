@@ -81,3 +81,41 @@ def test_rows_that_do_nothing(spark, tmp_path):
 def test_cells_need_a_width():
     with pytest.raises(ValueError, match="width"):
         live_map.Keeper(0.0)
+
+
+def test_a_box_that_comes_again_looks_at_new_points_only():
+    import random
+
+    import pandas as pd
+
+    class State(dict):
+        containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.pop  # noqa: N815
+
+    class Handle:
+        def getMapState(self, *_):  # noqa: N802
+            return State()
+
+    rng = random.Random(6)
+    boxes = [("remove_inside", (0.2, 0.0, 0.0, 0.5, 1.0, 1.0)), ("remove_outside", (0.1, 0.1, 0.0, 0.9, 0.8, 1.0))]
+    rows, plain = [], {}
+    for seq in range(600):
+        kind, corners = boxes[seq // 20 % 2] if seq % 20 == 19 else (rng.choice(["add", "add", "remove"]), None)
+        place = tuple(round(rng.random(), 2) for _ in "xyz")
+        pid = rng.randrange(150)
+        rows.append(("a", seq, kind, pid, *(corners or (*place, None, None, None))))
+        if kind == "add":
+            plain[pid] = place
+        elif kind == "remove":
+            plain.pop(pid, None)
+        else:
+            inside = lambda xyz, c=corners: all(a <= v <= b for v, a, b in zip(xyz, c[:3], c[3:], strict=True))
+            plain = {p: xyz for p, xyz in plain.items() if inside(xyz) != (kind == "remove_inside")}
+    keeper, scans = live_map.Keeper(0.25), []
+    every = keeper._every_cell
+    keeper._every_cell = lambda: scans.append(1) or every()
+    keeper.init(Handle())
+    changes = next(iter(keeper.handleInputRows(("a", 0), iter([pd.DataFrame(rows, columns=["cloud_id", "seq", "kind", "pid", "x", "y", "z", "x2", "y2", "z2"])]), None)))
+    left = {}
+    for r in changes.itertuples(index=False):
+        left[r.pid] = (r.x, r.y, r.z) if r.action in ("added", "moved") else None
+    assert {p: xyz for p, xyz in left.items() if xyz} == plain and len(scans) == len(boxes)
