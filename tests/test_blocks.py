@@ -58,3 +58,10 @@ def test_fpfh_by_blocks_equals_the_joined_one(spark):
     want = value(descriptors.fpfh(near, points, normals))
     got = value(descriptors.fpfh_by_blocks(points, descriptors.simple_vectors(near, points, normals), 0.4, 8))
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_logs_of_orders_are_made_in_one_exchange(spark, sf_dir):
+    from orbweave import queries
+
+    plan = queries.ground_truth_parse(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ObjectHashAggregate") + plan.count("SortAggregate") == 2  # partial and final, of one grouping
