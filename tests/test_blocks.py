@@ -1,6 +1,7 @@
 """Neighbourhoods searched by blocks: against plain NumPy, and without an exchange of pairs."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from orbweave.operators import descriptors, neighbors, surface
 
@@ -65,3 +66,29 @@ def test_logs_of_orders_are_made_in_one_exchange(spark, sf_dir):
 
     plan = queries.ground_truth_parse(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("ObjectHashAggregate") + plan.count("SortAggregate") == 2  # partial and final, of one grouping
+
+
+def test_covariances_and_normals_made_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    # a wall of exactly one x, a pair, a point that is alone, and one that takes no part
+    points = cloud(spark, np.r_[rng.uniform(0, 1, (70, 3)), np.c_[np.full(40, 3.3), rng.uniform(0, 1, (40, 2))], [[7, 7, 7], [7.1, 7, 7], [9, 9, 9], [np.nan, 1, 1]]])
+    near = neighbors.neighborhoods(points, 0.4, 8, carry=("x", "y", "z")).cache()
+    value = lambda df: {r["pid"]: tuple(r[c] for c in df.columns if c not in ("cloud_id", "pid")) for r in df.collect()}
+    want = value(surface.covariance(near, "cloud_id", "pid"))
+    made = surface.covariance_by_blocks(points, 0.4, 8)
+    got = value(made.drop("x", "y", "z"))
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in got)
+    assert all(got[k][4] == 0 for k in range(70, 110))
+    want = value(surface.point_normals(points, near))
+    normals = surface.normals_by_blocks(points, 0.4, 8)
+    got = value(normals.drop("x", "y", "z"))
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=0, atol=1e-9) for k in got)
+    # points go to their blocks and nothing is exchanged after that
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_points_do_not_meet_under_the_key_of_their_cloud(spark):
+    full = surface.normals_by_blocks(cloud(spark, np.random.default_rng(7).uniform(0, 1, (50, 3))), 0.4, 8)
+    planes = full.groupBy("cloud_id").agg(*((F.avg(c)).alias(f"c{c}") for c in "xyz"), *(F.avg(f"n{c}").alias(f"n{c}") for c in "xyz")).withColumn("plane_id", F.lit(0))
+    plan = descriptors.pch(planes, full, full, 1.0, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
