@@ -92,3 +92,30 @@ def test_points_do_not_meet_under_the_key_of_their_cloud(spark):
     planes = full.groupBy("cloud_id").agg(*((F.avg(c)).alias(f"c{c}") for c in "xyz"), *(F.avg(f"n{c}").alias(f"n{c}") for c in "xyz")).withColumn("plane_id", F.lit(0))
     plan = descriptors.pch(planes, full, full, 1.0, 1.0)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_sums_inside_a_radius_need_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    # a crowded wall, a crowd at one place, a lattice with neighbours at exactly the radius, and negative sides
+    lattice = np.stack(np.meshgrid(*[np.arange(4) * 0.5] * 3), axis=-1).reshape(-1, 3) + 5
+    xyz = np.r_[np.c_[rng.uniform(-1, 1, (4000, 2)), rng.normal(0, 0.001, 4000)], np.full((50, 3), 0.25), lattice, rng.uniform(-3, 3, (200, 3))]
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 512)
+    d2 = sum((xyz[:, None, k] - xyz[None, :, k]) ** 2 for k in range(3))
+    want = {k: ((d2[k] < 0.25).sum(), d2[k][d2[k] < 0.25].sum()) for k in range(len(xyz))}
+    points = cloud(spark, xyz).union(cloud(spark, xyz[:300], "b"))
+    frame = neighbors.radius_sums(points, 0.5)
+    assert frame._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    rows = frame.collect()
+    got = {r["pid"]: (r["n"], r["sum_d2"]) for r in rows if r["cloud_id"] == "a"}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
+    assert sum(r["cloud_id"] == "b" for r in rows) == 300
+
+
+def test_most_of_a_crowd_is_summed_by_cells(monkeypatch):
+    xyz = np.c_[np.random.default_rng(9).uniform(0, 1, (60_000, 2)), np.zeros(60_000)]
+    compared = []
+    einsum = np.einsum
+    monkeypatch.setattr(neighbors.np, "einsum", lambda text, a, b: compared.append(a.size) or einsum(text, a, b))
+    ask = np.arange(0, 60_000, 20)
+    n, _ = neighbors.sums_inside(xyz, ask, 0.3)
+    assert sum(compared) < n.sum() / 2
