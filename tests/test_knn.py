@@ -93,3 +93,21 @@ def test_few_pairs_are_compared(spark, monkeypatch):
     monkeypatch.setattr(knn, "_compare", lambda a, b: seen.append(compare(a, b)) or seen[-1])
     assert knn.knn(table(spark, points), 5).count() == 15_000
     assert sum(s.count() for s in seen) < 3000 * 400
+
+
+def test_places_outside_the_cloud_visit_few_blocks(spark, monkeypatch):
+    """Far from a wall no cell around a place holds points; still most blocks are ruled out by their boxes."""
+    monkeypatch.setattr(knn, "BLOCK", 64)
+    rng = np.random.default_rng(10)
+    points = [("a", k, *map(float, p)) for k, p in enumerate(rng.uniform(0, 1, (4000, 3)) * [1, 1, 0.002])]
+    places = [("a", k, *map(float, p)) for k, p in enumerate(rng.uniform(0, 1, (60, 3)) * [1, 1, 0.1] + [0, 0, 0.1])]
+    seen, visits = [], knn._visits
+    monkeypatch.setattr(knn, "_visits", lambda a, b: seen.append(visits(a, b)) or seen[-1])
+    assert result(knn.knn(table(spark, points), 5, table(spark, places))) == plain(points, 5, places)
+    assert 60 <= sum(s.count() for s in seen) < 60 * 63 / 3
+
+
+def test_a_block_with_many_visitors_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SLICE", 16)
+    points = [("a", k, *map(float, p)) for k, p in enumerate(np.random.default_rng(11).normal(0, 1, (150, 3)))]
+    assert result(knn.knn(table(spark, points), 4)) == plain(points, 4)
