@@ -36,7 +36,7 @@ from .neighbors import SOUND, _parts
 #: The curve has 2^BITS units along the longest side.
 BITS = 20
 #: Points of a block, places of a tile, visitors of a block in one task, pairs compared at once.
-BLOCK, TILE, SLICE, PAIRS = 2048, 1024, 1 << 16, 1 << 18
+BLOCK, TILE, SLICE, PAIRS = 1024, 1024, 1 << 16, 1 << 18
 PLACE = ["cloud_id", "x", "y", "z"]
 _SLACK = 1 + 1e-9
 _BOX = [f"{end}{c}" for end in ("l", "h") for c in "xyz"]
@@ -145,8 +145,10 @@ def _compare(visits: DataFrame, blocks: DataFrame) -> DataFrame:
             for lo in range(0, len(q), step):
                 d = [q[lo : lo + step, k, None] - p[:, k] for k in range(3)]
                 d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-                last = np.partition(d2, want - 1, axis=1)[:, want - 1]
-                i, j = np.nonzero(d2 <= np.fmin(last, far[lo : lo + step])[:, None])
+                last = far[lo : lo + step]
+                if np.isnan(last).any():  # all or none of a visit's round
+                    last = np.fmin(np.partition(d2, want - 1, axis=1)[:, want - 1], last)
+                i, j = np.nonzero(d2 <= last[:, None])
                 by = np.lexsort((j, d2[i, j], i))
                 i, j = i[by], j[by]
                 begin = np.searchsorted(i, i)
