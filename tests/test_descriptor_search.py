@@ -103,3 +103,16 @@ def test_wrong_and_missing_descriptors(spark):
 def test_pivots_of_equal_rows():
     assert len(descriptor_search.fit(np.zeros((50, 3)), 8)) == 1
     assert len(np.unique(descriptor_search.fit(np.repeat(np.eye(3), 20, axis=0), 8), axis=0)) == 3
+
+
+def test_queries_travel_by_rooms(spark, monkeypatch):
+    """Where nothing can be ruled out, a query goes to each room once a round, however many cells and blocks there are."""
+    rng = np.random.default_rng(8)
+    ask, have = ([("p", 2 * k + odd, rng.normal(size=32)) for k in range(n)] for n, odd in ((60, 0), (900, 1)))
+    got = descriptor_search.search(table(spark, ask), table(spark, have), block=8)
+    assert {k: v[1] for k, v in found(got.rows).items()} == {k: v[1] for k, v in plain(ask, have).items()}
+    sent, pairs = got.sent.first()["sent"], got.compared.first()["compared"]
+    assert pairs > 0.8 * 60 * 900 and sent <= 60 * 3 * descriptor_search.ROOMS
+    monkeypatch.setattr(descriptor_search, "ROOM", 32 * 40)  # rooms that are full cut cells
+    rows = found(descriptor_search.search(table(spark, ask), table(spark, have), block=8).rows)
+    assert {k: v[1] for k, v in rows.items()} == {k: v[1] for k, v in plain(ask, have).items()}
