@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -155,24 +157,72 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
+def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of some edges, sorted, and the smallest node that each reaches along them."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    left, right = at[: len(u)], at[len(u) :]
+    labels = np.arange(len(names))
+    while True:
+        low = np.minimum(labels[left], labels[right])
+        if (low == labels[left]).all() and (low == labels[right]).all():
+            return names, names[labels]
+        for side in (left, right):  # also the label itself gets the lower one, so that whole trees are hung up
+            np.minimum.at(labels, labels[side], low)
+            np.minimum.at(labels, side, low)
+        labels = labels[labels]
+
+
+#: Edges that a task joins at a time before they are dealt out, and rows of two longs up to which a side of a join is broadcast.
+EDGES, BROADCAST_ROWS = 1 << 20, 1_000_000
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (u, v, longs) reaches.
 
-    Min-label propagation with pointer jumping.  Each round aggregates messages on the map side before the shuffle
-    and joins only unique keys to the edges, those of a node with a very large degree dealt over salts, and is written to
-    the checkpoint folder.  The number of rounds grows with the logarithm of a component's diameter.
+    Each task first joins what it has of the edges, so that it sends a node once, however many edges the node has.  A round
+    replaces each node's parent by the parent's own (a join that adaptive execution can split at a parent of very many
+    nodes), deals the rows by node and joins the trees that meet in a task, always to the smaller root.  A row that a task makes for
+    a node dealt elsewhere is a link for the next round.  Parents are smaller than their nodes, so when nothing moves each node
+    hangs on the smallest of its component.  The number of rounds grows with the logarithm of a component's diameter.
     """
-    both = cut(edges.select("u", "v").union(edges.select("v", "u")).where("u != v").distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
-    hot = hot_keys(both.groupBy("v").agg(F.count("*").alias("n")), ["v"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out():
+            names, roots = least_labels(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(roots), pa.array(np.zeros(len(names), bool))], names=["node", "root", "moved"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(u) for u, _ in held) >= EDGES:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if not held:
+            return
+        node, root, moved = (np.concatenate(x) for x in zip(*held, strict=True))
+        names, roots = least_labels(node, root)
+        changed = np.zeros(len(names), bool)
+        changed[np.searchsorted(names, node[moved | (roots[np.searchsorted(names, node)] != root)])] = True
+        own = np.zeros(len(names), bool)
+        own[np.searchsorted(names, node)] = True
+        keep = own | (names != roots)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (names, roots, own, changed | ~own)], names=["node", "root", "own", "moved"])
+
+    kind = "node long, root long, own boolean, moved boolean"
+    rows = edges.select("u", "v").where("u != v").mapInArrow(gather, "node long, root long, moved boolean")
+    forest = stored(rows.repartition("node").mapInArrow(merge, kind))
+    few = forest.count() <= BROADCAST_ROWS
     for _ in range(rounds):
-        told = salted_join(both, labels.select(F.col("node").alias("v"), "root"), ["v"], hot, ["u"]).groupBy("u").agg(F.min("root").alias("told"))
-        low = labels.join(told.withColumnRenamed("u", "node"), "node", "left").select("node", F.col("root").alias("was"), F.least("root", "told").alias("root"))
-        # dealt anew by another key on both sides, so that a root of very many nodes can be split
-        jump = low.select(other_key("node"), F.col("root").alias("next"))
-        new = cut(low.select("*", other_key("root")).join(jump, "key", "left").select("node", "was", F.least("root", "next").alias("root")))
-        done = new.where("was != root").isEmpty()
-        labels = new.select("node", "root")
-        if done:
-            return labels
+        parents = forest.where("own").select(F.col("node").alias("root"), F.col("root").alias("next"))
+        jumped = forest.join(F.broadcast(parents) if few else parents, "root")
+        jumped = jumped.select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+        forest = stored(jumped.repartition("node").mapInArrow(merge, kind))
+        if forest.where("moved").isEmpty():
+            return forest.select("node", "root")
     raise RuntimeError(f"components: no fixpoint after {rounds} rounds")

@@ -11,8 +11,8 @@ with equal sets, also those without words, are one node.  Null is an empty text.
 A candidate group of up to ``GROUP_WORDS`` shingles (or four even shares of a partition, if that is less) is compared in one
 task.  A larger one is first thinned out by pivots, a few of its sets: sets similar to a pivot are linked to it.  As one minus
 the similarity is a metric, a set that is closer to a pivot than the nearest set not similar to it by more than the
-threshold has partners only among those linked to that pivot, and is done with.  What is left after ``ROUNDS`` rounds and still
-too large is dealt to blocks, and each pair of blocks is compared in a task of its own.  No link is lost by either.
+threshold has partners only among those linked to that pivot, and is done with.  What is left after ``ROUNDS`` rounds, or after
+one that was done with less than a quarter of the shingles, and still too large is dealt to blocks, and each pair of blocks is compared in a task of its own.  No link is lost by either.
 
 An empty table has no groups; of a group the smallest id stays, of rows that repeat an id and a text one; very long texts are read whole; extra
 columns are kept, whatever their names.
@@ -21,18 +21,18 @@ columns are kept, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, components, hot_keys, mix, other_key, pieces, salted_join, stored, utf8, word_hashes, word_spans
+from .common import BROADCAST_ROWS, Rolling, components, hot_keys, mix, other_key, pieces, salted_join, stored, utf8, word_hashes, word_spans
 from .simhash import rows_of_least
 
 SHINGLE, SHARE = 5, (4, 5)  #: similarity of at least SHARE[0] / SHARE[1]
 BANDS, ROWS = 24, 4
-BROADCAST_ROWS = 1_000_000
 GROUP_WORDS, LEAST_WORDS = 1 << 22, 1 << 16  #: shingles of a group that one task compares: at most, and at least
 PIVOTS, ROUNDS = 4, 4
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -123,23 +123,29 @@ def _compare(table: pa.Table) -> pa.Table:
 
 
 def settled(rows: DataFrame, hot: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Links (node, root) of sets to the pivots of their group, and the rows that may have partners that no pivot connects."""
-    bucket = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS)).alias("bucket")
-    rank = F.xxhash64(F.lit(turn), "node").alias("rank")
-    chosen = rows.groupBy("near", bucket).agg(F.min(F.struct(rank, "node")).alias("pivot")).select("pivot.node")
-    pivots = rows.join(chosen, "node", "left_semi").dropDuplicates(["node"]).groupBy("near").agg(F.collect_list(F.struct("node", "shingles")).alias("pivots"))  # PIVOTS rows a group
+    """Links (node, root) of sets to the pivots of their group, and the rows that may have partners that no pivot connects.
+
+    What is broadcast has one row for each group, of at most PIVOTS longs or doubles; sets themselves are never broadcast."""
+    every = range(PIVOTS)
+    bucket = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS))
+    rank = F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), "node")
+    chosen = rows.groupBy("near").agg(*(F.min(F.when(bucket == k, rank)).alias(f"p{k}") for k in every))
+    chosen = chosen.select("near", F.array(*(F.col(f"p{k}.node") for k in every)).alias("chosen"))
+    pivots = rows.join(F.broadcast(chosen), "near").where(F.coalesce(F.array_contains("chosen", F.col("node")), F.lit(False)))
+    pivots = pivots.groupBy("near").agg(F.collect_set(F.struct("node", "shingles")).alias("pivots"))  # PIVOTS rows a group; repeated rows are one
 
     def mark(p):
-        return F.struct(p["node"].alias("pivot"), F.size(F.array_intersect("shingles", p["shingles"])).alias("shared"), (F.size("shingles") + F.size(p["shingles"])).alias("total"))
+        shared, total = F.size(F.array_intersect("shingles", p["shingles"])), F.size("shingles") + F.size(p["shingles"])
+        return F.struct(p["node"].alias("pivot"), (shared * sum(SHARE) >= total * SHARE[0]).alias("close"), (1 - shared / (total - shared)).alias("far"))
 
-    marks = salted_join(rows, stored(pivots), ["near"], hot, ["node"]).select("near", "node", F.transform("pivots", mark).alias("marks"))
-    marks = stored(marks.select("near", "node", F.explode("marks").alias("mark")).select("near", "node", "mark.*"))
-    close = F.col("shared") * sum(SHARE) >= F.col("total") * SHARE[0]
-    far = 1 - F.col("shared") / (F.col("total") - F.col("shared"))
-    ring = marks.where(~close).groupBy("near", "pivot").agg(F.min(far).alias("ring"))
-    inside = salted_join(marks.where(close), ring, ["near", "pivot"], hot, ["node"], "left")
-    closed = inside.where(F.col("ring").isNull() | (far + 1 - SHARE[0] / SHARE[1] + 1e-9 < F.col("ring"))).select("node").distinct()
-    return marks.where(close & (F.col("node") != F.col("pivot"))).select("node", F.col("pivot").alias("root")), stored(rows.join(closed, "node", "left_anti"))
+    marked = stored(salted_join(rows, stored(pivots), ["near"], hot, ["node"]).select("near", "node", "shingles", F.transform("pivots", mark).alias("marks")))
+    at = lambda k: F.get("marks", F.lit(k))
+    rings = marked.groupBy("near").agg(*(F.min(F.when(~at(k)["close"], at(k)["far"])).alias(f"r{k}") for k in every))
+    ringed = marked.join(F.broadcast(rings), "near")
+    closed = [at(k)["close"] & (F.col(f"r{k}").isNull() | (at(k)["far"] + 1 - SHARE[0] / SHARE[1] + 1e-9 < F.col(f"r{k}"))) for k in every]
+    left = stored(ringed.where(~F.greatest(*(F.coalesce(x, F.lit(False)) for x in closed))).select("near", "node", "shingles"))
+    links = marked.select("node", F.explode("marks").alias("mark")).where(F.col("mark.close") & (F.col("mark.pivot") != F.col("node")))
+    return links.select("node", F.col("mark.pivot").alias("root")), left
 
 
 def linked(held: DataFrame) -> DataFrame:
@@ -150,33 +156,32 @@ def linked(held: DataFrame) -> DataFrame:
     weights = weighed(held)
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     limit = min(GROUP_WORDS, max(LEAST_WORDS, 4 * (weights.agg(F.sum("words")).first()[0] or 0) // parts))
-    if weights.where(F.col("words") > limit).isEmpty():
-        return held.groupBy("near").applyInArrow(_compare, kind)
-    rows, small, found = held, [], []
+    rest, rows, found, before = [], held, [], 0
     for turn in range(ROUNDS + 1):
-        hot = hot_keys(weights, ["near"])
-        rows = salted_join(rows, weights.select("near", "words"), ["near"], hot, ["node"])
-        small.append(rows.where(F.col("words") <= limit).select("node", "shingles", "near"))
-        rows = stored(rows.where(F.col("words") > limit))
-        if rows.isEmpty():
+        large = weights.where(F.col("words") > limit)
+        total = large.agg(F.sum("words")).first()[0] or 0
+        if not total:
+            rest.append(rows)
             break
-        if turn < ROUNDS:
-            links, rows = settled(rows.drop("words"), hot, turn)
+        # groups above the limit are fewer than the shares of the whole that it allows, so a broadcast of them is small
+        rest.append(rows.join(F.broadcast(large.select("near")), "near", "left_anti"))
+        rows = rows.join(F.broadcast(large.select("near", "words")), "near")
+        if turn < ROUNDS and (turn == 0 or 4 * total <= 3 * before):
+            links, rows = settled(rows, hot_keys(large, ["near"]), turn)
             found.append(links)
-            weights = weighed(rows)
+            weights, before = weighed(rows), total
             continue
         blocks = F.ceil(2 * F.col("words") / limit).cast("int")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")
         dealt = rows.select("node", "shingles", "near", own, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         dealt = dealt.select("node", "shingles", "near", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
         found.append(dealt.groupBy("near", "lo", "hi").applyInArrow(_compare, kind))
-    rest = small[0]
-    for part in small[1:]:
-        rest = rest.union(part)
-    edges = rest.groupBy("near").applyInArrow(_compare, kind)
-    for links in found:
-        edges = edges.union(links)
-    return components(edges.toDF("u", "v"))
+        break
+    compared = lambda some: reduce(DataFrame.union, (x.select("node", "shingles", "near") for x in some)).groupBy("near").applyInArrow(_compare, kind)
+    whole = compared(rest[:1])  # groups that one task has compared have their roots
+    if rest[1:]:
+        found.append(compared(rest[1:]))
+    return whole.union(components(reduce(DataFrame.union, found).toDF("u", "v"))) if found else whole
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

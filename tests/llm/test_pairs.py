@@ -97,6 +97,49 @@ def test_components_of_a_path(spark):
     assert roots == dict.fromkeys(range(41), 0) | {100: 100, 101: 100}
 
 
+def tasks_of(spark, job):
+    """What ``job`` returns, and the number of tasks that it ran."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name := f"tasks-{random.random()}", name)
+    try:
+        out = job()
+    finally:
+        sc._jsc.clearJobGroup()
+    told = sc.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup(name) for s in told.getJobInfo(j).stageIds}
+    return out, sum(x.numCompletedTasks for x in map(told.getStageInfo, stages) if x)
+
+
+def test_components_of_random_graphs_in_few_tasks(spark, monkeypatch):
+    """Trees, paths, a hub, loops and repeated edges, in chunks of a few edges, joined either way; a round is few tasks."""
+    rng = random.Random(8)
+    names = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(3000)]
+    edges = [(names[0], names[k]) for k in range(1, 800)] + [(names[k], names[k + 1]) for k in range(800, 1300)]
+    edges += [(names[rng.randrange(1300, 3000)], names[rng.randrange(1300, 3000)]) for _ in range(1300)]
+    edges += [(v, u) for u, v in edges[::7]] + [(u, u) for u, _ in edges[::9]]
+    rng.shuffle(edges)
+    top = {x: x for x in names}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((root(u), root(v)))
+        top[b] = a
+    want = {x: root(x) for x in {x for u, v in edges if u != v for x in (u, v)}}
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(4)
+    for few in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", few)
+        rows, tasks = tasks_of(spark, lambda: common.components(frame).collect())
+        assert len(rows) == len(want) and {r["node"]: r["root"] for r in rows} == want
+        if few:
+            assert tasks <= 40
+    monkeypatch.setattr(common, "EDGES", 5)
+    assert {r["node"]: r["root"] for r in common.components(frame).collect()} == want
+
+
 def test_keep_one(spark, texts):
     docs = table(spark, texts)
     kept = sorted(r["doc_id"] for r in simhash.keep_one(docs).collect())
