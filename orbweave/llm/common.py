@@ -215,7 +215,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (names, roots, own, changed | ~own)], names=["node", "root", "own", "moved"])
 
     kind = "node long, root long, own boolean, moved boolean"
-    rows = edges.select("u", "v").where("u != v").mapInArrow(gather, "node long, root long, moved boolean")
+    # stored, so that a task that makes edges in Python doesn't keep a second worker for them
+    rows = stored(edges.select("u", "v").where("u != v")).mapInArrow(gather, "node long, root long, moved boolean")
     forest = stored(rows.repartition("node").mapInArrow(merge, kind))
     few = forest.count() <= BROADCAST_ROWS
     for _ in range(rounds):
