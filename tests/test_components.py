@@ -41,12 +41,40 @@ def test_chains_stars_and_clouds(spark):
         components(spark.createDataFrame(chain, "cloud_id string, u long, v long"), rounds=2)
 
 
+def test_a_path_whose_smallest_node_is_behind_a_smaller_crowd(spark):
+    """All of the path hangs on node 1 before node 0, at the other end, can reach it; labels that go from node to node take 200 rounds."""
+    path = [0, *range(200, 0, -1)]
+    edges = [("a", u, v) for u, v in zip(path, path[1:])]
+    assert found(spark, edges) == [("a", k, 0) for k in range(201)]
+    assert {tuple(r) for r in components(spark.createDataFrame(edges, "cloud_id string, u long, v long").repartition(4), rounds=12).collect()} == {("a", k, 0) for k in range(201)}
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_any_graph(spark, edges):
     assert found(spark, edges) == plain(edges)
 
 
+def test_a_merge_that_follows_many_others_is_judged_by_directions_alone(monkeypatch):
+    """Regions of a rough floor and of a wall beside it, as by one edge at a time, with few eigenvalues computed."""
+    rng = np.random.default_rng(5)
+    xyz = np.r_[np.c_[rng.uniform(0, 1, (300, 2)), rng.normal(0, 0.004, 300)], np.c_[rng.normal(1, 0.004, 60), rng.uniform(0, 1, (60, 2))]]
+    normals = rng.normal(0, 0.03, xyz.shape) + np.repeat([[0, 0, 1], [1, 0, 0]], [300, 60], axis=0)
+    normals /= np.linalg.norm(normals, axis=1, keepdims=True)
+    near = np.argsort(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2), axis=1)[:, :10].tolist()
+    judged = []
+    plane_of = segmentation.Regions.plane_of
+    monkeypatch.setattr(segmentation.Regions, "plane_of", lambda self, u, v: judged.append(len(u)) or plane_of(self, u, v))
+    got = segmentation.merge_regions(np.arange(len(xyz)), xyz, normals, near, 0.02, 0.2)
+    blocks = len(judged)
+    # the same with no direction ever seen: a block ends with each merge
+    monkeypatch.setattr(segmentation.Regions, "seen", lambda self, u, v: -1)
+    judged.clear()
+    want = segmentation.merge_regions(np.arange(len(xyz)), xyz, normals, near, 0.02, 0.2)
+    assert got.tolist() == want.tolist() and 1 < len(np.unique(got)) < 100
+    assert blocks < len(judged) / 2
+
+
 def test_regions_of_components_are_those_of_the_cloud(spark):
     """Two walls far apart and scattered points: in one task, in one a component, and shared."""
     rng = np.random.default_rng(3)
