@@ -111,6 +111,16 @@ def test_sums_inside_a_radius_need_no_pairs(spark, monkeypatch):
     assert sum(r["cloud_id"] == "b" for r in rows) == 300
 
 
+def test_sums_do_not_depend_on_the_size_of_the_table(spark):
+    """To the last bit, beside a crowd elsewhere and a cloud of its own, and in whatever order the rows come."""
+    rng = np.random.default_rng(10)
+    points = cloud(spark, rng.uniform(0, 3, (1500, 3)))
+    crowd = cloud(spark, rng.normal(0, 0.05, (20_000, 3)), "b")
+    sums = lambda df: {r["pid"]: (r["n"], r["sum_d2"]) for r in neighbors.radius_sums(df, 0.5).where("cloud_id = 'a'").collect()}
+    alone = sums(points)
+    assert len(alone) == 1500 and sums(points.union(crowd)) == alone and sums(points.orderBy(F.rand(1))) == alone
+
+
 def test_most_of_a_crowd_is_summed_by_cells(monkeypatch):
     xyz = np.c_[np.random.default_rng(9).uniform(0, 1, (60_000, 2)), np.zeros(60_000)]
     compared = []
