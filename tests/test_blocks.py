@@ -129,3 +129,25 @@ def test_most_of_a_crowd_is_summed_by_cells(monkeypatch):
     ask = np.arange(0, 60_000, 20)
     n, _ = neighbors.sums_inside(xyz, ask, 0.3)
     assert sum(compared) < n.sum() / 2
+
+
+def test_simple_histograms_counted_in_blocks(spark):
+    rng = np.random.default_rng(11)
+    # a lattice whose angles lie on the bounds of bins, copies of one place, a point that is alone
+    lattice = np.stack(np.meshgrid(*[np.arange(4) * 0.25] * 3), axis=-1).reshape(-1, 3) + 5
+    points = cloud(spark, np.r_[rng.uniform(0, 1, (120, 3)), lattice, np.full((3, 3), 0.5), [[9.0, 9.0, 9.0]]])
+    full = surface.normals_by_blocks(points, 0.4, 8).cache()
+    ends = ("x", "y", "z", "nx", "ny", "nz")
+    near = neighbors.neighborhoods(full, 0.4, 8, carry=ends, own=ends)
+    want = {r["pid"]: r["h"] for r in descriptors.simple_vectors(near, full, full).collect()}
+    made = descriptors.simple_by_blocks(full, 0.4, 8)
+    got = {r["pid"]: r["h"] for r in made.collect()}
+    assert got.keys() == want.keys() | {187} and sum(got[187]) == 0
+    assert all(np.allclose(np.divide(got[k], max(1, sum(got[k][:11]))), want[k], rtol=0, atol=1e-12) for k in want)
+    # a byte a bin, and neither sums of pairs nor points are exchanged again
+    assert made.schema["h"].dataType.simpleString() == "array<tinyint>"
+    plan = descriptors.fpfh_by_blocks(full, made.localCheckpoint(), 0.4, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    value = lambda df: {(r["pid"], r["bin"]): r["v"] for r in df.collect()}
+    one, two = value(descriptors.fpfh_by_blocks(full, made, 0.4, 8)), value(descriptors.fpfh(near.select("cloud_id", "pid", "nbr", "rk", "d2"), full.select("cloud_id", "pid", "x", "y", "z"), full.select("cloud_id", "pid", "nx", "ny", "nz")))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
