@@ -119,3 +119,49 @@ def test_a_box_that_comes_again_looks_at_new_points_only():
     for r in changes.itertuples(index=False):
         left[r.pid] = (r.x, r.y, r.z) if r.action in ("added", "moved") else None
     assert {p: xyz for p, xyz in left.items() if xyz} == plain and len(scans) == len(boxes)
+
+
+class Entries(dict):
+    """A map state in memory."""
+
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.pop
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getMapState(self, name, *schemas):
+        return self.states.setdefault(name, Entries())
+
+
+def test_a_large_batch_is_given_back_piece_by_piece(monkeypatch):
+    """Few of the points stand at a time, and what has been changed isn't kept; boxes that were forgotten are looked at again."""
+    import tracemalloc
+
+    import pandas as pd
+
+    monkeypatch.setattr(live_map, "CAME", 64)
+    rng = random.Random(4)
+    none, rows = (math.nan,) * 3, []
+    for seq in range(60_000):
+        if seq % 500 == 499:
+            low = float(rng.randrange(3))
+            rows.append((seq, rng.choice(["remove_inside", "remove_outside"]), 0, low, 0.0, 0.0, low + rng.choice([3.0, 6.0]), 9.0, 9.0))
+        else:
+            rows.append((seq, "add", rng.randrange(100_000), *(rng.uniform(0, 9) for _ in range(3)), *none))
+    table = pd.DataFrame(rows, columns=["seq", "kind", "pid", "x", "y", "z", "x2", "y2", "z2"]).sample(frac=1, random_state=1)
+    keeper, handle = live_map.Keeper(1.0), Handle()
+    keeper.init(handle)
+    parts, most, changes = (table[k : k + 7000] for k in range(0, len(table), 7000)), 0, []
+    tracemalloc.start()
+    for frame in keeper.handleInputRows(("a", 0), parts, None):
+        most = max(most, len(frame))
+        changes += list(frame.itertuples(index=False, name=None))
+        del frame
+        held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert most <= 2 * live_map.ROWS and held < 40e6
+    kept, told = plain([("a", seq, kind, pid, *v) for seq, kind, pid, *v in rows])
+    assert sorted(changes) == told
+    assert sorted(("a", p, x, y, z) for c in handle.states["cells"].values() for p, x, y, z in zip(*c)) == kept
