@@ -151,3 +151,20 @@ def test_simple_histograms_counted_in_blocks(spark):
     value = lambda df: {(r["pid"], r["bin"]): r["v"] for r in df.collect()}
     one, two = value(descriptors.fpfh_by_blocks(full, made, 0.4, 8)), value(descriptors.fpfh(near.select("cloud_id", "pid", "nbr", "rk", "d2"), full.select("cloud_id", "pid", "x", "y", "z"), full.select("cloud_id", "pid", "nx", "ny", "nz")))
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
+def test_pair_features_made_in_blocks(spark):
+    rng = np.random.default_rng(12)
+    # copies of one place, and a lattice with neighbours along a normal
+    lattice = np.stack(np.meshgrid(*[np.arange(3) * 0.25] * 3), axis=-1).reshape(-1, 3) + 5
+    full = surface.normals_by_blocks(cloud(spark, np.r_[rng.uniform(0, 1, (90, 3)), lattice, np.full((3, 3), 0.5), [[9.0, 9.0, 9.0]]]), 0.4, 8).cache()
+    ends = ("x", "y", "z", "nx", "ny", "nz")
+    near = neighbors.neighborhoods(full, 0.4, 8, carry=ends, own=ends)
+    value = lambda df: {(r["pid"], r["nbr"]): (r["f1"], r["f2"], r["f3"]) for r in df.collect()}
+    want, made = value(descriptors.pair_features(descriptors.pairs(near, full, full))), descriptors.features_by_blocks(full, 0.4, 8)
+    got = value(made)
+    same = lambda x, y: (x is None) == (y is None) and (x is None or abs(x - y) < 1e-12)
+    assert got.keys() == want.keys() and all(same(x, y) for k in got for x, y in zip(got[k], want[k]))
+    assert {(f[1] is None, f[2] is None) for f in got.values()} == {(False, False), (True, False), (True, True)}
+    # a pair has six columns when it leaves its block
+    assert made.columns == ["cloud_id", "pid", "nbr", "f1", "f2", "f3"]
